@@ -16,6 +16,8 @@ from functools import cache
 import numpy as np
 
 TABLE_LIMIT = 600_000
+#: Longer words are encoded when met and not kept.
+KEEP_CHARS = 64
 
 
 def unsafe(word: str) -> bool:
@@ -30,7 +32,9 @@ class _Words(dict):
         self.encode, self.before = encode, before
 
     def __missing__(self, word: str) -> bytes | None:
-        self[word] = ids = None if unsafe(word) else self.encode(self.before + word)
+        ids = None if unsafe(word) else self.encode(self.before + word)
+        if len(word) <= KEEP_CHARS:
+            self[word] = ids
         return ids
 
 

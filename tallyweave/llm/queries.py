@@ -7,19 +7,32 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import packing
+from tallyweave.llm import packing, pieces, token_counts
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+#: The id of <|endoftext|>, which no text yields.
+END_OF_TEXT = 50256
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document, found by scanning flat token files for separators."""
+    return token_counts.count_documents(_table(spark, sf_dir, "documents"), RANKS, PATTERN, END_OF_TEXT)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents packed into sequences of 1024 tokens."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_best_fit_packing,)}
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents and what they decode to, as digests."""
+    return pieces.encode_digests(_table(spark, sf_dir, "documents"), PIECES)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op4_best_fit_packing, op7_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {}
