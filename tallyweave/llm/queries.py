@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import fingerprints, packing, pieces, sharding, token_counts
+from tallyweave.llm import fingerprints, packing, pieces, sharding, token_counts, warc
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 #: The id of <|endoftext|>, which no text yields.
@@ -34,6 +34,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives and read back."""
+    return warc.round_trip(spark, _table(spark, sf_dir, "pages"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents and what they decode to, as digests."""
     return pieces.encode_digests(_table(spark, sf_dir, "documents"), PIECES)
@@ -44,5 +49,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op4_best_fit_packing, op5_sharding, op7_sentencepiece, op10_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op4_best_fit_packing, op5_sharding, op6_warc, op7_sentencepiece, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {"op5_sharding": sharding.ORACLE}
