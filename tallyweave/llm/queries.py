@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import fingerprints, packing, pieces, sharding, token_counts, warc
+from tallyweave.llm import fingerprints, media, packing, pieces, sharding, token_counts, warc
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 #: The id of <|endoftext|>, which no text yields.
@@ -44,10 +44,15 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(_table(spark, sf_dir, "documents"), PIECES)
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts stored as images in archives, read back through the data source, with features."""
+    return media.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op4_best_fit_packing, op5_sharding, op6_warc, op7_sentencepiece, op10_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op4_best_fit_packing, op5_sharding, op6_warc, op7_sentencepiece, op8_media_columns, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {"op5_sharding": sharding.ORACLE}
