@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import fingerprints, media, packing, pieces, sharding, token_counts, toxicity, warc
+from tallyweave.llm import fingerprints, media, neardup, packing, pieces, sharding, token_counts, toxicity, warc
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 #: The id of <|endoftext|>, which no text yields.
@@ -58,10 +58,15 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicates that each document belongs to."""
+    return neardup.class_ids(_table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_best_fit_packing, op5_sharding, op6_warc, op7_sentencepiece, op8_media_columns, op10_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_best_fit_packing, op5_sharding, op6_warc, op7_sentencepiece, op8_media_columns, op9_near_duplicates, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {"op5_sharding": sharding.ORACLE}
