@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import fingerprints, media, neardup, packing, pieces, sharding, token_counts, toxicity, warc
+from tallyweave.llm import fingerprints, media, neardup, packing, pieces, pii, sharding, token_counts, toxicity, warc
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 #: The id of <|endoftext|>, which no text yields.
@@ -33,6 +33,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.span_digests(_table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents packed into sequences of 1024 tokens."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), RANKS, PATTERN)
@@ -68,5 +73,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_best_fit_packing, op5_sharding, op6_warc, op7_sentencepiece, op8_media_columns, op9_near_duplicates, op10_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_personal_data, op4_best_fit_packing, op5_sharding, op6_warc, op7_sentencepiece, op8_media_columns, op9_near_duplicates, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {"op5_sharding": sharding.ORACLE}
