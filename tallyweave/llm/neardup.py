@@ -9,9 +9,9 @@ all slots are filled, so a document costs about as much as its shingles plus a f
 
 Equal texts are one node. Nodes that agree in a band of slots are candidates. In each bucket all members are
 compared with one leader (the member that shares the most buckets), then links are closed to classes, and
-only buckets whose members are not yet in one class go on with their next leader, until fewer pairs are left
-in all than there are bucket members; these are compared at once. So no link is given up, and no step makes
-more pairs than members. Pairs are verified on the full multisets.
+only buckets whose members are not yet in one class go on with their next leader. Once the pairs left between
+classes are no more than AT_ONCE times all bucket members, they are compared at once. So no link is given
+up, and no step makes more pairs than that. Pairs are verified on the full multisets.
 
 Null text: empty. Texts without words form a class with equal texts only; texts of fewer than five words are
 one shingle. class_id is the least doc_id of the class (nulls aside; null if all are null). Repeated rows are
@@ -35,6 +35,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of rows: at similarity 0.8 a pair shares none with probability 0.00005.
 BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
+#: Pairs for each member of a bucket that are compared at once in the end.
+AT_ONCE = 2
 WORD = re.compile(r"\w+")
 GOLDEN = 0x9E3779B97F4A7C15
 TABLE_LIMIT = 400_000
@@ -246,12 +248,13 @@ def _links(nodes: DataFrame, docs: DataFrame, similarity: float) -> tuple[DataFr
         of = members.join(labels, F.col("place.key") == labels["key"], "left").select("band", "place", "weight", F.coalesce("label", "place.key").alias("label"))
         below = of.join(leaders.select("band", "leader"), "band").withColumn("lower", F.col("place") < F.col("leader"))
         open_ = below.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count_if("lower").alias("n"))
-        open_ = open_.filter("l0 != l1 AND n > 1").select("band", "n")
-        rest = written(below.filter("lower").drop("leader", "lower").join(open_, "band"), "rest")
-        left = rest.agg(F.sum((F.col("n") - 1) / 2)).first()[0]
-        if left is None:
+        open_ = open_.filter("l0 != l1 AND n > 1").select("band")
+        rest = written(below.filter("lower").drop("leader", "lower").join(open_, "band", "left_semi"), "rest")
+        by_class = rest.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        left = by_class.agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()[0]
+        if not left:
             return links, labels
-        if left <= n_members:  # no more pairs than members are left: all of them at once
+        if left <= AT_ONCE * n_members:  # few pairs for the input are left: all of them at once
             other = rest.select("band", F.col("place").alias("leader"), F.col("weight").alias("leader_weight"), F.col("label").alias("leader_label"))
             leaders = None
         else:
@@ -276,3 +279,21 @@ def class_ids(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     found = written(classes(docs, similarity).select("doc_id", "label"), "classes")
     least = found.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     return found.join(least, "label").select("doc_id", "class_id")
+
+
+def representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs, with all their columns, of one document of each class: that of the least doc_id
+    (null if all are null), and of several such rows the one whose text has the least hash."""
+    found = written(classes(docs, similarity), "classes")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    kept = written(found.groupBy("label").agg(F.min(place).alias("best")), "kept").select("best.doc_id", "best.key")
+    ids = kept.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key"))
+    rows = docs.join(ids, same, "left_semi")
+    again = found.join(kept.withColumnsRenamed({"doc_id": "_id", "key": "_key"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
+    if again.count() == kept.count():
+        return rows
+    # rows that have both id and text in common: one of each
+    columns = [F.struct(*(F.col(c) for c in docs.columns)).alias("row")]
+    once = rows.select(text_key(F.col("text")), F.col("doc_id"), *columns).groupBy("key", "doc_id").agg(F.first("row").alias("row"))
+    return once.select("row.*")
