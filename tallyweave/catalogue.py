@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tallyweave.plans import reports
+
+QUERIES = {**reports.QUERIES}
+ORACLE_SQL = {**reports.ORACLE_SQL}
