@@ -8,10 +8,11 @@ equal to the weighted Jaccard similarity of their multisets. Points are drawn on
 all slots are filled, so a document costs about as much as its shingles plus a fixed number of points.
 
 Equal texts are one node. Nodes that agree in a band of slots are candidates. In each bucket all members are
-compared with one leader (the member that shares the most buckets), then links are closed to classes, and
-only buckets whose members are not yet in one class go on with their next leader. Once the pairs left between
-classes are no more than AT_ONCE times all bucket members, they are compared at once. So no link is given
-up, and no step makes more pairs than that. Pairs are verified on the full multisets.
+compared with one leader (the member that shares the most buckets) and links are closed to classes. Members
+of buckets that still hold several classes are dealt anew by their rare shingles (a prefix filter, which
+loses nothing), so that a passage which many documents share makes no bucket. These are compared at once
+where the pairs between classes are at most AT_ONCE times the members, else leader by leader until they
+are. No link is given up, and a pair is made only in the first bucket that its documents share. Pairs are verified on the full multisets.
 
 Null text: empty. Texts without words form a class with equal texts only; texts of fewer than five words are
 one shingle. class_id is the least doc_id of the class (nulls aside; null if all are null). Repeated rows are
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm.chunks import blocks
@@ -35,8 +36,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of rows: at similarity 0.8 a pair shares none with probability 0.00005.
 BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
-#: Pairs for each member of a bucket that are compared at once in the end.
-AT_ONCE = 2
+#: Pairs for each member of a bucket that are looked at at once in the end; those in their first common
+#: bucket alone are made.
+AT_ONCE = 50
 WORD = re.compile(r"\w+")
 GOLDEN = 0x9E3779B97F4A7C15
 TABLE_LIMIT = 400_000
@@ -208,6 +210,22 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.union(labels.select("label", "label").distinct())
 
 
+def _rare_buckets(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """bucket, place, weight, rare and after of rest (place, weight) by rare elements: rare has all buckets of
+    a place in order, after the number of its elements that follow this one. Ordered from rare to frequent, two
+    sets of that similarity share one of their first n - ceil(similarity * n) + 1 elements, so what many
+    documents have in common makes no bucket. Elements of one set alone fill its first places unseen."""
+    each = rest.join(sets, F.col("place.key") == sets["key"]).select("place", "weight", F.explode("elements").alias("bucket"))
+    common = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = written(each.join(common, "bucket"), "shared")
+    known = shared.groupBy("place").agg(F.count(F.lit(1)).alias("known"))
+    first = F.col("weight") - F.ceil(F.lit(similarity) * F.col("weight") - 1e-9) + 1 - (F.col("weight") - F.col("known"))
+    room = shared.join(known.filter(F.col("known") > 0), "place").withColumn("first", first).filter("first > 0")
+    order = Window.partitionBy("place").orderBy("n", "bucket")
+    placed = room.withColumn("at", F.row_number().over(order)).filter("at <= first").withColumn("after", F.col("known") - F.col("at"))
+    return placed.select("bucket", "place", "weight", F.transform(F.array_sort(F.collect_list(F.struct("at", "bucket")).over(Window.partitionBy("place"))), lambda x: x["bucket"]).alias("rare"), "after")
+
+
 def _links(nodes: DataFrame, docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame] | None:
     """Verified links (a, b) that join all similar nodes, and their components; None if there are none.
     nodes: key, doc_id (of one row that has it), weight, bands; docs: doc_id, key, text."""
@@ -228,39 +246,60 @@ def _links(nodes: DataFrame, docs: DataFrame, similarity: float) -> tuple[DataFr
         return joined.filter(both >= F.lit(similarity) * (size("x") + size("y") - both)).select("a", "b")
 
     links = tested = labels = None
-    n_members = members.count()
-    leaders = members.groupBy("band").agg(F.max("place").alias("leader"), F.max_by("weight", "place").alias("leader_weight"))
-    at = members.join(leaders, "band").filter("place < leader")
-    while True:
-        alike = F.least("weight", "leader_weight") >= F.lit(similarity) * F.greatest("weight", "leader_weight")
-        pairs = at.filter(alike).select(F.greatest("place.key", "leader.key").alias("a"), F.least("place.key", "leader.key").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
+
+    def compare(at: DataFrame) -> None:
+        """Verifies pairs (place, leader) that were not verified before, and closes the links to classes."""
+        nonlocal links, tested, labels
+        pairs = at.select(F.greatest("place.key", "leader.key").alias("a"), F.least("place.key", "leader.key").alias("b")).distinct()
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = written(verified(pairs), "links")
-        links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        links, tested = (found, pairs) if links is None else (links.unionByName(found), tested.unionByName(pairs))
         if labels is None or not found.isEmpty():
             labels = written(components(links), "labels")
-        if leaders is None:
-            return links, labels
-        # on with the buckets of several classes in which two members at least have not led
-        of = members.join(labels, F.col("place.key") == labels["key"], "left").select("band", "place", "weight", F.coalesce("label", "place.key").alias("label"))
-        below = of.join(leaders.select("band", "leader"), "band").withColumn("lower", F.col("place") < F.col("leader"))
-        open_ = below.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count_if("lower").alias("n"))
-        open_ = open_.filter("l0 != l1 AND n > 1").select("band")
-        rest = written(below.filter("lower").drop("leader", "lower").join(open_, "band", "left_semi"), "rest")
-        by_class = rest.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
+
+    def with_label(members: DataFrame) -> DataFrame:
+        joined = members.join(labels, F.col("place.key") == labels["key"], "left")
+        kept = [c for c in members.columns if c != "label"]
+        return joined.select(*kept, F.coalesce("label", "place.key").alias("label"))
+
+    def leaders(members: DataFrame) -> DataFrame:
+        columns = [c for c in members.columns if c not in ("bucket", "place")]
+        return members.groupBy("bucket").agg(F.max("place").alias("leader"), *(F.max_by(c, "place").alias(f"leader_{c}") for c in columns))
+
+    alike = F.least("weight", "leader_weight") >= F.lit(similarity) * F.greatest("weight", "leader_weight")
+    # in the first bucket that both are in, and if enough elements follow there
+    first = F.element_at(F.array_intersect("rare", "leader_rare"), 1) == F.col("bucket")
+    enough = (1 + F.least("after", "leader_after")) * (1 + similarity) >= F.lit(similarity) * (F.col("weight") + F.col("leader_weight")) - 1e-6
+
+    def several(members: DataFrame) -> DataFrame:
+        """The members of buckets that hold more than one class."""
+        open_ = members.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1").select("bucket")
+        return members.join(open_, "bucket", "left_semi")
+
+    # every member of a band's bucket with its leader
+    members = members.withColumnRenamed("band", "bucket").withColumn("label", F.col("place.key"))
+    at = members.join(leaders(members), "bucket").filter("place < leader")
+    compare(at.filter(alike))
+    # what is left of the buckets that hold several classes goes on by rare shingles
+    rest = written(several(with_label(at.select("bucket", "place", "weight"))).select("place", "weight").distinct(), "rest")
+    if rest.isEmpty():
+        return links, labels
+    members = written(_rare_buckets(rest, sets, similarity), "rare")
+    n_members = members.count()
+    while True:
+        members = written(several(with_label(members)), "open")
+        by_class = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
         left = by_class.agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()[0]
         if not left:
             return links, labels
-        if left <= AT_ONCE * n_members:  # few pairs for the input are left: all of them at once
-            other = rest.select("band", F.col("place").alias("leader"), F.col("weight").alias("leader_weight"), F.col("label").alias("leader_label"))
-            leaders = None
-        else:
-            leaders = rest.groupBy("band").agg(*(F.max_by(c, "place").alias(n) for c, n in (("place", "leader"), ("weight", "leader_weight"), ("label", "leader_label"))))
-            other = leaders
-        at = rest.join(other, "band").filter("place < leader AND label != leader_label")
+        at_once = left <= AT_ONCE * n_members
+        if at_once:
+            other = members.select("bucket", F.col("place").alias("leader"), *(F.col(c).alias(f"leader_{c}") for c in ("weight", "rare", "after", "label")))
+            compare(members.join(other, "bucket").filter((F.col("place") < F.col("leader")) & (F.col("label") != F.col("leader_label")) & alike & enough & first))
+            return links, labels
+        below = members.join(leaders(members), "bucket").filter("place < leader")
+        compare(below.filter((F.col("label") != F.col("leader_label")) & alike & enough))
+        members = below.select("bucket", "place", "weight", "rare", "after")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
