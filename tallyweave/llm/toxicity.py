@@ -45,6 +45,9 @@ TARGETS = "you your yours he him she her they them we us i me du dich dir ihr eu
 NEGATIONS = "not no never neither nor without hardly isn't aren't don't nicht kein keine nie niemals ohne ne pas jamais sans nunca jamás sin".split()
 REPORTS = "said says say told wrote quoted called claimed sagte sagt schrieb nannte dit écrit appelé dijo dice escribió llamó".split()
 
+#: Labels that may be learned from.
+TRAINING = "toxic IN (0, 1) AND doc_id IS NOT NULL AND crc32(cast(cast(doc_id AS string) AS binary)) % 3 != 1"
+
 PATTERNS = ("aimed_insult", "bare_insult", "negated_insult", "aimed_threat", "bare_threat", "reported")
 PRIOR_BIAS, PRIOR = -4.0, np.array([4.0, 3.5, 1.0, 4.0, 1.0, 1.0])
 #: Words over which a target, a negation and a report reach.
@@ -141,7 +144,7 @@ def features(text: str | None, stems: tuple[tuple[str, float], ...]) -> np.ndarr
 
 def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """text and toxic of the training documents: at most sample, half of either label."""
-    known = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL AND crc32(cast(cast(doc_id AS string) AS binary)) % 3 != 1")
+    known = labels.filter(TRAINING)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id"), F.col("doc_id")
     ids = known.filter("toxic = 1").orderBy(*order).limit(sample // 2).unionByName(known.filter("toxic = 0").orderBy(*order).limit(sample // 2))
@@ -219,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     n = {0: 0, 1: 0} | {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not n[0] or not n[1]:
         return Model(tuple((w, FULL_ODDS) for w in INSULTS))
-    share = labels.filter("toxic IN (0, 1)").agg(F.avg("toxic")).first()[0]
+    share = labels.filter(TRAINING).agg(F.avg("toxic")).first()[0]
     stems = _stems(rows, n)
     odds = math.log(max(share, 1e-4) / max(1 - share, 1e-4)) - math.log(n[1] / n[0])
     return Model(stems, _weights(rows, stems, odds))
