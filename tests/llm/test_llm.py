@@ -333,9 +333,9 @@ def test_pipeline(spark, sf):
 
     docs, columns = spark.read.parquet(f"{sf}/documents.parquet"), None
     for name, stage in corpus_pipeline.STAGES[:3]:
-        before, docs = docs, stage(spark, docs, sf).cache()
+        before, docs = docs, neardup.written(stage(spark, docs, sf), name)
         assert docs.columns == before.columns and docs.count() <= before.count(), name
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert all(not spans(t) for _, t in rows)
-    packed = corpus_pipeline.run(spark, sf)
+    packed = corpus_pipeline.STAGES[3][1](spark, docs, sf)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {i for i, _ in rows}
