@@ -41,8 +41,8 @@ class _Words(dict):
 class ByteBpe:
     """Ids of a byte-level BPE vocabulary as little-endian uint32 bytes.
 
-    ``ranks`` names the vocabulary as base64 token and rank; names of special tokens in a text are
-    ordinary text.
+    ``ranks`` names the vocabulary as base64 token and rank. To encode(), names of special tokens in a text
+    are ordinary text; encode_special() gives them their ids, as tokenizers does by default.
     """
 
     def __init__(self, ranks: str, pattern: str, limit: int = TABLE_LIMIT):
@@ -70,6 +70,13 @@ class ByteBpe:
             self.first.clear()
         return ids
 
+    def encode_special(self, text: str | None, special: tuple[str, int]) -> bytes:
+        """encode() of what stands between the names of a special token, with its id for each name."""
+        name, at = special
+        if not text or name not in text:
+            return self.encode(text)
+        return np.array([at], "<u4").tobytes().join(map(self.encode, text.split(name)))
+
 
 @cache
 def byte_bpe(ranks: str, pattern: str) -> ByteBpe:

@@ -9,6 +9,8 @@ Tokens are counted once, in the scan; only (document, piece, length) rows are de
 hot source or a very long document moves no text. Each packing task handles an even share of the pieces
 and leaves at most ``open_bins`` sequences less than full.
 
+Ids are those of tokenizers at its defaults: the name of the added token in a text is that token.
+
 Null text: empty. An empty document is one piece, the end id alone. Repeated doc_ids: each row is packed as
 a document of its own. An empty table gives an empty result; further columns of the input are ignored.
 """
@@ -27,6 +29,8 @@ from tallyweave.llm.chunks import byte_bpe
 from tallyweave.llm.store import written
 
 CAPACITY, OPEN_BINS, END_ID = 1024, 1024, 2
+#: Name and id of the token added to the vocabulary.
+SPECIAL = ("<|endoftext|>", 50256)
 #: Tokens that a packing task is given at least.
 TASK_TOKENS = 16_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -70,7 +74,7 @@ class BestFit:
         return bin_id, self.capacity - space
 
 
-def token_pieces(docs: DataFrame, ranks: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def token_pieces(docs: DataFrame, ranks: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID, special: tuple[str, int] = SPECIAL) -> DataFrame:
     """One row a piece: doc_id, piece, start, length and CRC-32 of its ids as little-endian uint32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +83,7 @@ def token_pieces(docs: DataFrame, ranks: str, pattern: str, capacity: int = CAPA
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             rows: list[tuple] = []
             for doc_id, text in zip(ids, texts, strict=True):
-                tokens = memoryview(bpe.encode(text.as_py()) + end)
+                tokens = memoryview(bpe.encode_special(text.as_py(), special) + end)
                 n, start = len(tokens) // 4, 0
                 step = n % capacity or capacity
                 piece = 0
@@ -122,5 +126,5 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
     return dealt.mapInArrow(run, out)
 
 
-def pack_documents(docs: DataFrame, ranks: str, pattern: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, end_id: int = END_ID) -> DataFrame:
-    return pack(written(token_pieces(docs, ranks, pattern, capacity, end_id), "pieces"), capacity, open_bins)
+def pack_documents(docs: DataFrame, ranks: str, pattern: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, end_id: int = END_ID, special: tuple[str, int] = SPECIAL) -> DataFrame:
+    return pack(written(token_pieces(docs, ranks, pattern, capacity, end_id, special), "pieces"), capacity, open_bins)

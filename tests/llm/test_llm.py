@@ -166,6 +166,22 @@ def test_packing(docs, odd):
             assert at <= 1024
 
 
+def test_packing_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    lib, rng = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(6)  # at its defaults
+    parts = ["<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "a", " the", "é", "'s", "1"]
+    some = ["a <|endoftext|> b", "<|endoftext|>" * 1500, *("".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(500))]
+    want = collections.Counter()
+    for k, t in enumerate(some):
+        full = np.array([*lib.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        cuts = [0, *range(len(full) % 1024 or 1024, len(full) + 1, 1024)]
+        want.update((k, i, a, b - a, zlib.crc32(full[a:b].tobytes())) for i, (a, b) in enumerate(itertools.pairwise(cuts)))
+    table = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    rows = packing.pack_documents(table, queries.RANKS, queries.PATTERN).collect()
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+
+
 def test_sharding(spark, docs):
     table = docs.select(F.when(F.col("doc_id") < 60, 7).otherwise(F.col("doc_id")).alias("doc_id"), F.when(F.col("doc_id") < 30, "copy " * 200).otherwise(F.col("text")).alias("text"))
     rows = sharding.assign_shards(table, 5000).collect()
