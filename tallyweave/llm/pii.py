@@ -4,7 +4,8 @@ Seeds are the matches of four fixed patterns (email, ip, card, phone) that pass
 a seed induces a lexical pattern (kind, word). Looser candidates, identifier-like strings that are no
 seeds, are the further instances. Pattern and instance scores are computed in turns over this bipartite
 graph: a pattern's score is the mass of its instances' scores over all occurrences of its word in the
-corpus, so that common words score next to nothing; an instance's score is the chance that one at least
+corpus, both counted by occurrence in distinct texts, so that common words score next to nothing and copies
+or recurring values change nothing; an instance's score is the chance that one at least
 of its patterns is right. Candidates behind patterns of high score are added to the seeds.
 
 Positions come from splitting a text at a pattern's matches: gaps and matches alternate, and sums of their
@@ -136,19 +137,31 @@ def _kinds_of(hit: Column) -> Column:
     return F.when(F.contains(hit, F.lit("@")), F.array(F.lit("email"))).otherwise(number)
 
 
+def _uses(docs: DataFrame, live: DataFrame) -> DataFrame:
+    """before and uses: how often each word of live stands in the distinct texts of docs, identifiers cut out, so
+    that words end where ``before`` ends. A line break stops a candidate as a comma does."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rest = text
+    for kind in KINDS:
+        rest = _let(rest, lambda t: _replaced(t, kind, lambda h: F.lit("\n")))
+    words = F.transform(F.split(F.lower(F.regexp_replace(rest, CANDIDATE, "\n")), r"\s+"), lambda w: F.right(w, F.lit(100)))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.unhex(F.md5(text)).alias("key"), F.explode(words).alias("before"))
+    by_row = rows.join(live, "before").groupBy("row", "key", "before").agg(F.count(F.lit(1)).alias("n"))
+    return by_row.select("key", "before", "n").distinct().groupBy("before").agg(F.sum("n").alias("uses"))
+
+
 def _patterns(docs: DataFrame, extracted: DataFrame) -> DataFrame | None:
     """kind, before and score of patterns of high score, or None if no pattern has a candidate."""
-    seeds = extracted.select(F.explode("seeds").alias("s")).select("s.kind", "s.before", "s.value").distinct().filter("before != ''")
-    others = extracted.select(F.explode("candidates").alias("c")).select(F.explode(_kinds_of(F.col("c.hit"))).alias("kind"), "c.before", F.lower("c.hit").alias("value"))
+    each = written(extracted.filter("size(seeds) + size(candidates) > 0").select("key", "seeds", "candidates").distinct(), "each")  # copies of a text count once
+    counted = lambda df, seed: df.groupBy("kind", "before", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("seed", F.lit(seed))
+    seeds = counted(each.select(F.explode("seeds").alias("s")).select("s.kind", "s.before", "s.value").filter("before != ''"), 1.0)
+    others = each.select(F.explode("candidates").alias("c")).select(F.explode(_kinds_of(F.col("c.hit"))).alias("kind"), "c.before", F.lower("c.hit").alias("value"))
     patterns = seeds.groupBy("kind", "before").agg(F.count(F.lit(1)).alias("seeds")).filter(F.col("seeds") >= MIN_SEEDS)
-    others = others.distinct().join(patterns.select("kind", "before"), ["kind", "before"], "left_semi")
-    graph = written(seeds.join(patterns.select("kind", "before"), ["kind", "before"]).withColumn("seed", F.lit(1.0)).unionByName(others.withColumn("seed", F.lit(0.0))), "graph")
+    graph = written(seeds.unionByName(counted(others, 0.0)).join(patterns.select("kind", "before"), ["kind", "before"], "left_semi"), "graph")
     live = written(graph.filter("seed = 0").select("kind", "before").distinct(), "live")
     if live.isEmpty():
         return None
-    # every occurrence of the patterns' words, followed by an identifier or not
-    words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), r"\s+")).alias("before"))
-    uses = written(words.join(live.select("before").distinct(), "before").groupBy("before").agg(F.count(F.lit(1)).alias("uses")), "uses")
+    uses = written(_uses(docs, live.select("before").distinct()), "uses")
     graph = written(graph.join(live, ["kind", "before"]), "live_graph")
     scores = None
     for _ in range(ROUNDS):
@@ -157,8 +170,9 @@ def _patterns(docs: DataFrame, extracted: DataFrame) -> DataFrame | None:
         else:
             chance = graph.join(scores, ["kind", "before"]).groupBy("kind", "value").agg(F.max("seed").alias("seed"), (1 - F.product(1 - F.col("score"))).alias("chance"))
             instances = graph.drop("seed").join(chance.select("kind", "value", F.greatest("seed", "chance").alias("instance")), ["kind", "value"])
-        mass = instances.groupBy("kind", "before").agg(F.sum("instance").alias("mass"))
-        scores = written(mass.join(uses, "before").select("kind", "before", (F.least("mass", "uses") / F.col("uses")).alias("score")), "scores")
+        mass = instances.groupBy("kind", "before").agg(F.sum(F.col("instance") * F.col("n")).alias("mass"), F.sum("n").alias("n"))
+        # a word that is itself part of an identifier is met before instances only
+        scores = written(mass.join(uses, "before", "left").select("kind", "before", (F.col("mass") / F.greatest("uses", "n")).alias("score")), "scores")
     return scores.filter(F.col("score") >= MIN_SCORE)
 
 

@@ -136,6 +136,16 @@ def test_bootstrapping(spark):
     assert clean[100] == "so contact: [EMAIL] is new, the user2@other is not" and clean[0] == "some words contact: [EMAIL] and more of the words"
 
 
+def test_bootstrapping_with_copies_and_glued_labels(spark):
+    rows = [(k, f"some words contact: user{k}@mail.com and more, or tel:+1415555{1000 + k} {k}") for k in range(30)]
+    rows += [(100 + k, "so contact: user1@localhost is new") for k in range(500)]  # copies
+    rows += [(1000 + k, f"line {k} write mail{k % 10}@mail.com to them") for k in range(60)]  # values that recur
+    rows += [(2000, "call tel:030 1234567 or write user2@other now, the user3@other is not")]
+    got = {r.doc_id: r.spans for r in pii.span_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[100 + k] for k in range(500)} == {"email:12:27"}
+    assert got[2000] == "phone:9:20,email:30:41"
+
+
 def test_best_fit_keeps_bounds():
     fit, rng, filled = packing.BestFit(100, 5), random.Random(4), collections.Counter()
     for _ in range(3000):
