@@ -103,18 +103,24 @@ def _replaced(text: Column, kind: str, mark) -> Column:
     return F.when(F.contains(text, F.lit(NEEDS[kind])), replaced).otherwise(text) if kind in NEEDS else replaced
 
 
-def _extracted(docs: DataFrame) -> DataFrame:
-    """doc_id, key of the text, row, seeds (start, rank, end, kind, value, before) and candidates of each row.
-    Candidates are looked for in the text with its seeds blotted out by as many commas."""
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    text = F.col("text")
+def _seeds(text: Column) -> Column:
+    """The base spans of a text in order: start, rank, end, kind, value, before."""
 
-    def seeds(rank: int, kind: str) -> Column:
+    def of(rank: int, kind: str) -> Column:
         good = F.filter(_found(text, PATTERNS[kind]), lambda x: _passes(kind, x["hit"]))
         mine = F.transform(good, lambda x: F.struct(x["start"], F.lit(rank).alias("rank"), x["end"], F.lit(kind).alias("kind"), F.lower(x["hit"]).alias("value"), x["before"]))
         tried = F.when(F.contains(text, F.lit(NEEDS[kind])), mine) if kind in NEEDS else mine
         return F.coalesce(tried, F.array())
 
+    return F.array_sort(F.concat(*(of(k, kind) for k, kind in enumerate(KINDS))))
+
+
+def _extracted(docs: DataFrame) -> DataFrame:
+    """doc_id, key of the text, row, seeds (start, rank, end, kind, value, before) and candidates of each row.
+    Candidates are looked for in the text with its seeds blotted out by as many commas."""
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.col("text")
+
     rest = text
     for kind in KINDS:
         rest = _let(rest, lambda t: _replaced(t, kind, lambda h: F.repeat(F.lit(","), F.length(h))))
@@ -122,7 +128,7 @@ def _extracted(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.unhex(F.md5("text")).alias("key"),
         F.monotonically_increasing_id().alias("row"),
-        F.array_sort(F.concat(*(seeds(k, kind) for k, kind in enumerate(KINDS)))).alias("seeds"),
+        _seeds(text).alias("seeds"),
         F.coalesce(_let(rest, lambda t: _found(t, CANDIDATE)), F.array()).alias("candidates"),
     )
     return written(kept, "extracted")  # from here on a row's number is fixed
@@ -204,19 +210,44 @@ def span_digests(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_named(base), 256).alias("base_sha256"), _named(F.array_sort(F.concat(base, "added"))).alias("spans"))
 
 
+def _overlap(spans: Column) -> Column:
+    """Whether two of the sorted spans overlap: then two neighbours do."""
+    n = F.greatest(F.size(spans) - 1, F.lit(0))
+    return F.exists(F.zip_with(F.slice(spans, F.lit(1), n), F.slice(spans, F.lit(2), n), lambda a, b: b["start"] < a["end"]), lambda x: x)
+
+
+def _cut(text: Column, spans: Column) -> Column:
+    """text with the union of the sorted spans replaced, back to front; overlapping ones by the kind of the longest."""
+    one = "struct<start:bigint,end:bigint,size:bigint,kind:string>"
+
+    def add(done: Column, s: Column) -> Column:
+        def merged(last: Column) -> Column:
+            longer = s["end"] - s["start"] > last["size"]
+            both = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), F.when(longer, s["end"] - s["start"]).otherwise(last["size"]).alias("size"), F.when(longer, s["kind"]).otherwise(last["kind"]).alias("kind"))
+            new = F.struct(s["start"].alias("start"), s["end"].alias("end"), (s["end"] - s["start"]).alias("size"), s["kind"].alias("kind"))
+            kept = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+            return F.when(s["start"] < last["end"], F.concat(kept, F.array(both.cast(one)))).otherwise(F.concat(done, F.array(new.cast(one))))
+
+        return merged(F.get(done, F.size(done) - 1))
+
+    union = F.aggregate(spans, F.array().cast(f"array<{one}>"), add)
+    return F.aggregate(F.reverse(union), text, lambda t, s: F.concat(F.left(t, s["start"].cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"), F.substr(t, (s["end"] + 1).cast("int"))))
+
+
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every found span of text replaced by its kind in brackets."""
+    """docs with every found span of text replaced by its kind in brackets, overlapping ones as one, and what then
+    matches a base pattern as well."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    added = written(find_spans(docs).filter("size(added) > 0").select("doc_id", "key", "added").distinct(), "added")
+    base = lambda spans: F.transform(spans, lambda s: F.struct(s["start"], s["rank"], s["end"], s["kind"]))
+    found = find_spans(docs).select("doc_id", "key", F.array_sort(F.concat(base(F.col("seeds")), "added")).alias("spans"), (F.size("added") > 0).alias("more"))
+    # spans of the base patterns that are apart are replaced kind by kind, all others by position
+    placed = written(found.filter(F.col("more") | _overlap(F.col("spans"))).select("doc_id", "key", "spans").distinct(), "placed")
     columns = docs.columns
-    if not added.isEmpty():  # these by position, back to front
+    if not placed.isEmpty():
         docs = docs.withColumn("_key", F.unhex(F.md5(text)))
-        extra = added.select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.col("added").alias("_added"))
+        extra = placed.select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.col("spans").alias("_spans"))
         docs = docs.join(extra, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left")
-        cut = F.aggregate(
-            F.reverse("_added"), F.col("text"), lambda t, s: F.concat(F.left(t, s["start"].cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"), F.substr(t, (s["end"] + 1).cast("int")))
-        )
-        docs = docs.withColumn("text", F.when(F.size("_added") > 0, cut).otherwise(F.col("text"))).select(*columns)
+        docs = docs.withColumn("text", F.when(F.size("_spans") > 0, _cut(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))).select(*columns)
     text = F.col("text")
     for kind in KINDS:
         text = _let(text, lambda t: _replaced(t, kind, lambda h: F.lit(f"[{kind.upper()}]")))

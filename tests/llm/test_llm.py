@@ -146,6 +146,29 @@ def test_bootstrapping_with_copies_and_glued_labels(spark):
     assert got[2000] == "phone:9:20,email:30:41"
 
 
+def test_redaction_of_overlapping_spans(spark):
+    rng = random.Random(7)
+    parts = [*"0123456789", ".", "+", " ", "a", "😀", "1.2.3.4", "x@y.z", "4111 1111 1111 1111", "+1 415 555 2671"]
+    some = ["at +33.1.42.68.53.00 now", "1.2.3.4@x.com", None, *("".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(800))]
+    table = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    found = {r.doc_id: [(int(a), int(b), k) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)] for r in pii.span_digests(table).collect()}
+    got = {r.doc_id: r.text for r in pii.redact(table).collect()}
+    assert got[0] == "at [PHONE] now" and got[1] == "[EMAIL]" and got[2] is None
+    overlaps = 0
+    for k, t in enumerate(some):
+        t, union = t or "", []
+        for a, b, kind in found[k]:
+            overlaps += bool(union) and a < union[-1][1]
+            if union and a < union[-1][1]:
+                union[-1] = (union[-1][0], max(b, union[-1][1]), *max(union[-1][2:], (b - a, kind), key=lambda x: x[0]))
+            else:
+                union.append((a, b, b - a, kind))
+        for a, b, _, kind in reversed(union):
+            t = f"{t[:a]}[{kind.upper()}]{t[b:]}"
+        assert spans(got[k]) == "" and (got[k] or "") == t or spans(t) != "", (some[k], t, got[k])
+    assert overlaps > 20
+
+
 def test_best_fit_keeps_bounds():
     fit, rng, filled = packing.BestFit(100, 5), random.Random(4), collections.Counter()
     for _ in range(3000):
