@@ -20,6 +20,10 @@ def norm_number(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", text.norm_number(F.left("text", F.lit(40))).alias("number"))
 
 
+def norm_number_whole(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", text.norm_number(F.col("text")).alias("number"))
+
+
 def ocr_fold(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", text.ocr_fold(F.col("text")).alias("folded"))
 
@@ -107,12 +111,14 @@ def lockout(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (norm_number, ocr_fold, compact_text, find_amounts, detect_currency, parse_date, iban_make, gstin_checksum, vendor_first_match, duplicate_fuzzy, ground_fields, merge_readings, reasons_for_ai, rate_limit, lockout)
+    for f in (norm_number, norm_number_whole, ocr_fold, compact_text, find_amounts, detect_currency, parse_date, iban_make, gstin_checksum, vendor_first_match, duplicate_fuzzy, ground_fields, merge_readings, reasons_for_ai, rate_limit, lockout)
     if f.__name__ not in SQL
 }
 ORACLE_SQL = {
     "norm_number": """SELECT doc_id, CASE WHEN n = '' THEN '0' ELSE n END AS number FROM (SELECT doc_id,
         regexp_replace(regexp_replace(lower(left(text, 40)), '[^a-z0-9]', '', 'g'), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g') AS n FROM documents)""",
+    "norm_number_whole": """SELECT doc_id, CASE WHEN n = '' THEN '0' ELSE n END AS number FROM (SELECT doc_id,
+        regexp_replace(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g') AS n FROM documents)""",
     "ocr_fold": "SELECT doc_id, translate(regexp_replace(lower(text), '[^a-z0-9|]', '', 'g'), 'oil|sbz', '0111582') AS folded FROM documents",
     "compact_text": "SELECT doc_id, CASE WHEN length(text) > 8500 THEN left(text, 6000) || chr(10) || '...' || chr(10) || right(text, 2500) ELSE text END AS text FROM documents",
 }

@@ -33,3 +33,11 @@ def test_query_equals_its_sql(spark, duck, sf, name):
     assert sorted(found.columns) == sorted(columns)
     rows = sorted(tuple(plain(r[c]) for c in columns) for r in found.collect())
     assert rows == sorted(tuple(map(plain, r)) for r in want.fetchall())
+
+
+def test_whole_tables(spark, duck, sf):
+    live = duck.execute(catalogue.ORACLE_SQL["status_counts"]).fetchall()
+    assert catalogue.QUERIES["history_before_all"](spark, sf).count() == sum(n for _, n in live)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    numbers = {r.doc_id: r.number for r in catalogue.QUERIES["norm_number_whole"](spark, sf).collect()}
+    assert len(numbers) == docs.count() and max(map(len, numbers.values())) > 40
