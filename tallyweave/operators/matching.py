@@ -18,16 +18,35 @@ SAME_VENDOR, SAME_RECORD, NEAR_NUMBER = 80, 85, 85
 def similar_names(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
     """(a, b, score) of distinct normalised names of left and right (one column each) that reach the cutoff.
 
-    Names that score need a word or three letters in a row in common; only such pairs are scored.
+    Names without a common word score by their sorted words alone: of n and m letters, at least
+    cutoff * (n + m) / 200 are common, in order. If d letters are not, one at least of d + 1 segments of the
+    one name stands whole in the other, moved by no more than the letters put in or left out. Only pairs with a
+    common word or such a segment are scored; none that reaches the cutoff is lost.
     """
     a = left.select(text.norm_vendor(F.col(left.columns[0])).alias("a")).filter("a != ''").distinct()
     b = right.select(text.norm_vendor(F.col(right.columns[0])).alias("b")).filter("b != ''").distinct()
 
-    def grams(c: Column) -> Column:
-        bare = F.regexp_replace(c, " ", "")
-        return F.array_distinct(F.concat(F.split(c, " +"), F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(bare) - 2)), lambda i: F.substr(bare, i, F.lit(3)))))
+    def words(c: str) -> Column:
+        return F.array_sort(F.array_distinct(F.split(c, " +")))
 
-    pairs = a.select("a", F.explode(grams(F.col("a"))).alias("g")).join(b.select("b", F.explode(grams(F.col("b"))).alias("g")), "g").select("a", "b").distinct()
+    def lengths(n: str) -> Column:
+        low, high = F.ceil(F.col(n) * (cutoff / (200 - cutoff)) - 1e-9), F.floor(F.col(n) * ((200 - cutoff) / cutoff) + 1e-9)
+        return F.explode(F.sequence(low.cast("int"), high.cast("int")))
+
+    def segments(names: DataFrame) -> DataFrame:
+        least = F.ceil(cutoff * (F.col("n") + F.col("m")) / 200 - 1e-9).cast("int")
+        some = names.withColumn("least", least).filter(F.col("least") <= F.least("n", "m")).withColumn("k", F.expr("n + m - 2 * least + 1"))
+        each = some.withColumn("i", F.explode(F.expr("sequence(0, k - 1)"))).withColumn("at", F.expr("cast(i * n div k AS int)"))
+        return each.withColumn("size", F.expr("cast((i + 1) * n div k AS int) - at"))
+
+    mine = a.select("a", F.array_join(words("a"), " ").alias("s")).withColumn("n", F.length("s"))
+    mine = segments(mine.withColumn("m", lengths("n"))).select("a", "n", "m", "i", F.expr("substr(s, at + 1, size)").alias("g"))
+    theirs = b.select("b", F.array_join(words("b"), " ").alias("s")).withColumn("m", F.length("s"))
+    theirs = segments(theirs.withColumn("n", lengths("m"))).withColumns({"low": F.expr("greatest(0, at - (n - least))"), "high": F.expr("least(m - size, at + m - least)")})
+    theirs = theirs.filter("low <= high").select("b", "n", "m", "i", F.explode(F.expr("array_distinct(transform(sequence(low, high), p -> substr(s, p + 1, size)))")).alias("g"))
+    near = mine.join(theirs, ["n", "m", "i", "g"]).select("a", "b")
+    shared = a.select("a", F.explode(words("a")).alias("g")).join(b.select("b", F.explode(words("b")).alias("g")), "g").select("a", "b")
+    pairs = near.union(shared).distinct()
     return pairs.withColumn("score", fuzzy.token_set_ratio(F.col("a"), F.col("b"))).filter(F.col("score") >= cutoff)
 
 
@@ -42,10 +61,13 @@ def near_duplicates(invoices: DataFrame, cutoff: float = NEAR_NUMBER) -> DataFra
     """(id, match_id): the first earlier invoice of the same vendor and amount, within 0.5 % of the earlier
     one, whose number is similar but not the same. invoices: id, vendor_key, number, total.
 
-    Amounts are dealt into bands of 1 % of their logarithm; a match lies in the same band or a next one.
+    Amounts are dealt into bands as wide as the tolerance, 0.02 up to 4 and 0.5 % beyond, on either side of
+    zero; a match lies in the same band or a next one.
     """
-    band = F.floor(F.log("total") / 0.01).cast("long")
-    rows = invoices.filter("total > 0 AND number IS NOT NULL").withColumn("n", text.norm_number(F.col("number"))).withColumn("band", band)
+    size = F.abs("total")
+    steps = F.when(size <= 4, size / 0.02).otherwise(200 + F.log(size / 4) / 0.005)
+    band = F.floor(F.signum("total") * steps / 1.01).cast("long")  # a little wider: 0.5 % of the larger amount, too
+    rows = invoices.filter("total IS NOT NULL AND number IS NOT NULL").withColumn("n", text.norm_number(F.col("number"))).withColumn("band", band)
     left = rows.select(F.col("id"), "vendor_key", F.col("n").alias("mine"), F.col("total").alias("t"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
     right = rows.select(F.col("id").alias("match_id"), "vendor_key", "n", "total", "band")
     pairs = left.join(right, ["vendor_key", "band"]).filter("match_id < id AND mine != n AND abs(t - total) <= greatest(0.02, 0.005 * abs(total))")

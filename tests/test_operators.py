@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import random
 from collections import defaultdict, deque
 
+from tallyweave.functions import fuzzy, text
 from tallyweave.operators import matching, text_queries
 from tallyweave.streaming import limits
 
@@ -45,6 +47,36 @@ def test_near_duplicates(spark):
     assert {r.id: r.match_id for r in got.collect()} == {2: 1, 3: 2}
 
 
+def test_no_pair_of_names_is_lost(spark):
+    rng = random.Random(1)
+    names = ["acme", "acrme", "sony", "sorny", "a", "ab"]
+    for _ in range(150):
+        name = list(rng.choice(names))
+        name.insert(rng.randint(0, len(name)), rng.choice("abcde  "))
+        names.append("".join(name))
+    names += ["".join(rng.choice("abcd ") for _ in range(rng.randint(1, 12))) for _ in range(100)]
+    table = spark.createDataFrame([(n,) for n in names], "name string")
+    distinct = {r.n for r in table.select(text.norm_vendor(table.name).alias("n")).collect()} - {""}
+    for cutoff in (80, 85):
+        got = {(r.a, r.b) for r in matching.similar_names(table, table, cutoff).collect()}
+        assert got == {(a, b) for a in distinct for b in distinct if fuzzy.token_set(a, b) >= cutoff}
+        assert ("acme", "acrme") in got and ("sorny", "sony") in got
+
+
+def test_no_pair_of_amounts_is_lost(spark):
+    rng = random.Random(2)
+    totals = [0.5, 0.515, -100.0, -100.3, 0.01, -0.01, 0.0, *(rng.choice((-1, 1)) * round(base * rng.uniform(0.99, 1.01), 2) for base in (0.3, 2, 3.99, 4, 4.5, 100, 1e6) for _ in range(25))]
+    rows = [(k, 1, f"INV-{1000000 + k}", t) for k, t in enumerate(totals)]
+    want = {}
+    for i, _, mine, t in rows:
+        for j, _, other, total in rows[:i]:
+            if i not in want and abs(t - total) <= max(0.02, 0.005 * abs(total)) and fuzzy.indel(mine, other) >= 85:
+                want[i] = j
+    got = matching.near_duplicates(spark.createDataFrame(rows, "id long, vendor_key long, number string, total double"))
+    assert {r.id: r.match_id for r in got.collect()} == want
+    assert want[1] == 0 and want[3] == 2 and want[5] == 4
+
+
 def test_adapter_names_are_dissimilar(spark, sf):
     rows = text_queries.vendor_first_match(spark, sf).collect()
     assert rows and all(r.match.lower().removesuffix(" ltd") == r.vendor.lower().removesuffix(" limited") for r in rows)
