@@ -1,19 +1,24 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations throughout.
 
-Seeds are the matches of four fixed patterns (email, ip, card, phone) that pass their checks. The word before
-a seed induces a lexical pattern (kind, word). Looser candidates, identifier-like strings that are no
-seeds, are the further instances. Pattern and instance scores are computed in turns over this bipartite
-graph: a pattern's score is the mass of its instances' scores over all occurrences of its word in the
-corpus, both counted by occurrence in distinct texts, so that common words score next to nothing and copies
-or recurring values change nothing; an instance's score is the chance that one at least
-of its patterns is right. Candidates behind patterns of high score are added to the seeds.
+Seeds are the matches of four fixed patterns (email, ip, card, phone) that pass their checks, and of a fifth
+strict one (secret: access key ids, and long lower-case hexadecimal strings assigned in quotes). Looser
+identifier-like strings that are no seeds are candidates. Every mention, seed or candidate, stands in up to four lexical
+patterns: the word or sign before it (quotes aside), the two before it, the one before with the one after, and a sign before it
+with the shape of the mention.
+
+Patterns and instances (kind, value) form a graph that is scored in rounds. In each round a pattern is induced if
+``MIN_SEEDS`` distinct accepted instances stand in it, seeds or instances found in rounds before; its
+score is the mass of its accepted instances over all uses of its words in the corpus (of a sign with a shape: over
+all mentions in it). An instance's score is the best of its patterns', and it is accepted from ``MIN_SCORE`` on, so that
+what a round finds induces new patterns in the next. Seeds keep the score 1, candidates that fail a fixed
+kind's own check 0. Both sides of a score are counted in distinct texts: copies change nothing. Common words score next to nothing.
 
 Positions come from splitting a text at a pattern's matches: gaps and matches alternate, and sums of their
 lengths give the offsets in code points. Sums are taken by blocks, so a text of very many matches costs
 little more than its length. The graph's tables hold matches, never texts; nothing is collected.
 
 Null text: empty, hence no spans. Repeated rows: each has its result. Null ids are kept. An empty table gives
-no rows. Candidates never overlap a seed.
+no rows. Added spans never overlap a base span or each other.
 """
 
 from __future__ import annotations
@@ -23,7 +28,8 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm.store import written
 
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds of base spans, and the kind that only the method adds.
+KINDS, SECRET = ("email", "ip", "card", "phone"), "secret"
 #: Fixed patterns of the four kinds. Possessive repeats and the condition on what stands before give the same
 #: leftmost matches without backtracking; a card pattern's match is a whole run of digits, so shorter runs are left out.
 PATTERNS = {
@@ -34,11 +40,22 @@ PATTERNS = {
 }
 #: What a text must contain for a pattern to be tried.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-#: Identifier-like strings: anything around an @ sign, and longer groups of digits.
-CANDIDATE = r"[^\s@,;<>]{1,64}+@[^\s@,;<>]{1,128}+|[0-9][0-9\x20().-]{5,40}[0-9]"
-BLOCK, ROUNDS = 256, 3
-#: Seeds that a pattern needs, and the score from which it adds instances.
-MIN_SEEDS, MIN_SCORE = 3, 0.5
+#: What every identifier contains.
+ANY = "[0-9@]"
+#: Identifier-like strings: anything around an @ sign, letters and digits mixed, and longer groups of digits.
+CANDIDATE = (
+    r"[^\s@,;<>]{1,64}+@[^\s@,;<>]{1,128}+"
+    r"|(?<![A-Za-z0-9])(?=[A-Za-z]{0,127}[0-9])(?=[0-9]{0,127}[A-Za-z])[A-Za-z0-9]{8,128}+(?![A-Za-z0-9])"
+    r"|(?<![A-Za-z0-9])[0-9][0-9\x20().-]{5,40}[0-9](?![A-Za-z0-9])"
+)
+#: Candidates of letters and digits that are seeds as they stand, or between an assignment's quotes.
+SECRET_SEED, QUOTED_SEED, ASSIGNED = "^AKIA[0-9A-Z]{16}$", "^[0-9a-f]{32,128}$", r'[=:]\x20?"$'
+#: Words and signs of a context; quotes and white space are passed over.
+TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}\"'`]"
+CONTEXT = 100
+BLOCK, ROUNDS = 256, 4
+#: Accepted instances that a pattern needs, and the score from which an instance is accepted.
+MIN_SEEDS, MIN_SCORE = 3, 0.4
 
 
 def _let(value: Column, body) -> Column:
@@ -79,12 +96,26 @@ def _passes(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
-def _found(text: Column, pattern: str) -> Column:
-    """Array of (start, end, hit, before) of the matches in text; before is the word before, in lower case."""
+def _found(text: Column, pattern: str, assigned: bool = False) -> Column:
+    """Array of (start, end, hit, one, two, next) of the matches in text: the token before it, the token before
+    that and the token after it, in lower case and empty if there is none; and whether it is assigned in quotes."""
+
+    def context(gaps: Column, hits: Column) -> Column:
+        n = F.size(hits)
+
+        def before(g: Column) -> Column:
+            tokens = F.regexp_extract_all(F.lower(F.right(g, F.lit(CONTEXT))), F.lit(TOKEN), F.lit(0))
+            extra = [F.rlike(F.right(g, F.lit(3)), F.lit(ASSIGNED)).alias("assigned")] if assigned else []
+            return _let(tokens, lambda t: F.struct(F.coalesce(F.try_element_at(t, F.lit(-1)), F.lit("")).alias("one"), F.coalesce(F.try_element_at(t, F.lit(-2)), F.lit("")).alias("two"), *extra))
+
+        left = F.transform(F.slice(gaps, F.lit(1), n), before)
+        right = F.transform(F.slice(gaps, F.lit(2), n), lambda g: F.regexp_extract(F.lower(F.left(g, F.lit(CONTEXT))), rf"^[\s\"'`]*({TOKEN})", 1))
+        return F.zip_with(left, right, lambda x, y: F.struct(x["one"].alias("one"), x["two"].alias("two"), y.alias("next"), *([x["assigned"].alias("assigned")] if assigned else [])))
 
     def each(gaps: Column, hits: Column) -> Column:
-        known = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("hit"), F.lower(F.regexp_extract(F.right(g, F.lit(200)), r"(\S{1,100})\s*$", 1)).alias("before")))
-        return F.zip_with(_starts(gaps, hits), known, lambda at, x: F.struct(at.alias("start"), (at + F.length(x["hit"])).alias("end"), x["hit"].alias("hit"), x["before"].alias("before")))
+        extra = ["assigned"] if assigned else []
+        known = F.zip_with(hits, context(gaps, hits), lambda h, c: F.struct(h.alias("hit"), *(c[f].alias(f) for f in ("one", "two", "next", *extra))))
+        return F.zip_with(_starts(gaps, hits), known, lambda at, x: F.struct(at.alias("start"), (at + F.length(x["hit"])).alias("end"), *(x[f].alias(f) for f in ("hit", "one", "two", "next", *extra))))
 
     def some(gaps: Column) -> Column:
         return F.when(F.size(gaps) > 1, _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: each(gaps, hits)))
@@ -104,11 +135,11 @@ def _replaced(text: Column, kind: str, mark) -> Column:
 
 
 def _seeds(text: Column) -> Column:
-    """The base spans of a text in order: start, rank, end, kind, value, before."""
+    """The base spans of a text in order: start, rank, end, kind, value and context."""
 
     def of(rank: int, kind: str) -> Column:
         good = F.filter(_found(text, PATTERNS[kind]), lambda x: _passes(kind, x["hit"]))
-        mine = F.transform(good, lambda x: F.struct(x["start"], F.lit(rank).alias("rank"), x["end"], F.lit(kind).alias("kind"), F.lower(x["hit"]).alias("value"), x["before"]))
+        mine = F.transform(good, lambda x: F.struct(x["start"], F.lit(rank).alias("rank"), x["end"], F.lit(kind).alias("kind"), F.lower(x["hit"]).alias("value"), x["one"], x["two"], x["next"]))
         tried = F.when(F.contains(text, F.lit(NEEDS[kind])), mine) if kind in NEEDS else mine
         return F.coalesce(tried, F.array())
 
@@ -116,10 +147,10 @@ def _seeds(text: Column) -> Column:
 
 
 def _extracted(docs: DataFrame) -> DataFrame:
-    """doc_id, key of the text, row, seeds (start, rank, end, kind, value, before) and candidates of each row.
-    Candidates are looked for in the text with its seeds blotted out by as many commas."""
+    """doc_id, key of the text, row, seeds and candidates of each row. Candidates are looked for in the text with
+    its seeds blotted out by as many commas. A text without digit or @ sign is passed over."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    text = F.col("text")
+    text, any_ = F.col("text"), F.rlike(F.col("text"), F.lit(ANY))
 
     rest = text
     for kind in KINDS:
@@ -128,73 +159,116 @@ def _extracted(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.unhex(F.md5("text")).alias("key"),
         F.monotonically_increasing_id().alias("row"),
-        _seeds(text).alias("seeds"),
-        F.coalesce(_let(rest, lambda t: _found(t, CANDIDATE)), F.array()).alias("candidates"),
+        F.coalesce(F.when(any_, _seeds(text)), F.array()).alias("seeds"),
+        F.coalesce(F.when(any_, _let(rest, lambda t: _found(t, CANDIDATE, assigned=True))), F.array()).alias("candidates"),
     )
     return written(kept, "extracted")  # from here on a row's number is fixed
 
 
-def _kinds_of(hit: Column) -> Column:
-    """The kinds that a candidate may be of."""
+def _kinds_of(hit: Column, assigned: Column) -> Column:
+    """Array of (kind, fixed) that a candidate may be of: fixed is 1 for a seed, 0 for what fails the kind's own check, else null."""
     digits = F.length(F.regexp_replace(hit, "[^0-9]", ""))
-    number = F.filter(
-        F.array(F.when(F.size(F.split(hit, r"\.")) == 4, "ip"), F.when(digits.between(13, 19), "card"), F.when(digits.between(7, 15), "phone")), lambda k: k.isNotNull()
+    seed = F.rlike(hit, F.lit(SECRET_SEED)) | (assigned & F.rlike(hit, F.lit(QUOTED_SEED)))
+
+    def one(kind: str, when: Column, fixed: Column) -> Column:
+        return F.when(when, F.struct(F.lit(kind).alias("kind"), fixed.cast("double").alias("fixed")))
+
+    unknown = F.lit(None)
+    number = F.array(
+        one("ip", F.rlike(hit, F.lit(r"^[0-9]+(?:\.[0-9]+){3}$")), F.lit(0)),
+        one("card", digits.between(13, 19), F.when(digits > 13, F.lit(0))),
+        one("phone", digits.between(7, 15), unknown),
+    )
+    return (
+        F.when(F.contains(hit, F.lit("@")), F.array(one("email", F.lit(True), unknown)))
+        .when(F.rlike(hit, F.lit("[A-Za-z]")), F.array(one(SECRET, F.lit(True), F.when(seed, F.lit(1)))))
+        .otherwise(F.filter(number, lambda x: x.isNotNull()))
+    )
+
+
+def _shape(value: Column) -> Column:
+    """x for hexadecimal strings, else the value with runs of letters as a and of digits as 9."""
+    return F.when(F.rlike(value, F.lit("^[0-9a-f]+$")), F.lit("x")).otherwise(F.regexp_replace(F.regexp_replace(value, "[a-z]+", "a"), "[0-9]+", "9"))
+
+
+def _pattern_names(one: Column, two: Column, next_: Column, shape: Column) -> Column:
+    """The names of the patterns of a context; shape may be null."""
+    names = F.array(
+        F.when(one != "", F.concat(F.lit("word "), one)),
+        F.when((one != "") & (two != ""), F.concat(F.lit("two "), two, F.lit(" "), one)),
+        F.when((one != "") & (next_ != ""), F.concat(F.lit("around "), one, F.lit(" "), next_)),
+        F.when(F.rlike(one, F.lit(r"^[^\p{L}\p{N},.]$")) & shape.isNotNull(), F.concat(F.lit("sign "), one, F.lit(" "), shape)),
     )
-    return F.when(F.contains(hit, F.lit("@")), F.array(F.lit("email"))).otherwise(number)
+    return F.filter(names, lambda x: x.isNotNull())
+
+
+def _edges(extracted: DataFrame) -> DataFrame:
+    """kind, value, fixed, pattern, anchor (its token before) and n (occurrences in distinct texts)."""
+    each = extracted.filter("size(seeds) + size(candidates) > 0").select("key", "seeds", "candidates").distinct()  # copies of a text count once
+    each = written(each, "each")
+    seeds = each.select(F.explode("seeds").alias("m")).select("m.kind", "m.value", F.lit(1.0).alias("fixed"), "m.one", "m.two", "m.next")
+    others = each.select(F.explode("candidates").alias("m")).select(F.explode(_kinds_of(F.col("m.hit"), F.col("m.assigned"))).alias("k"), "m.*")
+    mentions = seeds.unionByName(others.select("k.kind", F.lower("hit").alias("value"), "k.fixed", "one", "two", "next"))
+    named = mentions.select("kind", "value", "fixed", F.col("one").alias("anchor"), F.explode(_pattern_names(F.col("one"), F.col("two"), F.col("next"), _shape(F.col("value")))).alias("pattern"))
+    return named.groupBy("kind", "value", "pattern", "anchor").agg(F.max("fixed").alias("fixed"), F.count(F.lit(1)).alias("n"))
 
 
-def _uses(docs: DataFrame, live: DataFrame) -> DataFrame:
-    """before and uses: how often each word of live stands in the distinct texts of docs, identifiers cut out, so
-    that words end where ``before`` ends. A line break stops a candidate as a comma does."""
+def _uses(docs: DataFrame, possible: DataFrame) -> DataFrame:
+    """pattern and uses: how often the words of each possible pattern (anchor, pattern) stand so in the distinct
+    texts of docs."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rest = text
-    for kind in KINDS:
-        rest = _let(rest, lambda t: _replaced(t, kind, lambda h: F.lit("\n")))
-    words = F.transform(F.split(F.lower(F.regexp_replace(rest, CANDIDATE, "\n")), r"\s+"), lambda w: F.right(w, F.lit(100)))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.unhex(F.md5(text)).alias("key"), F.explode(words).alias("before"))
-    by_row = rows.join(live, "before").groupBy("row", "key", "before").agg(F.count(F.lit(1)).alias("n"))
-    return by_row.select("key", "before", "n").distinct().groupBy("before").agg(F.sum("n").alias("uses"))
-
-
-def _patterns(docs: DataFrame, extracted: DataFrame) -> DataFrame | None:
-    """kind, before and score of patterns of high score, or None if no pattern has a candidate."""
-    each = written(extracted.filter("size(seeds) + size(candidates) > 0").select("key", "seeds", "candidates").distinct(), "each")  # copies of a text count once
-    counted = lambda df, seed: df.groupBy("kind", "before", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("seed", F.lit(seed))
-    seeds = counted(each.select(F.explode("seeds").alias("s")).select("s.kind", "s.before", "s.value").filter("before != ''"), 1.0)
-    others = each.select(F.explode("candidates").alias("c")).select(F.explode(_kinds_of(F.col("c.hit"))).alias("kind"), "c.before", F.lower("c.hit").alias("value"))
-    patterns = seeds.groupBy("kind", "before").agg(F.count(F.lit(1)).alias("seeds")).filter(F.col("seeds") >= MIN_SEEDS)
-    graph = written(seeds.unionByName(counted(others, 0.0)).join(patterns.select("kind", "before"), ["kind", "before"], "left_semi"), "graph")
-    live = written(graph.filter("seed = 0").select("kind", "before").distinct(), "live")
-    if live.isEmpty():
+    anchors = possible.select("anchor").distinct()
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.unhex(F.md5(text)).alias("key"), tokens.alias("t"))
+    zipped = F.arrays_zip(F.concat(F.array(F.lit("")), F.col("t")).alias("two"), F.col("t").alias("one"), F.expr("slice(t, 3, size(t))").alias("next"))
+    each = rows.select("row", "key", F.explode(zipped).alias("c")).select("row", "key", F.col("c.one").alias("anchor"), F.col("c.two").alias("two"), F.coalesce("c.next", F.lit("")).alias("next"))
+    near = each.filter("anchor IS NOT NULL").join(anchors, "anchor")
+    named = near.select("row", "key", F.explode(_pattern_names(F.col("anchor"), F.col("two"), F.col("next"), F.lit(None))).alias("pattern"))
+    by_row = named.join(possible.select("pattern"), "pattern").groupBy("row", "key", "pattern").agg(F.count(F.lit(1)).alias("n"))
+    return by_row.select("key", "pattern", "n").distinct().groupBy("pattern").agg(F.sum("n").alias("uses"))
+
+
+def accepted_instances(docs: DataFrame, edges: DataFrame) -> DataFrame | None:
+    """kind, value and score of the accepted instances, seeds in the graph among them; None if none can be found."""
+    accepted = "coalesce(score, 0) >= " + str(MIN_SCORE)
+    # patterns that may be induced in some round: enough instances that do not fail, one of them no seed
+    chance = edges.groupBy("kind", "pattern").agg(F.count_if(F.expr("fixed IS NULL OR fixed > 0")).alias("v"), F.count_if(F.expr("fixed IS NULL")).alias("free"), F.max("anchor").alias("anchor"), F.sum("n").alias("n"))
+    possible = written(chance.filter((F.col("v") >= MIN_SEEDS) & (F.col("free") > 0)).select("kind", "pattern", "anchor", "n"), "possible")
+    if possible.isEmpty():
         return None
-    uses = written(_uses(docs, live.select("before").distinct()), "uses")
-    graph = written(graph.join(live, ["kind", "before"]), "live_graph")
-    scores = None
+    words = possible.filter("pattern NOT LIKE 'sign %'").select("anchor", "pattern").distinct()
+    uses = possible.join(_uses(docs, words), "pattern", "left").select("kind", "pattern", F.greatest("n", F.coalesce("uses", F.lit(0))).alias("uses"))
+    graph = written(edges.join(uses, ["kind", "pattern"]).select("kind", "value", "pattern", "fixed", "n", "uses"), "graph")
+    scores = graph.groupBy("kind", "value").agg(F.max("fixed").alias("score"))
     for _ in range(ROUNDS):
-        if scores is None:
-            instances = graph.withColumn("instance", F.col("seed"))
-        else:
-            chance = graph.join(scores, ["kind", "before"]).groupBy("kind", "value").agg(F.max("seed").alias("seed"), (1 - F.product(1 - F.col("score"))).alias("chance"))
-            instances = graph.drop("seed").join(chance.select("kind", "value", F.greatest("seed", "chance").alias("instance")), ["kind", "value"])
-        mass = instances.groupBy("kind", "before").agg(F.sum(F.col("instance") * F.col("n")).alias("mass"), F.sum("n").alias("n"))
-        # a word that is itself part of an identifier is met before instances only
-        scores = written(mass.join(uses, "before", "left").select("kind", "before", (F.col("mass") / F.greatest("uses", "n")).alias("score")), "scores")
-    return scores.filter(F.col("score") >= MIN_SCORE)
+        known = graph.join(scores, ["kind", "value"])
+        induced = known.groupBy("kind", "pattern").agg(
+            F.count_if(F.expr(accepted)).alias("support"), (F.sum(F.expr(f"CASE WHEN {accepted} THEN score * n ELSE 0 END")) / F.max("uses")).alias("strength")
+        )
+        induced = induced.filter(F.col("support") >= MIN_SEEDS).select("kind", "pattern", "strength")
+        best = graph.join(induced, ["kind", "pattern"], "left").groupBy("kind", "value").agg(F.max("fixed").alias("fixed"), F.max("strength").alias("strength"))
+        scores = written(best.select("kind", "value", F.coalesce("fixed", "strength").alias("score")), "scores")
+    return scores.filter(accepted)
+
+
+SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, key, seeds and added (start, rank, end, kind) of every row of docs."""
+    """doc_id, key, seeds and added (start, rank, end, kind) of every row of docs. Added are the candidates whose
+    value was accepted, of two kinds the better one, and secrets that are seeds."""
     extracted = _extracted(docs)
-    patterns = _patterns(docs, extracted)
-    span = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
-    if patterns is None:
-        return extracted.select("doc_id", "key", "seeds", F.array().cast(span).alias("added"))
-    found = extracted.select("row", F.explode("candidates").alias("c")).select("row", "c", F.explode(_kinds_of(F.col("c.hit"))).alias("kind"), F.col("c.before").alias("before"))
-    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
-    best = found.join(patterns, ["kind", "before"]).groupBy("row", F.col("c.start").alias("start"), F.col("c.end").alias("end")).agg(F.max(F.struct("score", "kind")).alias("best"))
-    best = best.withColumn("kind", F.col("best.kind")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind"))).alias("added"))
-    free = F.filter("added", lambda c: ~F.exists("seeds", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
-    return extracted.join(best, "row", "left").select("doc_id", "key", "seeds", F.coalesce(free, F.array().cast(span)).alias("added"))
+    found = accepted_instances(docs, written(_edges(extracted), "edges"))
+    each = extracted.select("row", F.explode("candidates").alias("c")).select("row", "c.start", "c.end", F.lower("c.hit").alias("value"), F.explode(_kinds_of(F.col("c.hit"), F.col("c.assigned"))).alias("k"))
+    each = each.select("row", "start", "end", "value", "k.kind", "k.fixed")
+    if found is None:
+        best = each.filter("fixed = 1").withColumn("score", F.lit(1.0))
+    else:
+        best = each.join(found, ["kind", "value"], "left").withColumn("score", F.coalesce("fixed", "score")).filter("score > 0")
+    rank = F.array_position(F.array(*map(F.lit, (*KINDS, SECRET))), F.col("best.kind")).cast("int") - 1
+    best = best.groupBy("row", "start", "end").agg(F.max(F.struct("score", "kind")).alias("best")).select("row", F.struct("start", rank.alias("rank"), "end", "best.kind").alias("span"))
+    added = best.groupBy("row").agg(F.array_sort(F.collect_list("span")).alias("added"))  # at most the candidates of one text
+    return extracted.join(added, "row", "left").select("doc_id", "key", "seeds", F.coalesce("added", F.array().cast(SPAN)).alias("added"))
 
 
 def _named(spans: Column) -> Column:
@@ -202,11 +276,11 @@ def _named(spans: Column) -> Column:
 
 
 def span_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, the number of base spans of each kind, the digest of all base spans, and all spans."""
+    """doc_id, the number of added spans and of base spans of each kind, the digest of all base spans, and all spans."""
     found = find_spans(docs)
     base = F.transform("seeds", lambda s: F.struct(s["start"], s["rank"], s["end"], s["kind"]))
     kinds = F.transform("seeds", lambda s: s["kind"])
-    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    counts = [F.size("added").cast("long").alias("n_added")] + [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]
     return found.select("doc_id", *counts, F.sha2(_named(base), 256).alias("base_sha256"), _named(F.array_sort(F.concat(base, "added"))).alias("spans"))
 
 
@@ -237,18 +311,21 @@ def _cut(text: Column, spans: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every found span of text replaced by its kind in brackets, overlapping ones as one, and what then
     matches a base pattern as well."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    columns = [F.col(f"row.{_quoted(c)}").alias(c) for c in docs.columns]
     base = lambda spans: F.transform(spans, lambda s: F.struct(s["start"], s["rank"], s["end"], s["kind"]))
     found = find_spans(docs).select("doc_id", "key", F.array_sort(F.concat(base(F.col("seeds")), "added")).alias("spans"), (F.size("added") > 0).alias("more"))
     # spans of the base patterns that are apart are replaced kind by kind, all others by position
-    placed = written(found.filter(F.col("more") | _overlap(F.col("spans"))).select("doc_id", "key", "spans").distinct(), "placed")
-    columns = docs.columns
+    placed = written(found.filter(F.col("more") | _overlap(F.col("spans"))).select(F.col("doc_id").alias("of"), "key", "spans").distinct(), "placed")
+    rows = docs.select(F.struct(*(F.col(_quoted(c)) for c in docs.columns)).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("new"))
     if not placed.isEmpty():
-        docs = docs.withColumn("_key", F.unhex(F.md5(text)))
-        extra = placed.select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.col("spans").alias("_spans"))
-        docs = docs.join(extra, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left")
-        docs = docs.withColumn("text", F.when(F.size("_spans") > 0, _cut(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))).select(*columns)
-    text = F.col("text")
+        rows = rows.withColumn("key", F.unhex(F.md5("new"))).join(placed.withColumnRenamed("key", "of_key"), F.col("row.doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left")
+        rows = rows.select("row", F.when(F.size("spans") > 0, _cut(F.col("new"), F.col("spans"))).otherwise(F.col("new")).alias("new"))
+    text = F.col("new")
     for kind in KINDS:
         text = _let(text, lambda t: _replaced(t, kind, lambda h: F.lit(f"[{kind.upper()}]")))
-    return docs.withColumn("text", text)
+    text = F.when(F.rlike("new", F.lit(ANY)), text).otherwise(F.col("new"))
+    return rows.select("row", F.when(F.col("row.text").isNotNull(), text).alias("new")).select(*(F.col("new").alias(c) if c == "text" else x for c, x in zip(docs.columns, columns, strict=True)))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

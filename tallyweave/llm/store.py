@@ -4,17 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _own_dir(application: str) -> str:
+    """One folder of this machine for an application that runs on it alone."""
+    return "file://" + tempfile.mkdtemp(prefix="shared_")
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder name below spark.checkpoint.dir, as a URI. Only where the setting is missing (tests,
-    one machine) is a local folder set for it."""
+    """A new folder name below spark.checkpoint.dir, as a URI. Only where the setting is missing and all tasks run
+    on this machine (tests) a local folder stands in for it; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="shared_")
-        spark.conf.set("spark.checkpoint.dir", root)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
+        root = _own_dir(context.applicationId)
     return f"{root.rstrip('/')}/{what}_{uuid.uuid4().hex}"
 
 
