@@ -11,6 +11,7 @@ on what a table happens to hold.
 from __future__ import annotations
 
 import base64
+import re
 from functools import cache
 
 import numpy as np
@@ -18,6 +19,8 @@ import numpy as np
 TABLE_LIMIT = 600_000
 #: Longer words are encoded when met and not kept.
 KEEP_CHARS = 64
+#: Runs of Unicode white space that the byte-level library's splitter must not see: it recurses once a character.
+LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
 def unsafe(word: str) -> bool:
@@ -54,7 +57,15 @@ class ByteBpe:
         self.limit, self.first, self.rest = limit, _Words(self.whole, ""), _Words(self.whole, " ")
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.core.encode_ordinary(text), dtype="<u4").tobytes()
+        """Ids of a text of any white space. Of a run of it the splitter makes one piece, but for the last character
+        before something else, which goes on with that: so long runs are cut out and encoded as pieces."""
+        ids, at = [], 0
+        for run in LONG_SPACE.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            ids += self.core.encode_ordinary(text[at : run.start()])
+            ids += self.core.encode_single_piece(text[run.start() : end].encode())
+            at = end
+        return np.array(ids + self.core.encode_ordinary(text[at:]), dtype="<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Null counts as empty."""

@@ -7,7 +7,7 @@ primes and the ``KEEP`` least scrambled hashes of its spans of ``SPAN`` code poi
 fingerprints is the share of common spans (Dice) that these estimate, 1 for equal texts.
 
 The query's edited text joins a document with the next one by doc_id. Documents are dealt into ranges of
-doc_id whose bounds come from the ids alone; each range also gets the first document of the following
+doc_id of about equal bytes, each a partition of its own; each range also gets the first document of the following
 one, so every text is shuffled once and no task sees more than its range. The hashes of an edited text's
 spans are those of its two parts, so each text is hashed once.
 
@@ -149,16 +149,45 @@ def _edited(doc: _Doc, after: _Doc) -> tuple[str, str]:
 
 
 LEAST_ID = -(1 << 63)
+#: Bytes of text that a range holds at most, unless one id alone has more, and ranges that are dealt at most.
+RANGE_BYTES, MAX_RANGES = 32 << 20, 50_000
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix_next long"
 
 
-def _dealt(docs: DataFrame) -> DataFrame:
+def _bounds(docs: DataFrame, range_bytes: int) -> np.ndarray:
+    """The ids at which ranges of about equal bytes begin, but for the first: fine ranges of equal counts, joined
+    while they hold few bytes. As many as the bytes ask for, about MAX_RANGES at most."""
+    sized = docs.select(F.coalesce("doc_id", F.lit(LEAST_ID)).alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    target = max(range_bytes, -(-total // MAX_RANGES))
+    n = 4 * max(-(-total // target), docs.sparkSession.sparkContext.defaultParallelism)
+    fine = np.unique(np.array(sized.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n), dtype=np.float64).astype(np.int64))
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(len(fine) + 1, np.int64)
+        for b in batches:
+            np.add.at(held, np.searchsorted(fine, b.column(0).to_numpy(), side="right"), b.column(1).to_numpy())
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at], pa.int64())], ["range", "size"])
+
+    held = np.zeros(len(fine) + 1, np.int64)
+    for r in sized.mapInArrow(sizes, "range long, size long").groupBy("range").agg(F.sum("size").alias("size")).collect():  # one row a fine range
+        held[r["range"]] = r["size"]
+    target = min(target, max(1, 4 * total // n))  # small tables still use all cores
+    bounds, now = [], held[0]
+    for bound, size in zip(fine.tolist(), held[1:].tolist(), strict=True):
+        if now and now + size > target:
+            bounds.append(bound)
+            now = 0
+        now += size
+    return np.array(bounds, np.int64)
+
+
+def _dealt(docs: DataFrame, range_bytes: int) -> tuple[DataFrame, int]:
     """Rows (range, guest, doc_id, text): each document in its range of doc_id, and the first document of
-    each range once more, as guest, in the range before (of the first: in the last)."""
-    spark = docs.sparkSession
+    each range once more, as guest, in the range before (of the first: in the last). And the number of ranges."""
     ids = docs.select(F.coalesce("doc_id", F.lit(LEAST_ID)).alias("doc_id"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = np.unique(np.array(ids.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n) if n > 1 else [], dtype=np.float64).astype(np.int64))
+    bounds = _bounds(docs, range_bytes)
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,8 +195,7 @@ def _dealt(docs: DataFrame) -> DataFrame:
             at, first = np.unique(np.searchsorted(bounds, x, side="right"), return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(x[first], pa.int64())], ["range", "first"])
 
-    # one row a range: as many as there are shuffle partitions
-    rows = sorted(ids.mapInArrow(firsts, "range long, first long").groupBy("range").agg(F.min("first").alias("first")).collect())
+    rows = sorted(ids.mapInArrow(firsts, "range long, first long").groupBy("range").agg(F.min("first").alias("first")).collect())  # one row a range
     guests = {first: rows[k - 1][0] for k, (_, first) in enumerate(rows)}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,19 +203,19 @@ def _dealt(docs: DataFrame) -> DataFrame:
         for b in batches:
             keys = b.column(0).fill_null(LEAST_ID).to_numpy()
             home = np.searchsorted(bounds, keys, side="right")
-            yield pa.RecordBatch.from_arrays([pa.array(home, pa.int64()), pa.array(np.zeros(len(keys), bool)), *b.columns], ["range", "guest", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), pa.array(np.zeros(len(keys), bool)), *b.columns], ["range", "guest", "doc_id", "text"])
             hit = np.flatnonzero(np.isin(keys, firsts_only))
             if len(hit):
                 extra = b.take(pa.array(hit))
                 to = [guests[int(keys[i])] for i in hit]
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(np.ones(len(hit), bool)), *extra.columns], ["range", "guest", "doc_id", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(np.ones(len(hit), bool)), *extra.columns], ["range", "guest", "doc_id", "text"])
 
-    return docs.mapInArrow(deal, "range long, guest boolean, doc_id long, text string")
+    return docs.mapInArrow(deal, "range int, guest boolean, doc_id long, text string"), len(bounds) + 1
 
 
-def fingerprint_documents(docs: DataFrame) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, with likenesses (see RESULT)."""
-    dealt = _dealt(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    dealt, n = _dealt(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), range_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64())
@@ -211,5 +239,4 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else ([] for _ in kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "range").sortWithinPartitions("range", "guest", "doc_id", "text").mapInArrow(run, RESULT)
+    return dealt.repartitionById(n, "range").sortWithinPartitions("range", "guest", "doc_id", "text").mapInArrow(run, RESULT)

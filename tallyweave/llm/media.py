@@ -14,7 +14,6 @@ again. An empty directory gives no rows. A member that stays broken after ``retr
 from __future__ import annotations
 
 import hashlib
-import json
 import struct
 import time
 import uuid
@@ -24,19 +23,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tallyweave.llm.store import filesystem, shared_dir, written
+from tallyweave.llm.store import filesystem, shared_dir
 
 WIDTH, LEVEL = 64, 1
-FILE_BYTES, RANGE_BYTES, BATCH_BYTES = 128 << 20, 8 << 20, 2 << 20
+FILE_BYTES, RANGE_BYTES, BATCH_BYTES, MAX_RANGES = 128 << 20, 8 << 20, 2 << 20, 50_000
 #: Member header: mark, has an id, id, unpadded bytes, media bytes, CRC-32 of the media.
 HEADER = "<4s?xxxqqqI4x"
 HEADER_BYTES = struct.calcsize(HEADER)
 ENTRY = np.dtype([("offset", "<i8"), ("size", "<i8")])
 MARK = b"MEMB"
+ARCHIVES = "file string, members long, size long"
 PNG = b"\x89PNG\r\n\x1a\n"
 
 
@@ -85,8 +85,9 @@ def feature(payload: bytes) -> str:
     return f"{len(x) // WIDTH};{x.mean():.6f};{x.std():.6f};" + ",".join(f"{s:.6f}" for s in shares)
 
 
-def write_archives(docs: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Stores all texts of docs in archives; returns (file, members) of those that count."""
+def write_archives(docs: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> tuple[DataFrame, str]:
+    """Stores all texts of docs in archives; returns (file, members, size) of those that count, and where that
+    table is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(folder)
@@ -97,7 +98,7 @@ def write_archives(docs: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -
             out.close()
             with fs.open_output_stream(f"{path}/{name}.idx") as f:
                 f.write(np.array(index, ENTRY).tobytes())
-            return pa.RecordBatch.from_pydict({"file": [name], "members": [len(index)]})
+            return pa.RecordBatch.from_pydict({"file": [name], "members": [len(index)], "size": [at]})
 
         for batch in batches:
             for doc_id, text in zip(*batch.columns, strict=True):
@@ -116,7 +117,9 @@ def write_archives(docs: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -
         if out is not None:
             yield close()
 
-    return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "file string, members long"), "archives")
+    manifest = shared_dir(docs.sparkSession, "archives")
+    docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ARCHIVES).write.parquet(manifest)
+    return docs.sparkSession.read.schema(ARCHIVES).parquet(manifest), manifest
 
 
 @dataclass
@@ -136,16 +139,24 @@ class MediaReader(DataSourceReader):
         self.folder = options["path"]
         self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
         self.retries = int(options.get("retries", 3))
-        self.files = json.loads(options["files"]) if "files" in options else None
+        self.manifest = options.get("manifest")
 
     def partitions(self) -> list[InputPartition]:
+        """Byte ranges over the archives: those of the manifest if there is one, else all of the folder. Ranges widen so
+        that there are not many more than MAX_RANGES."""
+        import pyarrow.dataset as ds
         from pyarrow.fs import FileSelector
 
-        fs, path = filesystem(self.folder)
-        found = [x for x in fs.get_file_info(FileSelector(path, allow_not_found=True)) if x.base_name.endswith(".dat")]
-        keep = None if self.files is None else set(self.files)
-        sizes = sorted((x.base_name[:-4], x.size) for x in found if keep is None or x.base_name[:-4] in keep)
-        return [ByteRange(n, a, min(a + self.range_bytes, size)) for n, size in sizes for a in range(0, size, self.range_bytes)] or [ByteRange("", 0, 0)]
+        if self.manifest is None:
+            fs, path = filesystem(self.folder)
+            found = fs.get_file_info(FileSelector(path, allow_not_found=True))
+            sizes = sorted((x.base_name[:-4], x.size) for x in found if x.base_name.endswith(".dat"))
+        else:
+            fs, path = filesystem(self.manifest)
+            table = ds.dataset(path, filesystem=fs, format="parquet", exclude_invalid_files=True).to_table()
+            sizes = sorted(zip(table["file"].to_pylist(), table["size"].to_pylist(), strict=True)) if table.num_rows else []
+        step = max(self.range_bytes, -(-sum(size for _, size in sizes) // MAX_RANGES))
+        return [ByteRange(n, a, min(a + step, size)) for n, size in sizes for a in range(0, size, step)] or [ByteRange("", 0, 0)]
 
     def _index(self, fs, path: str, part: ByteRange) -> np.ndarray:
         """Entries of the members that begin in the range."""
@@ -212,7 +223,8 @@ class MediaReader(DataSourceReader):
 
 
 class MediaArchives(DataSource):
-    """spark.read.format("media_archives").load(folder): doc_id, n_bytes, media. Options: rangeBytes, retries, files."""
+    """spark.read.format("media_archives").load(folder): doc_id, n_bytes, media. Options: rangeBytes, retries, manifest (a
+    Parquet table of file and size: other archives in the folder do not count)."""
 
     @classmethod
     def name(cls) -> str:
@@ -225,13 +237,10 @@ class MediaArchives(DataSource):
         return MediaReader(self.options)
 
 
-def read_archives(archives: DataFrame, folder: str) -> DataFrame:
-    """The members of the archives that write_archives has listed. Their names go to the driver: one for
-    each ``FILE_BYTES`` written."""
-    spark = archives.sparkSession
+def read_archives(spark: SparkSession, folder: str, manifest: str) -> DataFrame:
+    """The members of the archives of a folder that the manifest of write_archives names."""
     spark.dataSource.register(MediaArchives)
-    names = [r.file for r in archives.select("file").collect()]
-    return spark.read.format("media_archives").option("files", json.dumps(names)).load(folder)
+    return spark.read.format("media_archives").option("manifest", manifest).load(folder)
 
 
 def with_features(media: DataFrame) -> DataFrame:
@@ -261,4 +270,5 @@ def with_features(media: DataFrame) -> DataFrame:
 def round_trip(docs: DataFrame) -> DataFrame:
     """Stores all texts as images in archives, reads them back and computes their features."""
     folder = shared_dir(docs.sparkSession, "media")
-    return with_features(read_archives(write_archives(docs, folder), folder))
+    _, manifest = write_archives(docs, folder)
+    return with_features(read_archives(docs.sparkSession, folder, manifest))

@@ -40,3 +40,20 @@ def filesystem(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)
+
+
+#: Bytes that a task reads of files named in a table.
+TASK_BYTES = 64 << 20
+
+
+def tasks_for(spark: SparkSession, items: int, size: int) -> int:
+    """Tasks for a table that names items of size bytes in all: one for each TASK_BYTES, at least as many as run
+    at once, at most one an item."""
+    return max(1, min(items, max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))))
+
+
+def discard(spark: SparkSession, *tables: DataFrame | None) -> None:
+    """Deletes tables that written() made and nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for t in tables if t is not None for f in t.inputFiles()}:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm.chunks import byte_bpe
-from tallyweave.llm.store import filesystem, shared_dir, written
+from tallyweave.llm.store import filesystem, shared_dir, tasks_for, written
 
 BLOCK_BYTES, FILE_BYTES = 8 << 20, 256 << 20
 
@@ -37,7 +37,7 @@ def write_token_files(docs: DataFrame, folder: str, ranks: str, pattern: str, se
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(folder)
         fs.create_dir(path, recursive=True)
-        bpe, end = byte_bpe(ranks, pattern), np.array([separator], dtype).tobytes()
+        bpe, end, most = byte_bpe(ranks, pattern), np.array([separator], dtype).tobytes(), np.iinfo(dtype).max
         out, name, size, ordinal = None, "", 0, 0
         for batch in batches:
             names, ordinals = [], []
@@ -47,7 +47,10 @@ def write_token_files(docs: DataFrame, folder: str, ranks: str, pattern: str, se
                         out.close()
                     name, size, ordinal = f"tokens-{uuid.uuid4().hex}.bin", 0, 0
                     out = fs.open_output_stream(f"{path}/{name}", buffer_size=1 << 20)
-                tokens = np.frombuffer(bpe.encode(text.as_py()), "<u4").astype(dtype).tobytes() + end
+                ids = np.frombuffer(bpe.encode(text.as_py()), "<u4")
+                if len(ids) and int(ids.max()) > most:
+                    raise OverflowError(f"id {ids.max()} does not fit {dtype}")
+                tokens = ids.astype(dtype).tobytes() + end
                 out.write(tokens)
                 names.append(name)
                 ordinals.append(ordinal)
@@ -90,7 +93,9 @@ def document_tokens(files: DataFrame, folder: str, separator: int, dtype: str =
                 )
 
     blocks = files.filter("size > 0").select("file", "size", F.explode(F.expr(f"sequence(0L, (size - 1) div {block_bytes})")).alias("block"))
-    found = written(blocks.repartition(F.xxhash64("file", "block")).mapInArrow(scan, "file string, block long, closed boolean, ends array<long>"), "blocks")
+    n_blocks, n_bytes = files.filter("size > 0").agg(F.coalesce(F.sum(F.expr(f"(size - 1) div {block_bytes} + 1")), F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    # the listing is tiny, what it names is not: a count of tasks by bytes, which adaptive execution leaves alone
+    found = written(blocks.repartition(tasks_for(files.sparkSession, n_blocks, n_bytes)).mapInArrow(scan, "file string, block long, closed boolean, ends array<long>"), "blocks")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     summary = found.select("file", "block", F.size("ends").alias("n"), F.when(F.size("ends") > 0, F.element_at("ends", -1)).alias("last_end"))
     carried = summary.select(

@@ -1,7 +1,7 @@
 """WARC archives: one gzip member per record, written and read sequentially by Spark tasks.
 
-Writing: payload digests and the grouping of equal payloads are DataFrame operations (the group's largest
-page_id by a map-side combined aggregate, joined back only for groups of more than one). Tasks then stream
+Writing: payload digests and the grouping of equal payloads are DataFrame operations over digests and ids (the
+group's largest page_id by a map-side combined aggregate, joined back only for groups of more than one). Tasks then stream
 their records into archives of about ``FILE_BYTES``. Of equal payloads one record is a response, the others
 are revisits that keep the HTTP header but no body. Reading: one task walks an archive from front to back,
 decompressing incrementally, framing records by Content-Length and checking digests; it holds at most one
@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.store import filesystem, shared_dir, written
+from tallyweave.llm.store import filesystem, shared_dir, tasks_for, written
 
-FILE_BYTES, CHUNK, LEVEL = 64 << 20, 256 << 10, 3
+FILE_BYTES, CHUNK, LEVEL, SALTS = 64 << 20, 256 << 10, 3, 16
 HEAD_LIMIT = 1 << 20
 DATE = "2026-01-01T00:00:00Z"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
@@ -39,15 +39,23 @@ def base32_sha1(payload: bytes) -> str:
 
 
 def with_refers_to(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload and, for revisits, refers_to: the largest page_id of equal payloads."""
+    """page_id, url, payload and, for revisits, refers_to: the largest page_id of equal payloads. Digests and ids are
+    shuffled, payloads only if the revisits, written first, are too many for Spark to broadcast."""
+    digest = F.unhex(F.sha2("payload", 256))
     rows = pages.select(
         F.col("page_id").cast("long"),
         F.col("url").cast("string"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"),
-    ).withColumn("key", F.sha2("payload", 256))
-    keys = rows.filter(F.length("payload") >= min_bytes).groupBy("key").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
-    joined = rows.join(keys.filter("n > 1").select("key", "refers_to"), "key", "left")
-    return joined.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("refers_to")), F.col("refers_to")).alias("refers_to"))
+    )
+    keys = written(rows.filter(F.length("payload") >= min_bytes).select("page_id", digest.alias("key")), "keys")
+    groups = keys.groupBy("key").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND refers_to IS NOT NULL")
+    # one payload may be that of a third of all pages: its pages are dealt over SALTS tasks
+    groups = groups.select("key", "refers_to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = keys.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("page_id"), F.lit(SALTS)), F.lit(0)).cast("int"))
+    revisits = salted.join(groups, ["key", "salt"]).filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "key", "refers_to").distinct()
+    revisits = written(revisits, "revisits").withColumnsRenamed({"page_id": "of", "key": "of_key"})
+    joined = rows.withColumn("key", digest).join(revisits, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left")
+    return joined.select("page_id", "url", "payload", "refers_to")
 
 
 def _urn(page_id: int | None) -> str:
@@ -147,7 +155,8 @@ def parse(text: bytes) -> dict:
 
 
 def read_archives(files: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """All records of the archives (file), with their payloads unless told not to; see RECORDS."""
+    """All records of the archives (file, size), with their payloads unless told not to; see RECORDS. An archive is
+    read by one task; tasks grow with the bytes."""
     names = [x.split()[0] for x in RECORDS.split(", ")][: None if payloads else -1]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()][: len(names)]
 
@@ -172,7 +181,8 @@ def read_archives(files: DataFrame, folder: str, payloads: bool = True) -> DataF
             yield batch_of(rows)
 
     schema = ", ".join(x for x in RECORDS.split(", ") if x.split()[0] in names)
-    return files.select("file").repartition("file").mapInArrow(run, schema)
+    n_files, n_bytes = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return files.select("file").repartition(tasks_for(files.sparkSession, n_files, n_bytes)).mapInArrow(run, schema)
 
 
 def archive_pages(pages: DataFrame, min_bytes: int = 0) -> tuple[DataFrame, str]:

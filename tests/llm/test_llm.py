@@ -39,7 +39,7 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    t.encode_special_tokens = True  # op1's rule: the separator's name in a text is ordinary text; op4 is tested at the defaults
     return t
 
 
@@ -82,18 +82,6 @@ def test_token_counts(docs, odd):
         assert sorted((str(r.doc_id), r.n_tokens) for r in got) == want
 
 
-def test_clause_grammar():
-    stems = (("idiot", 6.0),)
-    f = lambda t: toxicity.features(t, stems).round(2).tolist()
-    one = round(float(np.log(2)), 2)
-    assert f("you are an idiot") == [one, 0, 0, 0, 0, 0]
-    assert f("what an idiot. you") == [0, one, 0, 0, 0, 0]
-    assert f("you are not an idiot") == [0, 0, one, 0, 0, 0]
-    assert f("they said idiot") == [0, 0, 0, 0, 0, one]
-    assert f("I will kill you") == [0, 0, 0, one, 0, 0]
-    assert f("skill and idiotic words")[1] == one and f("skilled") == [0] * 6 and f(None) == f("") == [0] * 6
-
-
 def test_toxicity(spark, docs, odd):
     train = spark.createDataFrame([(k, f"word{k} you idiot, near{k} zorgle{k} here{k} text" if k % 2 else f"word{k} kind and calm here{k}") for k in range(300)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id long, toxic int")
