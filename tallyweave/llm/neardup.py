@@ -12,7 +12,8 @@ compared with one leader (the member that shares the most buckets) and links are
 of buckets that still hold several classes are dealt anew by their rare shingles (a prefix filter, which
 loses nothing), so that a passage which many documents share makes no bucket. These are compared at once
 where the pairs between classes are at most AT_ONCE times the members, else leader by leader until they
-are. No link is given up, and a pair is made only in the first bucket that its documents share. Pairs are verified on the full multisets.
+are. No link is given up. Pairs are verified on the full multisets, each once. Joins on buckets, classes and leaders, of
+which one may hold a third of all rows, deal hot keys over several tasks.
 
 Null text: empty. Texts without words form a class with equal texts only; texts of fewer than five words are
 one shingle. class_id is the least doc_id of the class (nulls aside; null if all are null). Repeated rows are
@@ -30,14 +31,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm.chunks import blocks
-from tallyweave.llm.store import written
+from tallyweave.llm.store import discard, spread_join, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of rows: at similarity 0.8 a pair shares none with probability 0.00005.
 BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
-#: Pairs for each member of a bucket that are looked at at once in the end; those in their first common
-#: bucket alone are made.
+#: Pairs for each member of a bucket that are made at once in the end.
 AT_ONCE = 50
 WORD = re.compile(r"\w+")
 GOLDEN = 0x9E3779B97F4A7C15
@@ -198,10 +198,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        large = spread_join(both, least, ["a"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m"))
-        edges = written(small.filter("a != b").distinct(), "edges")
+        old, edges = edges, written(small.filter("a != b").distinct(), "edges")
+        discard(old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -211,38 +212,43 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _rare_buckets(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """bucket, place, weight, rare and after of rest (place, weight) by rare elements: rare has all buckets of
-    a place in order, after the number of its elements that follow this one. Ordered from rare to frequent, two
-    sets of that similarity share one of their first n - ceil(similarity * n) + 1 elements, so what many
-    documents have in common makes no bucket. Elements of one set alone fill its first places unseen."""
-    each = rest.join(sets, F.col("place.key") == sets["key"]).select("place", "weight", F.explode("elements").alias("bucket"))
-    common = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = written(each.join(common, "bucket"), "shared")
+    """bucket, place, weight and after of rest (place, weight) by rare elements; after is the number of the place's
+    elements that follow this one. Ordered from rare to frequent, two sets of that similarity share one of their
+    first n - ceil(similarity * n) + 1 elements, so what many documents have in common makes no bucket. Elements of
+    one set alone fill its first places unseen."""
+    each = written(rest.join(sets, F.col("place.key") == sets["key"]).select("place", "weight", F.explode("elements").alias("bucket")), "each")
+    common = written(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "common")
+    shared = written(spread_join(each, common, ["bucket"], counts=common), "shared")
     known = shared.groupBy("place").agg(F.count(F.lit(1)).alias("known"))
     first = F.col("weight") - F.ceil(F.lit(similarity) * F.col("weight") - 1e-9) + 1 - (F.col("weight") - F.col("known"))
-    room = shared.join(known.filter(F.col("known") > 0), "place").withColumn("first", first).filter("first > 0")
+    room = shared.join(known, "place").withColumn("first", first).filter("first > 0")
     order = Window.partitionBy("place").orderBy("n", "bucket")
     placed = room.withColumn("at", F.row_number().over(order)).filter("at <= first").withColumn("after", F.col("known") - F.col("at"))
-    return placed.select("bucket", "place", "weight", F.transform(F.array_sort(F.collect_list(F.struct("at", "bucket")).over(Window.partitionBy("place"))), lambda x: x["bucket"]).alias("rare"), "after")
+    found = written(placed.select("bucket", "place", "weight", "after"), "rare")
+    discard(each, common, shared)
+    return found
 
 
-def _links(nodes: DataFrame, docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame] | None:
+def _links(nodes: DataFrame, docs: DataFrame, similarity: float, at_once: float = AT_ONCE) -> tuple[DataFrame, DataFrame] | None:
     """Verified links (a, b) that join all similar nodes, and their components; None if there are none.
     nodes: key, doc_id (of one row that has it), weight, bands; docs: doc_id, key, text."""
-    members = nodes.select("key", "weight", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = written(members.join(shared, "band"), "members")
+    every = nodes.select("key", "weight", F.explode("bands").alias("band"))
+    shared = written(every.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "bands")
+    members = written(spread_join(every, shared, ["band"], counts=shared), "members")
+    discard(shared)
     if members.isEmpty():
         return None
     popular = members.groupBy("key").agg(F.sum("n").alias("popular"))
-    members = written(members.join(popular, "key").select("band", "weight", F.struct("popular", "key").alias("place")), "ranked")
+    bare, members = members, written(members.join(popular, "key").select(F.col("band").alias("bucket"), "weight", F.struct("popular", "key").alias("place"), F.col("key").alias("label")), "ranked")
+    discard(bare)
     wanted = members.select("place.key").distinct().join(nodes.select("key", "doc_id"), "key")
     match = docs.join(wanted.withColumnsRenamed({"key": "k", "doc_id": "d"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left_semi")
     sets = written(_elements(match.select("key", "text")).dropDuplicates(["key"]), "elements")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        size, both = (lambda x: F.size(f"{x}.elements")), F.size(F.array_intersect("x.elements", "y.elements"))
-        joined = pairs.join(sets.alias("x"), F.col("a") == F.col("x.key")).join(sets.alias("y"), F.col("b") == F.col("y.key"))
+        size, both = (lambda x: F.size(x)), F.size(F.array_intersect("x", "y"))
+        x, y = (sets.select(F.col("key").alias(on), F.col("elements").alias(name)) for on, name in (("a", "x"), ("b", "y")))
+        joined = spread_join(spread_join(pairs, y, ["b"]), x, ["a"], counts=pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
         return joined.filter(both >= F.lit(similarity) * (size("x") + size("y") - both)).select("a", "b")
 
     links = tested = labels = None
@@ -255,69 +261,76 @@ def _links(nodes: DataFrame, docs: DataFrame, similarity: float) -> tuple[DataFr
         found = written(verified(pairs), "links")
         links, tested = (found, pairs) if links is None else (links.unionByName(found), tested.unionByName(pairs))
         if labels is None or not found.isEmpty():
-            labels = written(components(links), "labels")
+            old, labels = labels, written(components(links), "labels")
+            discard(old)
 
     def with_label(members: DataFrame) -> DataFrame:
-        joined = members.join(labels, F.col("place.key") == labels["key"], "left")
         kept = [c for c in members.columns if c != "label"]
-        return joined.select(*kept, F.coalesce("label", "place.key").alias("label"))
+        named = members.select(*kept, F.col("place.key").alias("key"))
+        return named.join(labels, "key", "left").select(*kept, F.coalesce("label", "key").alias("label"))
 
-    def leaders(members: DataFrame) -> DataFrame:
+    def beside_leaders(members: DataFrame) -> DataFrame:
+        """Every member with the leader of its bucket."""
         columns = [c for c in members.columns if c not in ("bucket", "place")]
-        return members.groupBy("bucket").agg(F.max("place").alias("leader"), *(F.max_by(c, "place").alias(f"leader_{c}") for c in columns))
+        leaders = members.groupBy("bucket").agg(F.max("place").alias("leader"), *(F.max_by(c, "place").alias(f"leader_{c}") for c in columns))
+        return spread_join(members, leaders, ["bucket"]).filter("place < leader")
 
     alike = F.least("weight", "leader_weight") >= F.lit(similarity) * F.greatest("weight", "leader_weight")
-    # in the first bucket that both are in, and if enough elements follow there
-    first = F.element_at(F.array_intersect("rare", "leader_rare"), 1) == F.col("bucket")
+    # if enough elements follow this bucket in both
     enough = (1 + F.least("after", "leader_after")) * (1 + similarity) >= F.lit(similarity) * (F.col("weight") + F.col("leader_weight")) - 1e-6
 
     def several(members: DataFrame) -> DataFrame:
         """The members of buckets that hold more than one class."""
         open_ = members.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1").select("bucket")
-        return members.join(open_, "bucket", "left_semi")
+        return spread_join(members, open_, ["bucket"], "left_semi")
 
     # every member of a band's bucket with its leader
-    members = members.withColumnRenamed("band", "bucket").withColumn("label", F.col("place.key"))
-    at = members.join(leaders(members), "bucket").filter("place < leader")
+    at = beside_leaders(members)
     compare(at.filter(alike))
     # what is left of the buckets that hold several classes goes on by rare shingles
-    rest = written(several(with_label(at.select("bucket", "place", "weight"))).select("place", "weight").distinct(), "rest")
+    rest = written(several(written(with_label(at.select("bucket", "place", "weight")), "below")).select("place", "weight").distinct(), "rest")
+    discard(members)
     if rest.isEmpty():
         return links, labels
-    members = written(_rare_buckets(rest, sets, similarity), "rare")
+    members = _rare_buckets(rest, sets, similarity)
     n_members = members.count()
     while True:
-        members = written(several(with_label(members)), "open")
-        by_class = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        left = by_class.agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()[0]
+        named = written(with_label(members), "named")
+        open_ = written(several(named), "open")
+        discard(members, named)
+        by_class = written(open_.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c")), "by_class")
+        left = by_class.groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q")).agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()[0]
         if not left:
             return links, labels
-        at_once = left <= AT_ONCE * n_members
-        if at_once:
-            other = members.select("bucket", F.col("place").alias("leader"), *(F.col(c).alias(f"leader_{c}") for c in ("weight", "rare", "after", "label")))
-            compare(members.join(other, "bucket").filter((F.col("place") < F.col("leader")) & (F.col("label") != F.col("leader_label")) & alike & enough & first))
+        if left <= at_once * n_members:
+            # pairs of classes in a bucket, then their members: none of one class with itself
+            pairs = by_class.select("bucket", "label").join(by_class.select("bucket", F.col("label").alias("leader_label")), "bucket").filter("label < leader_label")
+            place = spread_join(open_, pairs, ["bucket", "label"])
+            other = open_.select("bucket", *(F.col(c).alias(n) for c, n in (("label", "leader_label"), ("place", "leader"), ("weight", "leader_weight"), ("after", "leader_after"))))
+            compare(spread_join(place, other, ["bucket", "leader_label"]).filter(alike & enough))
             return links, labels
-        below = members.join(leaders(members), "bucket").filter("place < leader")
+        below = beside_leaders(open_)
         compare(below.filter((F.col("label") != F.col("leader_label")) & alike & enough))
-        members = below.select("bucket", "place", "weight", "rare", "after")
+        members = written(below.select("bucket", "place", "weight", "after"), "members")
+        discard(open_)
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def classes(docs: DataFrame, similarity: float = SIMILARITY, at_once: float = AT_ONCE) -> DataFrame:
     """doc_id, key (of the text) and label (equal for all texts of a class) of every row."""
     rows = docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     signed = written(_signatures(rows), "signatures")
     first = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
-    found = _links(first, rows, similarity)
+    found = _links(first, rows, similarity, at_once)
     if found is None:
         return signed.select("doc_id", "key", F.col("key").alias("label"))
-    return signed.select("doc_id", "key").join(found[1], "key", "left").select("doc_id", "key", F.coalesce("label", "key").alias("label"))
+    return spread_join(signed.select("key", "doc_id"), found[1], ["key"], "left").select("doc_id", "key", F.coalesce("label", "key").alias("label"))
 
 
-def class_ids(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def class_ids(docs: DataFrame, similarity: float = SIMILARITY, at_once: float = AT_ONCE) -> DataFrame:
     """doc_id and class_id, the least doc_id of its class, of every row."""
-    found = written(classes(docs, similarity).select("doc_id", "label"), "classes")
-    least = found.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return found.join(least, "label").select("doc_id", "class_id")
+    found = written(classes(docs, similarity, at_once).select("doc_id", "label"), "classes")
+    least = written(found.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n")), "least")
+    return spread_join(found, least.select("label", "class_id"), ["label"], counts=least).select("doc_id", "class_id")
 
 
 def representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -326,13 +339,11 @@ def representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     found = written(classes(docs, similarity), "classes")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     kept = written(found.groupBy("label").agg(F.min(place).alias("best")), "kept").select("best.doc_id", "best.key")
-    ids = kept.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key"))
-    rows = docs.join(ids, same, "left_semi")
-    again = found.join(kept.withColumnsRenamed({"doc_id": "_id", "key": "_key"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
-    if again.count() == kept.count():
-        return rows
-    # rows that have both id and text in common: one of each
-    columns = [F.struct(*(F.col(c) for c in docs.columns)).alias("row")]
-    once = rows.select(text_key(F.col("text")), F.col("doc_id"), *columns).groupBy("key", "doc_id").agg(F.first("row").alias("row"))
-    return once.select("row.*")
+    of = kept.withColumnsRenamed({"doc_id": "of", "key": "of_key"})
+    same = F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key"))
+    # a row as one value: its columns may have any names
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text_key(F.col("text"))).join(of, same, "left_semi")
+    again = found.withColumnRenamed("doc_id", "id").join(of, same, "left_semi")
+    if again.count() != kept.count():  # rows that have both id and text in common: one of each
+        packed = packed.groupBy("key", "id").agg(F.first("row").alias("row"))
+    return packed.select("row.*")

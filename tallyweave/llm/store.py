@@ -7,6 +7,7 @@ import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @cache
@@ -32,7 +33,9 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
 
 
 def filesystem(uri: str):
@@ -52,8 +55,31 @@ def tasks_for(spark: SparkSession, items: int, size: int) -> int:
     return max(1, min(items, max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))))
 
 
-def discard(spark: SparkSession, *tables: DataFrame | None) -> None:
-    """Deletes tables that written() made and nothing reads any more."""
-    for path in {f.rsplit("/", 1)[0] for t in tables if t is not None for f in t.inputFiles()}:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes the files of tables that written() made and nothing will read again, not even a task run anew."""
+    for t in tables:
+        if t is not None:
+            spark = t.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(t.written_to)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key is hot with more than this share of the rows; there are at most 1 / HOT_SHARE of them.
+HOT_SHARE, SALTS = 0.001, 32
+
+
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """rows joined with table, without all rows of a hot key in one task: these are dealt over SALTS tasks, each with
+    table's rows of that key. Only the hot keys themselves are broadcast, at most 1 / HOT_SHARE. counts (on, n) may
+    be given where they are known; how is inner, left or left_semi."""
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    counts = written(counts.filter(f"n > {SALTS}").select(*on, "n"), "counts")
+    total = rows.count() if counts.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0] else 0
+    hot = written(counts.filter(F.col("n") > HOT_SHARE * total).select(*on, F.lit(True).alias("is_hot")), "hot")
+    if hot.isEmpty():
+        return rows.join(table, on, how)
+    others = [c for c in rows.columns if c not in on] or on
+    left = rows.join(F.broadcast(hot), on, "left").withColumn("salt", F.when(F.col("is_hot"), F.pmod(F.xxhash64(*others), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    salts = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = table.join(F.broadcast(hot), on, "left").withColumn("salt", F.explode(salts)).drop("is_hot")
+    return left.drop("is_hot").join(right, [*on, "salt"], how).drop("salt")

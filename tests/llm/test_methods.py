@@ -13,7 +13,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from tallyweave.llm import fingerprints, media, packing, pii, queries, token_counts, toxicity, warc
+from tallyweave.llm import fingerprints, media, neardup, packing, pii, queries, token_counts, toxicity, warc
 from tallyweave.llm.chunks import ByteBpe
 from tests.llm.test_llm import SEEDS, spans
 
@@ -317,3 +317,54 @@ def test_flat_files_refuse_ids_that_do_not_fit(spark):
     docs = spark.createDataFrame([(1, "a text of some words")], "doc_id long, text string")
     with pytest.raises(Exception, match="does not fit"):
         token_counts.write_token_files(docs, token_counts.shared_dir(spark, "t"), queries.RANKS, queries.PATTERN, 9, "u1").count()
+
+
+def test_near_duplicates_both_ways_and_recall(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    base = [r.text for r in docs.filter("length(text) > 200").orderBy("doc_id").limit(12).collect()]
+    rng = random.Random(5)
+    some, passage = [], "this long passage is shared by very many of the documents in the table and it makes buckets that hold several classes"
+    for k, t in enumerate(base * 8):
+        words = t.split(" ")[:120]
+        words[rng.randrange(len(words))] = f"w{k}"
+        some.append(" ".join(words) + (f" {passage} {passage.upper()}" if k % 2 else ""))
+    some += some[:30] * 5 + ["", None, "x"]
+    table = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+
+    def bag(t):
+        w = regex.findall(r"\w+", (t or "").lower())
+        return collections.Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else collections.Counter()
+
+    bags, links = [bag(t) for t in some], []
+    for a in range(len(some)):
+        for b in range(a):
+            both = sum((bags[a] & bags[b]).values())
+            if (some[a] or "") == (some[b] or "") or (both and both >= 0.8 * (sum(bags[a].values()) + sum(bags[b].values()) - both)):
+                links.append((a, b))
+    root = list(range(len(some)))
+    for _ in range(len(some)):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    for at_once in (0, 50, 1e12):
+        got = {r.doc_id: r.class_id for r in neardup.class_ids(table, at_once=at_once).collect()}
+        assert got == dict(enumerate(root)), at_once
+
+
+def test_representatives_with_clashing_names(spark):
+    names = ["doc_id", "text", "_id", "_key", "key", "row", "id", "of", "label", "salt", "dotted.name"]
+    rows = [(k, f"a text that stands here twice {k // 2} and again and again {k // 2}", *(f"{n}{k}" for n in names[2:])) for k in range(8)]
+    rows += [(0, rows[0][1], *("again" for _ in names[2:]))]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    got = neardup.representatives(docs)
+    assert got.columns == names and sorted(r.doc_id for r in got.collect()) == [0, 2, 4, 6]
+    assert {tuple(r) for r in got.collect()} <= set(rows)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_spread_join_equals_join(spark, how):
+    from tallyweave.llm.store import spread_join
+
+    rows = spark.createDataFrame([(k % 50 if k % 3 else 7, k) for k in range(3000)], "g long, v long")
+    table = spark.createDataFrame([(g, f"x{g}") for g in range(0, 40)], "g long, x string")
+    got, want = spread_join(rows, table, ["g"], how), rows.join(table, ["g"], how)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
