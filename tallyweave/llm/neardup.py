@@ -37,8 +37,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of rows: at similarity 0.8 a pair shares none with probability 0.00005.
 BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
-#: Pairs for each member of a bucket that are made at once in the end.
+#: Pairs for each member of a bucket that are looked at at once in the end.
 AT_ONCE = 50
+#: First buckets that a member carries along, so that most pairs are made once.
+HEAD = 32
 WORD = re.compile(r"\w+")
 GOLDEN = 0x9E3779B97F4A7C15
 TABLE_LIMIT = 400_000
@@ -212,8 +214,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _rare_buckets(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """bucket, place, weight and after of rest (place, weight) by rare elements; after is the number of the place's
-    elements that follow this one. Ordered from rare to frequent, two sets of that similarity share one of their
+    """bucket, place, weight, after and head of rest (place, weight) by rare elements; after is the number of the
+    place's elements that follow this one, head has its first HEAD buckets. Ordered from rare to frequent, two sets of that similarity share one of their
     first n - ceil(similarity * n) + 1 elements, so what many documents have in common makes no bucket. Elements of
     one set alone fill its first places unseen."""
     each = written(rest.join(sets, F.col("place.key") == sets["key"]).select("place", "weight", F.explode("elements").alias("bucket")), "each")
@@ -224,7 +226,8 @@ def _rare_buckets(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     room = shared.join(known, "place").withColumn("first", first).filter("first > 0")
     order = Window.partitionBy("place").orderBy("n", "bucket")
     placed = room.withColumn("at", F.row_number().over(order)).filter("at <= first").withColumn("after", F.col("known") - F.col("at"))
-    found = written(placed.select("bucket", "place", "weight", "after"), "rare")
+    heads = F.transform(F.array_sort(F.collect_list(F.when(F.col("at") <= HEAD, F.struct("at", "bucket"))).over(Window.partitionBy("place"))), lambda x: x["bucket"])
+    found = written(placed.select("bucket", "place", "weight", "after", heads.alias("head")), "rare")
     discard(each, common, shared)
     return found
 
@@ -279,6 +282,10 @@ def _links(nodes: DataFrame, docs: DataFrame, similarity: float, at_once: float
     # if enough elements follow this bucket in both
     enough = (1 + F.least("after", "leader_after")) * (1 + similarity) >= F.lit(similarity) * (F.col("weight") + F.col("leader_weight")) - 1e-6
 
+    # of the buckets that both have among their first, only in the first of these
+    both = F.array_intersect("head", "leader_head")
+    once = (F.size(both) == 0) | (F.try_element_at(both, F.lit(1)) == F.col("bucket"))
+
     def several(members: DataFrame) -> DataFrame:
         """The members of buckets that hold more than one class."""
         open_ = members.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1").select("bucket")
@@ -303,15 +310,12 @@ def _links(nodes: DataFrame, docs: DataFrame, similarity: float, at_once: float
         if not left:
             return links, labels
         if left <= at_once * n_members:
-            # pairs of classes in a bucket, then their members: none of one class with itself
-            pairs = by_class.select("bucket", "label").join(by_class.select("bucket", F.col("label").alias("leader_label")), "bucket").filter("label < leader_label")
-            place = spread_join(open_, pairs, ["bucket", "label"])
-            other = open_.select("bucket", *(F.col(c).alias(n) for c, n in (("label", "leader_label"), ("place", "leader"), ("weight", "leader_weight"), ("after", "leader_after"))))
-            compare(spread_join(place, other, ["bucket", "leader_label"]).filter(alike & enough))
+            other = open_.select("bucket", *(F.col(c).alias(n) for c, n in (("label", "leader_label"), ("place", "leader"), ("weight", "leader_weight"), ("after", "leader_after"), ("head", "leader_head"))))
+            compare(open_.join(other, "bucket").filter((F.col("place") < F.col("leader")) & (F.col("label") != F.col("leader_label")) & alike & enough & once))
             return links, labels
         below = beside_leaders(open_)
         compare(below.filter((F.col("label") != F.col("leader_label")) & alike & enough))
-        members = written(below.select("bucket", "place", "weight", "after"), "members")
+        members = written(below.select("bucket", "place", "weight", "after", "head"), "members")
         discard(open_)
 
 
