@@ -136,16 +136,42 @@ FROM events""",
 }
 
 
-def with_views(sql: str) -> str:
-    """sql with the views that it uses, directly or through others, as common table expressions."""
-    needed: list[str] = []
+#: How Spark computes some views: running windows and aggregates by key in place of the self-joins that state them above.
+SPARK_VIEWS = {
+    "same_number": """
+SELECT id, first_id AS match_id, CASE WHEN abs(total - first_total) > 0.02 THEN 'same_number_different_amount' ELSE 'same_number' END AS kind
+FROM (SELECT l.id, l.total, f.first_id, f.first_total FROM live l
+      JOIN (SELECT vendor, number, min(id) AS first_id, min_by(total, id) AS first_total FROM live WHERE vendor IS NOT NULL AND number IS NOT NULL GROUP BY vendor, number HAVING count(*) > 1) f
+        ON f.vendor = l.vendor AND f.number = l.number) x
+WHERE id > first_id""",
+    "bank_history": """
+SELECT l.id, coalesce(a.first_id < l.id, false) AS same, max(p.last_id) AS last_id
+FROM live l JOIN bank_runs p ON p.vendor = l.vendor AND p.block = cast(floor(l.id / 4096) AS bigint) AND p.id = l.id
+LEFT JOIN (SELECT vendor, bank_account, min(id) AS first_id FROM live WHERE status = 'approved' AND bank_account IS NOT NULL GROUP BY vendor, bank_account) a
+  ON a.vendor = l.vendor AND a.bank_account = l.bank_account
+WHERE l.bank_account IS NOT NULL AND p.last_id IS NOT NULL GROUP BY l.id, coalesce(a.first_id < l.id, false)""",
+    # the last earlier approved invoice with an account: within a block of ids by a window, before it by the blocks' largest ids
+    "bank_runs": """
+SELECT w.id, w.vendor, w.block, coalesce(w.inside, b.before) AS last_id
+FROM (SELECT id, vendor, block, max(known) OVER (PARTITION BY vendor, block ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS inside FROM bank_known) w
+LEFT JOIN (SELECT vendor, block, max(known) OVER (PARTITION BY vendor ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+           FROM (SELECT vendor, block, max(known) AS known FROM bank_known GROUP BY vendor, block) y) b ON b.vendor = w.vendor AND b.block = w.block""",
+    "bank_known": """
+SELECT id, vendor, cast(floor(id / 4096) AS bigint) AS block, CASE WHEN status = 'approved' AND bank_account IS NOT NULL THEN id END AS known FROM live WHERE vendor IS NOT NULL""",
+}
+
+
+def with_views(sql: str, instead: dict[str, str] | None = None) -> str:
+    """sql with the views that it uses, directly or through others, as common table expressions; views may be
+    stated otherwise."""
+    views, needed = VIEWS | (instead or {}), []
 
     def visit(text: str) -> None:
-        for name in VIEWS:
+        for name in views:
             if re.search(rf"\b(FROM|JOIN)\s+{name}\b", text) and name not in needed:
-                visit(VIEWS[name])
+                visit(views[name])
                 if name not in needed:
                     needed.append(name)
 
     visit(sql)
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in needed) + "\n" + sql if needed else sql
+    return "WITH " + ",\n".join(f"{n} AS ({views[n]})" for n in needed) + "\n" + sql if needed else sql
