@@ -118,7 +118,7 @@ FROM live i JOIN rollup r ON r.id = i.id""",
     "requests": """
 SELECT event_id AS request_id, 1 + user_id * 7 % 1500 AS invoice_id, CASE event_type WHEN 'click' THEN 'requested' WHEN 'view' THEN 'prepared' WHEN 'purchase' THEN 'approved' ELSE 'rejected' END AS status,
        concat('PO-', cast(user_id AS string)) AS po_number, value AS amount
-FROM events WHERE event_type <> 'error' AND event_id % 20 = 3""",
+FROM events WHERE event_type <> 'error'""",
     "latest_request": "SELECT invoice_id, max_by(status, request_id) AS request_status, max(request_id) AS request_id FROM requests GROUP BY invoice_id",
     "stages": """
 SELECT i.id, CASE WHEN i.status <> 'pending' THEN 'done' WHEN NOT i.ap_ok THEN 'ap_review'
