@@ -56,6 +56,20 @@ def gstin_checksum(spark, sf_dir):
     return made.withColumn("valid", ids.tax_id(F.col("gstin"))["valid"])
 
 
+#: Tax ids of suppliers: none, Indian (one in 36 with the right check character), Emirati, German, none of these.
+TAX_ID = """CASE s_suppkey % 5 WHEN 0 THEN NULL WHEN 1 THEN concat('06AABCO', lpad(cast(s_suppkey % 10000 AS string), 4, '0'), 'D1Z', substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', cast(s_suppkey * 7 % 36 AS int) + 1, 1))
+    WHEN 2 THEN concat(CASE WHEN s_suppkey % 3 = 0 THEN '200' ELSE '100' END, lpad(cast(s_suppkey AS string), 12, '0')) WHEN 3 THEN concat('DE', lpad(cast(s_suppkey AS string), CASE WHEN s_suppkey % 3 = 0 THEN 8 ELSE 9 END, '0'))
+    ELSE concat('X', cast(s_suppkey AS string)) END"""
+
+
+def check_tax_id(spark, sf_dir):
+    """Status and kind of the tax-id check: none is skipped, a wrong GSTIN fails, other invalid ids warn."""
+    given = _read(spark, sf_dir, "supplier").select("s_suppkey", F.expr(TAX_ID).alias("tax_id")).withColumn("t", ids.tax_id(F.col("tax_id")))
+    none = text.missing(F.col("tax_id"))
+    status = F.when(none, "skip").when(F.col("t.valid"), "pass").when(F.col("t.kind") == "GSTIN", "fail").otherwise("warn")
+    return given.select("s_suppkey", "tax_id", status.alias("status"), F.when(~none, F.col("t.kind")).alias("kind"))
+
+
 def _named(spark, sf_dir):
     """Distinct names spelled from a hash, so that suppliers are no near copies of each other."""
     letters = F.translate(F.md5(F.col("s_suppkey").cast("string")), "0123456789", "ghijklmnop")
@@ -111,10 +125,16 @@ def lockout(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (norm_number, norm_number_whole, ocr_fold, compact_text, find_amounts, detect_currency, parse_date, iban_make, gstin_checksum, vendor_first_match, duplicate_fuzzy, ground_fields, merge_readings, reasons_for_ai, rate_limit, lockout)
+    for f in (norm_number, norm_number_whole, ocr_fold, compact_text, find_amounts, detect_currency, parse_date, iban_make, gstin_checksum, check_tax_id, vendor_first_match, duplicate_fuzzy, ground_fields, merge_readings, reasons_for_ai, rate_limit, lockout)
     if f.__name__ not in SQL
 }
 ORACLE_SQL = {
+    "check_tax_id": f"""WITH t AS (SELECT s_suppkey, {TAX_ID} AS tax_id FROM supplier), d AS (
+        SELECT *, list_transform(range(1, 15), lambda i: (strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', substr(tax_id, i, 1)) - 1) * (1 + (i - 1) % 2)) AS parts FROM t), k AS (
+        SELECT *, (36 - list_sum(list_transform(parts, lambda p: p // 36 + p % 36)) % 36) % 36 AS place, CASE WHEN regexp_matches(tax_id, '^[0-9]{{2}}[A-Z]{{5}}[0-9]{{4}}D1Z.$') THEN 'GSTIN'
+            WHEN regexp_matches(tax_id, '^[0-9]{{15}}$') THEN 'UAE_TRN' WHEN starts_with(tax_id, 'DE') THEN 'EU_VAT' WHEN tax_id IS NOT NULL THEN 'UNKNOWN' END AS kind FROM d)
+        SELECT s_suppkey, tax_id, CASE WHEN kind IS NULL THEN 'skip' WHEN kind = 'GSTIN' THEN CASE WHEN substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', cast(place AS int) + 1, 1) = right(tax_id, 1) THEN 'pass' ELSE 'fail' END
+            WHEN kind = 'UAE_TRN' AND starts_with(tax_id, '100') THEN 'pass' WHEN kind = 'EU_VAT' AND length(tax_id) = 11 THEN 'pass' ELSE 'warn' END AS status, kind FROM k""",
     "norm_number": """SELECT doc_id, CASE WHEN n = '' THEN '0' ELSE n END AS number FROM (SELECT doc_id,
         regexp_replace(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g') AS n FROM documents)""",
     "norm_number_whole": """SELECT doc_id, CASE WHEN n = '' THEN '0' ELSE n END AS number FROM (SELECT doc_id,
