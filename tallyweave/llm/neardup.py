@@ -305,7 +305,7 @@ def _links(nodes: DataFrame, docs: DataFrame, similarity: float, at_once: float
         named = written(with_label(members), "named")
         open_ = written(several(named), "open")
         discard(members, named)
-        by_class = written(open_.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c")), "by_class")
+        by_class = open_.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
         left = by_class.groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q")).agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()[0]
         if not left:
             return links, labels
