@@ -196,23 +196,30 @@ def components(edges: DataFrame) -> DataFrame:
     aggregates and two joins; the rounds grow with the logarithm of the component size.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
-    before = None
-    while True:
+    state = F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    before, now = None, edges.agg(*state).first()
+    while now != before:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = spread_join(both, least, ["a"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m"))
-        old, edges = edges, written(small.filter("a != b").distinct(), "edges")
+        old, edges = edges, written(small.filter("a != b").distinct(), "edges", 2 * now[0])
         discard(old)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        before, now = now, edges.agg(*state).first()
     labels = edges.select(F.col("a").alias("key"), F.col("b").alias("label"))
     return labels.union(labels.select("label", "label").distinct())
 
 
+def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (key, label) after links (a, b) that were found later: only the classes that these touch are closed anew."""
+    names = labels.select(F.col("key").alias("a"), F.col("label").alias("la")), labels.select(F.col("key").alias("b"), F.col("label").alias("lb"))
+    ends = spread_join(spread_join(links, names[0], ["a"], "left"), names[1], ["b"], "left")
+    joined = written(components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))), "joined")
+    known = spread_join(labels, joined.select(F.col("key").alias("label"), F.col("label").alias("to")), ["label"], "left")
+    return known.select("key", F.coalesce("to", "label").alias("label")).union(joined.join(labels, "key", "left_anti"))
+
+
 def _rare_buckets(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """bucket, place, weight, after and head of rest (place, weight) by rare elements; after is the number of the
     place's elements that follow this one, head has its first HEAD buckets. Ordered from rare to frequent, two sets of that similarity share one of their
@@ -264,7 +271,7 @@ def _links(nodes: DataFrame, docs: DataFrame, similarity: float, at_once: float
         found = written(verified(pairs), "links")
         links, tested = (found, pairs) if links is None else (links.unionByName(found), tested.unionByName(pairs))
         if labels is None or not found.isEmpty():
-            old, labels = labels, written(components(links), "labels")
+            old, labels = labels, written(components(found) if labels is None else merge(labels, found), "labels")
             discard(old)
 
     def with_label(members: DataFrame) -> DataFrame:
