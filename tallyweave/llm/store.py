@@ -6,7 +6,6 @@ import tempfile
 import uuid
 from functools import cache
 
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,19 +77,19 @@ HOT_SHARE, SALTS = 0.001, 32
 
 def spread_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """rows joined with table, without all rows of a hot key in one task: these are dealt over SALTS tasks, each with
-    table's rows of that key. Only the hot keys themselves pass the driver and are broadcast, at most 1 / HOT_SHARE:
-    one job ranks the keys, a second one counts all rows where a key has more than SALTS. counts (on, n) may be given
-    where they are known; how is inner, left or left_semi."""
+    table's rows of that key. Only hashes of the hot keys pass the driver, at most 1 / HOT_SHARE, and both sides look
+    their keys up among them: one job ranks the keys, a second one counts all rows where a key has more than SALTS.
+    counts (on, n) may be given where they are known; how is inner, left or left_semi."""
     ranked = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
-    top = ranked.filter(F.col("n") > SALTS).orderBy(F.desc("n")).limit(int(1 / HOT_SHARE)).select(*on, "n").toArrow()
-    if top.num_rows:
+    # one type on both sides: a key hashes alike
+    key = F.xxhash64(*(F.col(c).cast(rows.schema[c].dataType) for c in on))
+    top = ranked.filter(F.col("n") > SALTS).orderBy(F.desc("n")).limit(int(1 / HOT_SHARE)).select(key.alias("h"), "n").collect()
+    if top:
         total = rows.count() if counts is None else counts.agg(F.sum("n")).first()[0]
-        top = top.filter(pc.greater(top["n"], HOT_SHARE * total))
-    if not top.num_rows:
+        top = [r["h"] for r in top if r["n"] > HOT_SHARE * total]
+    if not top:
         return rows.join(table, on, how)
-    hot = rows.sparkSession.createDataFrame(top).select(*on, F.lit(True).alias("is_hot"))
     others = [c for c in rows.columns if c not in on] or on
-    left = rows.join(F.broadcast(hot), on, "left").withColumn("salt", F.when(F.col("is_hot"), F.pmod(F.xxhash64(*others), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
-    salts = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = table.join(F.broadcast(hot), on, "left").withColumn("salt", F.explode(salts)).drop("is_hot")
-    return left.drop("is_hot").join(right, [*on, "salt"], how).drop("salt")
+    left = rows.withColumn("salt", F.when(key.isin(top), F.pmod(F.xxhash64(*others), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    salts = F.when(key.isin(top), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(table.withColumn("salt", F.explode(salts)), [*on, "salt"], how).drop("salt")
