@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallyweave.operators import text_queries
+from tallyweave.operators import domain_queries, text_queries
 from tallyweave.plans import reports
 
-QUERIES = {**reports.QUERIES, **text_queries.QUERIES}
-ORACLE_SQL = {**reports.ORACLE_SQL, **text_queries.ORACLE_SQL}
+QUERIES = {**reports.QUERIES, **text_queries.QUERIES, **domain_queries.QUERIES}
+ORACLE_SQL = {**reports.ORACLE_SQL, **text_queries.ORACLE_SQL, **domain_queries.ORACLE_SQL}

@@ -74,3 +74,21 @@ def near_duplicates(invoices: DataFrame, cutoff: float = NEAR_NUMBER) -> DataFra
     short = 200 * F.least(F.length("mine"), F.length("n")) / (F.length("mine") + F.length("n"))  # an upper bound of the score
     scored = pairs.filter(short >= cutoff).withColumn("score", fuzzy.ratio(F.col("mine"), F.col("n")))
     return scored.filter(F.col("score") >= cutoff).groupBy("id").agg(F.min("match_id").alias("match_id"))
+
+
+def any_vendor_duplicates(invoices: DataFrame, cutoff: float = 90, tolerance: float = 0.02) -> DataFrame:
+    """(id, match_id): the first earlier invoice, of whatever vendor, with the same date, an amount within the tolerance
+    and a number (of six characters or more) that is the same or nearly so. invoices: id, number, total, inv_date.
+
+    Invoices that agree in all three are compared once, by their first; each amount meets those of its band and
+    the next ones.
+    """
+    known = invoices.filter("number IS NOT NULL AND total IS NOT NULL AND inv_date IS NOT NULL").withColumn("n", text.norm_number(F.col("number")))
+    kinds = known.groupBy("n", "inv_date", "total").agg(F.min("id").alias("first")).withColumn("band", F.floor(F.col("total") / (tolerance * 1.05)).cast("long"))
+    left = kinds.filter(F.length("n") >= 6).select("n", "inv_date", "total", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    right = kinds.select("inv_date", "band", F.col("n").alias("other"), F.col("total").alias("t"), "first")
+    short = 200 * F.least(F.length("n"), F.length("other")) / (F.length("n") + F.length("other"))  # an upper bound of the score
+    pairs = left.join(right, ["inv_date", "band"]).filter((F.abs(F.col("total") - F.col("t")) <= tolerance) & (short >= cutoff))
+    scored = pairs.filter((F.col("n") == F.col("other")) | (fuzzy.ratio(F.col("n"), F.col("other")) >= cutoff))
+    best = scored.groupBy("n", "inv_date", "total").agg(F.min("first").alias("match_id"))
+    return known.join(best, ["n", "inv_date", "total"]).filter("match_id < id").select("id", "match_id")

@@ -9,8 +9,10 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyweave.plans.views import SPARK_VIEWS, with_views
+from tallyweave.functions import ids, text
+from tallyweave.plans.views import SPARK_VIEWS, SUPPLIER_TAX_ID, with_views
 
 TABLES = "region nation customer supplier part orders lineitem events documents labels pages benchmark conversations".split()
 
@@ -23,6 +25,7 @@ SQL = {
     "check_vendor": CHECK.format("vendor_check"),
     "check_po": CHECK.format("po_check"),
     "check_bank": CHECK.format("bank_check"),
+    "check_tax": CHECK.format("tax_check"),
     "check_results": CHECK.format("checks"),
     "po_balance": "SELECT po_number, amount, invoiced, remaining FROM po_balance",
     "line_item_sums": "SELECT l_orderkey AS id, cast(n_lines AS bigint) AS n_lines, cast(sub AS double) AS line_sum FROM lines",
@@ -122,12 +125,25 @@ SPARK_SQL = {
 DIALECT = (("LEFT SEMI JOIN", "SEMI JOIN"), ("LEFT ANTI JOIN", "ANTI JOIN"))
 
 
-def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    sql = with_views(SPARK_SQL.get(name, SQL[name]), SPARK_VIEWS)
-    used = [t for t in TABLES if re.search(rf"\b(FROM|JOIN)\s+{t}\b", sql)]
+def tax_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """supp, status and kind of the check of every supplier's tax id: none is skipped, a wrong GSTIN fails, other invalid ids warn."""
+    given = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("supp"), F.expr(SUPPLIER_TAX_ID).alias("tax_id"))
+    checked, none = given.withColumn("t", ids.tax_id(F.col("tax_id"))), text.missing(F.col("tax_id"))
+    status = F.when(none, "skip").when(F.col("t.valid"), "pass").when(F.col("t.kind") == "GSTIN", "fail").otherwise("warn")
+    return checked.select("supp", status.alias("status"), F.when(~none, F.col("t.kind")).alias("kind"))
+
+
+def statement(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """sql over the views and the tables of a folder."""
+    sql = with_views(sql, SPARK_VIEWS)
+    used = [t for t in (*TABLES, "tax_ids") if re.search(rf"\b(FROM|JOIN)\s+{t}\b", sql)]
+    tables = {t: tax_ids(spark, sf_dir) if t == "tax_ids" else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
+    return spark.sql(re.sub(rf"\b(FROM|JOIN)(\s+)({'|'.join(used)})\b", r"\1\2{\3}", sql), **tables)
 
+
+def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(re.sub(rf"\b(FROM|JOIN)(\s+)({'|'.join(used)})\b", r"\1\2{\3}", sql), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+        return statement(spark, sf_dir, SPARK_SQL.get(name, SQL[name]))
 
     run.__name__ = name
     return run

@@ -9,6 +9,11 @@ from __future__ import annotations
 
 import re
 
+#: Tax ids of suppliers: an Indian one (one in 36 with the right check character), an invalid Emirati one, none, else a German or an Emirati one.
+SUPPLIER_TAX_ID = """CASE s_suppkey % 20 WHEN 0 THEN concat('06AABCO', lpad(cast(s_suppkey % 10000 AS string), 4, '0'), 'D1Z', substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', cast(s_suppkey * 7 % 36 AS int) + 1, 1))
+    WHEN 18 THEN concat('200', lpad(cast(s_suppkey AS string), 12, '0')) WHEN 19 THEN NULL
+    ELSE CASE WHEN s_suppkey % 2 = 0 THEN concat('DE', lpad(cast(s_suppkey AS string), 9, '0')) ELSE concat('100', lpad(cast(s_suppkey AS string), 12, '0')) END END"""
+
 VIEWS = {
     "lines": """
 SELECT l_orderkey, min(l_suppkey) AS supp, count(*) AS n_lines,
@@ -96,9 +101,19 @@ SELECT i.id, 'bank' AS name,
        CASE WHEN i.bank_account IS NULL OR v.bank_account = i.bank_account THEN NULL WHEN v.bank_account IS NOT NULL OR h.same = false THEN 'changed'
             WHEN s.id IS NOT NULL THEN 'shared' WHEN h.id IS NULL AND v.vendor IS NOT NULL THEN 'new' END AS kind, cast(NULL AS bigint) AS match_id
 FROM live i LEFT JOIN vendors v ON v.vendor = i.vendor LEFT JOIN bank_history h ON h.id = i.id LEFT JOIN bank_shared s ON s.id = i.id""",
+    # DuckDB's statement of the check of supplier tax ids; Spark takes it from functions.ids
+    "tax_ids": f"""
+SELECT supp, CASE WHEN tax_id IS NULL THEN 'skip' WHEN regexp_matches(tax_id, '^(100[0-9]{{12}}|DE[0-9]{{9}})$') THEN 'pass' WHEN NOT contains(tax_id, 'AABCO') THEN 'warn'
+            WHEN right(tax_id, 1) = substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', cast((36 - total % 36) % 36 AS int) + 1, 1) THEN 'pass' ELSE 'fail' END AS status,
+       CASE WHEN contains(tax_id, 'AABCO') THEN 'GSTIN' WHEN starts_with(tax_id, 'DE') THEN 'EU_VAT' WHEN tax_id IS NOT NULL THEN 'UAE_TRN' END AS kind
+FROM (SELECT supp, tax_id, list_sum(list_transform(list_transform(range(1, 15), lambda i: (strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', substr(tax_id, i, 1)) - 1) * (1 + (i - 1) % 2)), lambda p: p // 36 + p % 36)) AS total
+      FROM (SELECT s_suppkey AS supp, {SUPPLIER_TAX_ID} AS tax_id FROM supplier) x) y""",
+    "tax_check": """
+SELECT i.id, 'tax_id' AS name, coalesce(t.status, 'skip') AS status, t.kind, cast(NULL AS bigint) AS match_id
+FROM live i LEFT JOIN tax_ids t ON t.supp = i.supp""",
     "checks": """
 SELECT * FROM completeness UNION ALL SELECT * FROM math UNION ALL SELECT * FROM duplicate UNION ALL SELECT * FROM vendor_check
-UNION ALL SELECT * FROM po_check UNION ALL SELECT * FROM bank_check""",
+UNION ALL SELECT * FROM po_check UNION ALL SELECT * FROM bank_check UNION ALL SELECT * FROM tax_check""",
     "ranked": """
 SELECT c.*, CASE name WHEN 'bank' THEN 0 WHEN 'completeness' THEN 1 WHEN 'vendor' THEN 2 WHEN 'duplicate' THEN 3 WHEN 'math' THEN 4 WHEN 'po_match' THEN 5 ELSE 6 END AS lead_rank,
        status = 'fail' AND name <> 'completeness' AS hard,
@@ -138,6 +153,7 @@ FROM events""",
 
 #: How Spark computes some views: running windows and aggregates by key in place of the self-joins that state them above.
 SPARK_VIEWS = {
+    "tax_ids": None,  # a DataFrame, see reports.statement
     "same_number": """
 SELECT id, first_id AS match_id, CASE WHEN abs(total - first_total) > 0.02 THEN 'same_number_different_amount' ELSE 'same_number' END AS kind
 FROM (SELECT l.id, l.total, f.first_id, f.first_total FROM live l
@@ -161,10 +177,10 @@ SELECT id, vendor, cast(floor(id / 4096) AS bigint) AS block, CASE WHEN status =
 }
 
 
-def with_views(sql: str, instead: dict[str, str] | None = None) -> str:
+def with_views(sql: str, instead: dict[str, str | None] | None = None) -> str:
     """sql with the views that it uses, directly or through others, as common table expressions; views may be
-    stated otherwise."""
-    views, needed = VIEWS | (instead or {}), []
+    stated otherwise, or be tables (None)."""
+    views, needed = {n: v for n, v in (VIEWS | (instead or {})).items() if v is not None}, []
 
     def visit(text: str) -> None:
         for name in views:
