@@ -124,7 +124,7 @@ def detection_by_scenario(spark, sf_dir):
         ("number_repeated", "duplicate", "id % 50 = 0 AND id > 1"),
         ("number_missing", "completeness", "id % 211 = 0"),
         ("order_unknown", "po_match", "id % 11 = 0 AND id % 5 <> 0"),
-        ("account_changed", "bank", "id % 53 = 0 AND id % 7 <> 0"),
+        ("account_changed", "bank", "id % 53 = 0 AND bank_account IS NOT NULL"),
     )
     planted = F.array_compact(F.array(*(F.when(F.expr(where), F.struct(F.lit(s).alias("scenario"), F.lit(n).alias("name"))) for s, n, where in faults)))
     each = _view(spark, sf_dir, "live").select("id", F.explode(planted).alias("p")).select("id", "p.*")
