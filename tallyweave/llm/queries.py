@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import fingerprints, media, neardup, packing, pieces, pii, sharding, token_counts, toxicity, warc
+from tallyweave.llm import filter_audit, fingerprints, html_extract, media, neardup, packing, pieces, pii, sharding, token_counts, toxicity, warc, whitening
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 #: The id of <|endoftext|>, which no text yields.
@@ -73,5 +73,22 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_personal_data, op4_best_fit_packing, op5_sharding, op6_warc, op7_sentencepiece, op8_media_columns, op9_near_duplicates, op10_fingerprints)}
-ORACLE_SQL: dict[str, str] = {"op5_sharding": sharding.ORACLE}
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract_pages(spark, _table(spark, sf_dir, "pages"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How five filters of documents interact, in every order."""
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings whitened by their exact scatter."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+_OPERATORS = [op1_token_counts, op2_toxicity, op3_personal_data, op4_best_fit_packing, op5_sharding, op6_warc, op7_sentencepiece, op8_media_columns]
+_OPERATORS += [op9_near_duplicates, op10_fingerprints, op11_main_text, op12_filter_audit, op13_whitening]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}
+ORACLE_SQL: dict[str, str] = {"op5_sharding": sharding.ORACLE, "op12_filter_audit": filter_audit.ORACLE}
