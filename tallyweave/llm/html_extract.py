@@ -7,19 +7,19 @@ cut; below context may be anything, below main only main or cut, below cut only
 be text, and a chapter can't lose a paragraph that scored badly on its own unless that outweighs the cost of a cut.
 The text of main elements stays, in page order, with one space between blocks.
 
-What the trees learn from: the SAMPLE pages with the smallest hashes (all pages are parsed once more only if there are
-fewer). Those that mark an article say what is main in them; the paragraphs and short texts of all are dealt into LAYOUTS page
+What the trees learn from: the SAMPLE pages with the smallest hashes. Those that mark an article say what is main in them; the paragraphs and short texts of all are dealt into LAYOUTS page
 layouts each, with the menus, notices, sidebars, adverts, forms, related links and readers' comments that pages have,
 under the usual names, under names made up, and under none. A page that marks nothing is so covered too.
 
 Null html: empty text. No main element: empty text. Null and repeated ids or urls: each row stands for itself. A page of text
-without any element: that text is weighed like a paragraph. Very long or deep pages take linear time and the memory of one page. An
+without any block: that text. Very long or deep pages take linear time and the memory of one page. An
 empty table gives no rows. Only page_id, url and html are read: other columns may have any names.
 """
 
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 from tallyweave.llm.html_tree import INLINE, Page, parse
 
 #: Pages that the trees learn from, layouts made for each, and the elements learned from at most.
-SAMPLE, LAYOUTS, LEARNED = 240, 3, 40_000
-TREES, DEPTH, STEP = 24, 4, 0.3
+SAMPLE, LAYOUTS, LEARNED = 240, 5, 60_000
+TREES, DEPTH, STEP = 36, 5, 0.3
 #: Odds are held to this; entering main text and cutting out of it cost so much.
-LIMIT, ENTER, CUT = 4.0, 3.0, 2.0
+LIMIT, ENTER, CUT = 4.0, 2.0, 1.0
 #: Elements scored at once.
 ROWS = 20_000
 
@@ -46,7 +46,6 @@ _MARKS = str.maketrans("", "", ".,;:!?")
 KINDS = [("article", "main"), ("nav", "menu"), ("header",), ("footer",), ("aside",), ("form", "fieldset", "label"), ("ul", "ol", "dl"), ("li", "dt", "dd")]
 KINDS += [("table", "tbody", "tr", "td", "th"), ("section", "div"), ("p",), ("h1", "h2", "h3", "h4", "h5", "h6"), ("a",), ("blockquote", "pre", "figure")]
 KIND = {tag: k for k, tags in enumerate(KINDS) for tag in tags}
-NUMBERS = 22
 
 
 class Trees(NamedTuple):
@@ -83,12 +82,15 @@ def features(page: Page, words: dict[str, float]) -> tuple[np.ndarray, np.ndarra
     ends, parents = np.array(page.ends), np.array(page.parents)
     depth, link, score = np.zeros(n), np.zeros(n, bool), np.zeros(n)
     low, high, inside = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+    named, landmark = np.zeros(n), np.zeros(n)  # of the nearest element that has a known name, or is a landmark
     for k in range(1, n):
         p = page.parents[k]
         score[k] = sum(words.get(w, 0.0) for w in page.tokens[k])
         depth[k], link[k] = depth[p] + 1, link[p] or page.tags[k] == "a"
         low[k], high[k] = min(low[p], score[p]), max(high[p], score[p])
         inside[k] = inside[p] | (1 << kind[p] if kind[p] >= 0 else 0)
+        named[k] = score[k] or named[p]
+        landmark[k] = 1 if kind[k] == 0 else -1 if 0 < kind[k] <= KIND["form"] and not (kind[k] == KIND["header"] and landmark[p] > 0) else landmark[p]
 
     def below(of: np.ndarray) -> np.ndarray:
         c = np.concatenate(([0], np.cumsum(of)))
@@ -111,25 +113,31 @@ def features(page: Page, words: dict[str, float]) -> tuple[np.ndarray, np.ndarra
         depth, np.log1p(chars), np.log1p(own), linked, chars / total, np.where(np.isfinite(first), first, total) / total,
         below(np.ones(n)) * 100 / (some + 100), in_p, np.log1p(below(paragraphs)), np.log1p(below(kind == KIND["li"])), np.log1p(below(kind == KIND["a"])),
         np.log1p(below(kind == KIND["form"])), below(marks) / some, below(spaces) / some, np.log1p(siblings), nth / np.maximum(siblings, 1), chars / np.maximum(chars[up], 1),
-        np.array([same[q, t] for q, t in zip(page.parents, page.tags, strict=True)]) / np.maximum(siblings, 1), score, low, high, linked[up],
+        np.array([same[q, t] for q, t in zip(page.parents, page.tags, strict=True)]) / np.maximum(siblings, 1), score, low, high, linked[up], named, landmark,
     ]
     x += [kind == k for k in range(len(KINDS))] + [inside >> k & 1 for k in range(len(KINDS))]
     return np.column_stack(x).astype(np.float64), own
 
 
 def decode(page: Page, odds: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Which elements are main: the best choice of context, main and cut that no ancestor contradicts."""
+    """Which elements are main: the best choice of context, main and cut that no ancestor contradicts. All of a page without blocks."""
     n = len(page.tags)
-    weight = np.where(own > 0, odds * (1 + np.log1p(own)), 0.2 * odds)
+    if all(t in INLINE for t in page.tags[1:]):
+        return np.ones(n, bool)
+    weight = np.where(own > 0, odds * (1 + np.log1p(own)), 0.5 * odds)
     main, context = weight.tolist(), [0.0] * n
+    # a word in bold or a link is as its block is
+    bound = [t in INLINE for t in page.tags]
     for k in range(n - 1, 0, -1):
         p = page.parents[k]
-        main[p] += max(main[k], -CUT)
-        context[p] += max(context[k], main[k] - ENTER, 0.0)
+        main[p] += main[k] if bound[k] else max(main[k], -CUT)
+        context[p] += context[k] if bound[k] else max(context[k], main[k] - ENTER, 0.0)
     state = ["main" if main[0] - ENTER > max(context[0], 0.0) else "context"] * n
     for k in range(1, n):
         above = state[page.parents[k]]
-        if above == "main":
+        if bound[k]:
+            state[k] = above
+        elif above == "main":
             state[k] = "main" if main[k] >= -CUT else "cut"
         elif above == "cut" or max(context[k], main[k] - ENTER) <= 0:
             state[k] = "cut"
@@ -157,8 +165,6 @@ def extract(pages: Iterable[str], model: Trees) -> Iterator[str]:
     size = 0
     for html in pages:
         page = parse(html)
-        if all(t in INLINE for t in page.tags[1:]):
-            page = parse(f"<p>{html}")
         waiting.append((page, *features(page, model.words)))
         size += len(page.tags)
         if size >= ROWS:
@@ -204,6 +210,9 @@ def content_of(page: Page) -> Content:
     return Content(paragraphs, [t for tag, t in texts if t and (tag in ("a", "li") or len(t) < 80)], next((t for tag, t in texts if tag == "h1"), ""))
 
 
+_BLOCK = re.compile(r"<(h[1-6]|p|div|blockquote|ul|table|header)>")
+
+
 def _escaped(text: str) -> str:
     return text.replace("&", "&amp;").replace("<", "&lt;")
 
@@ -255,10 +264,11 @@ def layout(rng: random.Random, contents: list[Content]) -> str:
         name = mark(BESIDE[what]) or (f" class={BESIDE[what].split()[0]}" if tag in ("div", "section") and what in ("advert", "notice", "form", "sidebar", "header", "footer") else "")
         return f"<{tag}{name} data-part=0>{inner}</{tag}>"
 
-    def body() -> Iterator[str]:
-        if rng.random() < 0.9:
-            title = f"<h1>{_escaped(here.title) or some(8)}</h1>"
-            yield f"<header>{title}</header>" if rng.random() < 0.1 else title
+    def heading() -> str:
+        title = f"<h1>{_escaped(here.title) or some(8)}</h1>"
+        return f"<header>{title}</header>" if rng.random() < 0.1 else title
+
+    def blocks() -> Iterator[str]:
         for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 6, 9])):
             p, shape = paragraph(here), rng.random()
             if shape < 0.55:
@@ -269,8 +279,10 @@ def layout(rng: random.Random, contents: list[Content]) -> str:
                 yield f"<p><b>{p[:60]}.<br><p>{p}</p>"
             elif shape < 0.77:
                 yield f'<p>{p[: len(p) // 2]}<a href="/x">{some(3)}</a> {p[len(p) // 2 :]}</p>'
-            elif shape < 0.82:
+            elif shape < 0.8:
                 yield f"<h2>{some(6)}</h2><p>{p}</p>"
+            elif shape < 0.84:
+                yield f"<{(t := rng.choice(['section', 'div']))}>{rng.choice(['', f'<h2>{some(5)}</h2>'])}<p>{p}</p><p>{some(rng.randint(2, 30))}</p></{t}>"
             elif shape < 0.87:
                 yield "<ul>" + "".join(f"<li>{some(14)}" + rng.choice(["</li>", ""]) for _ in range(3)) + "</ul>"
             elif shape < 0.91:
@@ -279,17 +291,24 @@ def layout(rng: random.Random, contents: list[Content]) -> str:
                 yield f"<table><tr><td>{some(4)}</td><td>{some(4)}</td></tr></table>"
             else:
                 yield f"<div>{p}</div>"
-            if rng.random() < 0.12:
-                yield beside(rng.choice(["advert", "related", "form", "sidebar"]))
 
-    tag = rng.choice(["article", "article", "main", "div", "div", "section", "td"])
+    def body(bare: bool) -> Iterator[str]:
+        """The text's blocks, and now and then something beside them; bare: each block is a part of its own."""
+        for block in [heading()] * (rng.random() < 0.9) + list(blocks()):
+            yield _BLOCK.sub(r"<\1 data-part=1>", block) if bare else block
+            if rng.random() < 0.2:
+                yield beside(rng.choice(["advert", "related", "form", "sidebar", "notice", "menu", "footer"]))
+
+    tag = rng.choice(["article", "article", "main", "div", "div", "section", "td", "", ""])
     name = mark(MAIN) if named or tag in ("article", "main") else ""
-    text = f"<{tag}{name} data-part=1>{''.join(body())}{beside('comments') if rng.random() < 0.1 else ''}</{tag}>"
+    inside = "".join(body(not tag)) + (beside("comments") if rng.random() < 0.15 else "")
+    text = f"<{tag}{name} data-part=1>{inside}</{tag}>" if tag else inside
     text = f"<table><tr>{text}</tr></table>" if tag == "td" else text
     if rng.random() < 0.35:
         text = f"<{(t := rng.choice(['main', 'div', 'section']))}{rng.choice([' id=wrapper', ' class=container', ''])}>{text}</{t}>"
-    before = [beside(w) for w in ("header", "menu", "notice", "advert", "form") if rng.random() < 0.45]
-    after = [beside(w) for w in ("related", "comments", "sidebar", "advert", "notice", "form", "footer") if rng.random() < 0.4]
+    much = rng.choice([0.0, 0.0, 0.45, 0.45, 0.7])
+    before = [beside(w) for w in ("header", "menu", "notice", "advert", "form") if rng.random() < much]
+    after = [beside(w) for w in ("related", "comments", "sidebar", "advert", "notice", "form", "footer") if rng.random() < much]
     page = "".join(before) + text + "".join(after)
     if rng.random() < 0.3:
         page = f"<div{rng.choice([' id=page', ' class=wrap', ''])}>{page}</div>"
@@ -370,8 +389,13 @@ def fit(pages: DataFrame, sample: int = SAMPLE, layouts: int = LAYOUTS) -> Trees
     x, y = [], []
     for page, known in taught:
         # word odds are left out of some pages, so that the trees learn to do without
-        numbers, own = features(page, {} if rng.random() < 0.25 else words)
-        told = [k for k in range(1, len(known)) if numbers[k, 1] > 0]
+        numbers, own = features(page, {} if rng.random() < 0.1 else words)
+        # what stands around the text is neither
+        around = {0}
+        for k in range(len(known) - 1, 0, -1):
+            if page.parents[k] >= 0 and (k in around or known[k]) and not known[page.parents[k]]:
+                around.add(page.parents[k])
+        told = [k for k in range(1, len(known)) if numbers[k, 1] > 0 and k not in around]
         x.append(numbers[told])
         y += [known[k] for k in told]
     rows = np.concatenate(x)[:LEARNED]
