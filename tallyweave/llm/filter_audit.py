@@ -2,7 +2,7 @@
 
 Each text gets a mask of the filters that it fails. Exact copies are found by routing: a task holds its texts in chains
 below their xxhash (a chain keeps whole texts, so that colliding texts stay apart) with the smallest id of each. Rows that
-are not the smallest of their task are decided there; one row a text goes on, with the text, to the task that the hash
+are not the smallest of their task are decided there; one row a text is written, with the text, and goes on to the task that the hash
 names, which reads them sorted by hash, chains them again and emits those that are not the smallest of all. So a text of a
 third of all rows arrives once a task, and not once a row; a task holds at most HOLD_BYTES of texts before it passes
 them on, and then one hash's chain.
@@ -21,19 +21,24 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby, permutations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.llm.store import written
+
 FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
 HOLD_BYTES = 32 << 20
 SCHEMA = "part string, filter_order string, step int, kept long, removed long, redundant long, unique_fails long, good_lost long, toxic_lost long, shapley long"
 
+ROUTED = pa.schema([("hash", pa.int64()), ("text", pa.binary()), ("doc_id", pa.int64()), ("part", pa.string()), ("mask", pa.int32()), ("n", pa.int64())])
+
 _CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 _SIGNS = re.compile(rb"[#$%&*|]")
 #: Bytes of UTF-8 that don't begin a code point.
@@ -53,7 +58,8 @@ def own_mask(raw: bytes) -> int:
 
 
 def text_hash(raw: bytes) -> int:
-    return xxhash.xxh64_intdigest(raw)
+    """The xxhash as a signed number."""
+    return xxhash.xxh64_intdigest(raw) - (1 << 63)
 
 
 class Chains:
@@ -85,18 +91,18 @@ class Chains:
         return self.size + 100 * len(self.decided) > limit
 
 
-def route(rows: Iterator, limit: int) -> Iterator[tuple[int, tuple]]:
-    """(hash, (text, doc_id, parts, mask)) of a task's smallest rows; (any number, (doc_id, part, mask, n)) of its decided ones."""
+def route(rows: Iterable[tuple[int | None, str, bytes]], limit: int) -> Iterator[tuple]:
+    """(hash, text, doc_id, part, mask, n) of a task's rows (doc_id, part, text): the smallest of each text with its hash and text, the
+    others, which are decided, without."""
     chains = Chains()
 
-    def leave() -> Iterator[tuple[int, tuple]]:
+    def leave() -> Iterator[tuple]:
         for h, chain in chains.links.items():
-            yield from ((h, tuple(link)) for link in chain)
-        for at, ((doc_id, part, mask), n) in enumerate(chains.decided.items()):
-            yield at, (doc_id, part, mask, n)
+            for raw, doc_id, parts, mask in chain:
+                yield from ((h, raw, doc_id, part, mask, n) for part, n in parts.items())
+        yield from ((None, None, *key, n) for key, n in chains.decided.items())
 
-    for doc_id, lang, text in rows:
-        raw, part = (text or "").encode("utf-8", "surrogatepass"), lang or ""
+    for doc_id, part, raw in rows:
         if doc_id is None:
             chains.decided[None, part, own_mask(raw)] += 1
         else:
@@ -107,30 +113,42 @@ def route(rows: Iterator, limit: int) -> Iterator[tuple[int, tuple]]:
     yield from leave()
 
 
-def settle(records: Iterator[tuple[int, tuple]]) -> Iterator[tuple]:
-    """(doc_id, part, mask, n) of all that were routed to a task, sorted by hash: only one hash's chain is held."""
+def settle(records: Iterable[tuple[int, tuple]]) -> Iterator[tuple]:
+    """(doc_id, part, mask, n) of all (hash, (text, doc_id, part, mask, n)) of a task, sorted by hash: only one hash's chain is held."""
     for h, same in groupby(records, key=lambda x: x[0]):
         chains = Chains()
-        for _, record in same:
-            if isinstance(record[0], bytes):
-                chains.add(h, *record)
-            else:
-                yield record
+        for _, (raw, doc_id, part, mask, n) in same:
+            chains.add(h, bytes(raw), doc_id, {part: n}, mask)
             if len(chains.decided) > 10_000:
                 yield from ((*key, n) for key, n in chains.decided.items())
                 chains.decided.clear()
         yield from ((*key, n) for key, n in chains.decided.items())
-        for _, doc_id, parts, mask in chains.links.get(h, ()):
+        for _, doc_id, parts, mask in chains.links[h]:
             yield from ((doc_id, part, mask, n) for part, n in parts.items())
 
 
 def masks(docs: DataFrame, hold_bytes: int = HOLD_BYTES) -> DataFrame:
     """doc_id, part, mask and how many rows (n) have these."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).rdd
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        block, size = [], 0
+        for record in route(rows, hold_bytes):
+            block.append(record)
+            size += 64 + len(record[1] or b"")
+            if size > 4 << 20:
+                yield pa.RecordBatch.from_pylist([dict(zip(ROUTED.names, r, strict=True)) for r in block], ROUTED)
+                block, size = [], 0
+        yield pa.RecordBatch.from_pylist([dict(zip(ROUTED.names, r, strict=True)) for r in block], ROUTED)
+
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long"), text("lang"), text("text").cast("binary"))
+    routed = written(rows.mapInArrow(run, "hash long, text binary, doc_id long, part string, mask int, n long"), "routed")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    routed = rows.mapPartitions(lambda rows: route(rows, hold_bytes)).repartitionAndSortWithinPartitions(tasks, lambda h: h)
-    return spark.createDataFrame(routed.mapPartitions(settle), "doc_id long, part string, mask int, n long", verifySchema=False)
+    chained = routed.filter("hash IS NOT NULL").rdd.map(lambda r: (r[0], tuple(r[1:]))).repartitionAndSortWithinPartitions(tasks, lambda h: h)
+    settled = spark.createDataFrame(chained.mapPartitions(settle), "doc_id long, part string, mask int, n long", verifySchema=False)
+    return settled.union(routed.filter("hash IS NULL").select("doc_id", "part", "mask", "n"))
 
 
 def mask_counts(masked: DataFrame, labels: DataFrame):

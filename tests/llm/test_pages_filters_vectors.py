@@ -180,10 +180,12 @@ def test_colliding_texts_and_hot_copies(monkeypatch):
     monkeypatch.setattr(filter_audit, "text_hash", lambda raw: len(raw) % 2)
     rows = [(k, "en", "same" if k % 3 else f"own {k}") for k in range(300)]
     random.Random(1).shuffle(rows)
-    routed = [r for at in range(0, 300, 50) for r in filter_audit.route(iter(rows[at : at + 50]), 3000)]
-    assert sum(1 for _, x in routed if x[0] == b"same") <= 60  # once a flush, not once a row
+    routed = [r for at in range(0, 300, 50) for r in filter_audit.route([(k, part, t.encode()) for k, part, t in rows[at : at + 50]], 3000)]
+    assert sum(1 for r in routed if r[1] == b"same") <= 60  # once a flush, not once a row
     settled = Counter()
-    for doc_id, part, mask, n in filter_audit.settle(iter(sorted(routed, key=lambda x: x[0]))):
+    for doc_id, part, mask, n in filter_audit.settle(sorted(((r[0], r[1:]) for r in routed if r[0] is not None), key=lambda x: x[0])):
+        settled[doc_id, part, bool(mask & filter_audit.COPY)] += n
+    for _, _, doc_id, part, mask, n in (r for r in routed if r[0] is None):
         settled[doc_id, part, bool(mask & filter_audit.COPY)] += n
     assert settled == Counter((k, "en", bool(k % 3 and k != 1)) for k, _, _ in rows)
 
