@@ -133,9 +133,9 @@ def tax_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("supp", status.alias("status"), F.when(~none, F.col("t.kind")).alias("kind"))
 
 
-def statement(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """sql over the views and the tables of a folder."""
-    sql = with_views(sql, SPARK_VIEWS)
+def statement(spark: SparkSession, sf_dir: str, sql: str, views: dict[str, str] | None = None) -> DataFrame:
+    """sql over the views, more views if given, and the tables of a folder."""
+    sql = with_views(sql, SPARK_VIEWS | (views or {}))
     used = [t for t in (*TABLES, "tax_ids") if re.search(rf"\b(FROM|JOIN)\s+{t}\b", sql)]
     tables = {t: tax_ids(spark, sf_dir) if t == "tax_ids" else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
     return spark.sql(re.sub(rf"\b(FROM|JOIN)(\s+)({'|'.join(used)})\b", r"\1\2{\3}", sql), **tables)
