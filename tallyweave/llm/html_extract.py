@@ -27,14 +27,14 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm.html_tree import INLINE, Page, parse
 
 #: Pages that the trees learn from, layouts made for each, and the elements learned from at most.
-SAMPLE, LAYOUTS, LEARNED = 240, 5, 60_000
+SAMPLE, LAYOUTS, LEARNED = 160, 6, 40_000
 TREES, DEPTH, STEP = 36, 5, 0.3
 #: Odds are held to this; entering main text and cutting out of it cost so much.
 LIMIT, ENTER, CUT = 4.0, 2.0, 1.0
@@ -399,13 +399,15 @@ def fit(pages: DataFrame, sample: int = SAMPLE, layouts: int = LAYOUTS) -> Trees
         x.append(numbers[told])
         y += [known[k] for k in told]
     rows = np.concatenate(x)[:LEARNED]
-    data = spark.createDataFrame([(float(v), Vectors.dense(r)) for v, r in zip(y, rows, strict=False)], ["label", "features"]).coalesce(1)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
+    table = spark.createDataFrame(pa.table({"label": pa.array(y[: len(rows)], pa.float64()), "features": lists}))
+    data = table.select("label", array_to_vector("features").alias("features")).coalesce(1)
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, maxBins=32, seed=1).fit(data)
     return Trees(words, _flat(model))
 
 
 #: Characters of a page that are learned from; all of it is extracted.
-MOST_LEARNED = 200_000
+MOST_LEARNED = 50_000
 
 
 def extract_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
