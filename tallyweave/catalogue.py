@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from tallyweave.operators import domain_queries, text_queries
+from tallyweave.operators import domain_queries, printed_queries, text_queries
 from tallyweave.plans import reports
 
-QUERIES = {**reports.QUERIES, **text_queries.QUERIES, **domain_queries.QUERIES}
-ORACLE_SQL = {**reports.ORACLE_SQL, **text_queries.ORACLE_SQL, **domain_queries.ORACLE_SQL}
+MODULES = (reports, text_queries, domain_queries, printed_queries)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}

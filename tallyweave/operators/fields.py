@@ -91,14 +91,12 @@ def _none() -> Column:
 
 def number_evidence(line: Column) -> Column:
     """Values beside and below the labels of an invoice's number, and in its heading, in the order of preference."""
-    found = []
-    for tier, label in enumerate(NUMBER_LABELS):
 
-        def values(h: Column, tier: int = tier) -> Column:
-            below = identifier(h["below1"])
-            return F.array(_row("number", tier, 2 * h["begin"], identifier(h["after"])), _row("number", tier, 2 * h["begin"] + 1, F.when(F.length(below) >= 6, below)))
+    def values(h: Column) -> Column:
+        below = identifier(h["below1"])
+        return F.array(_row("number", h["tier"], 2 * h["begin"], identifier(h["after"])), _row("number", h["tier"], 2 * h["begin"] + 1, F.when(F.length(below) >= 6, below)))
 
-        found.append(_given(F.flatten(F.transform(label_hits(_ANY_CASE + label, "number", tier), values))))
+    found = [_given(F.flatten(F.transform(label_hits(_ANY_CASE + label, "number", tier), values))) for tier, label in enumerate(NUMBER_LABELS)]
     heading = F.regexp_extract(F.trim("text"), r"(?iu)^(?:tax\s+)?invoice\s+([A-Z0-9][A-Z0-9/\-_.]{3,})$", 1)
     hashed = F.regexp_extract("text", r"(?:^|\s)#\s*([A-Za-z0-9][A-Za-z0-9/\-_.]{3,})\s*$", 1)
     digit = lambda c: F.when(F.rlike(c, F.lit(r"\d")), c)
@@ -108,15 +106,12 @@ def number_evidence(line: Column) -> Column:
 
 def date_evidence() -> Column:
     """What stands beside and below the labels of a date, where these don't name another date."""
-    found = []
-    for tier, label in enumerate(DATE_LABELS):
 
-        def values(h: Column, tier: int = tier) -> Column:
-            other = F.rlike(F.right(h["before"], F.lit(14)), F.lit(_ANY_CASE + OTHER_DATE))
-            return F.when(other, _none()).otherwise(F.array(_row("date", tier, 2 * h["begin"], h["after"]), _row("date", tier, 2 * h["begin"] + 1, h["below1"])))
+    def values(h: Column) -> Column:
+        other = F.rlike(F.right(h["before"], F.lit(14)), F.lit(_ANY_CASE + OTHER_DATE))
+        return F.when(other, _none()).otherwise(F.array(_row("date", h["tier"], 2 * h["begin"], h["after"]), _row("date", h["tier"], 2 * h["begin"] + 1, h["below1"])))
 
-        found.append(_given(F.flatten(F.transform(label_hits(_ANY_CASE + label, "date", tier), values))))
-    return _some(found)
+    return _some([_given(F.flatten(F.transform(label_hits(_ANY_CASE + label, "date", tier), values))) for tier, label in enumerate(DATE_LABELS)])
 
 
 def money_evidence() -> Column:
@@ -174,7 +169,7 @@ def vendor_evidence(line: Column) -> Column:
 
 
 def order_evidence() -> Column:
-    return _some([_given(F.transform(label_hits(_ANY_CASE + p, "po", tier), lambda h, tier=tier: _row("po", tier, h["begin"], identifier(h["after"])))) for tier, p in enumerate(ORDER_LABELS)])
+    return _some([_given(F.transform(label_hits(_ANY_CASE + p, "po", tier), lambda h: _row("po", h["tier"], h["begin"], identifier(h["after"])))) for tier, p in enumerate(ORDER_LABELS)])
 
 
 def tax_id_evidence() -> Column:
@@ -238,7 +233,7 @@ def with_context(found: DataFrame) -> DataFrame:
 def evidence(found: DataFrame) -> DataFrame:
     """A row (doc_id, line, field, tier, place, value, amount) for every piece of evidence in the lines of documents."""
     line = F.col("line")
-    each = _some([number_evidence(line), date_evidence(), money_evidence(), vendor_evidence(line), order_evidence(), tax_id_evidence(), bank_evidence()])
+    each = _some([number_evidence(line), date_evidence(), money_evidence(), vendor_evidence(line), order_evidence(), tax_id_evidence(), bank_evidence(), F.array(_row("line", 0, 0, F.col("text")))])
     return with_context(found).select("doc_id", "line", F.inline(each))
 
 
@@ -336,12 +331,16 @@ def choose_money(*candidates: Column | str) -> Column:
     return F.pandas_udf(_chosen, "total double, subtotal double, tax double, rule string")(*candidates)
 
 
-def read_money(found: DataFrame) -> DataFrame:
-    """doc_id, total, subtotal, tax and rule, from evidence."""
+def _money(found: DataFrame) -> dict[str, Column]:
+    """The candidates of a document's amounts as sorted arrays, by name of their field."""
     row = F.struct(F.when(F.col("field").isin("total", "subtotal"), -F.col("tier")).otherwise(0).alias("first"), "line", "place", "tier", "amount", "value")
-    of = lambda field: F.array_sort(F.collect_list(F.when(F.col("field") == field, row)))
-    money = found.filter(F.col("field").isin("total", "subtotal", "tax", "gst", "printed"))
-    lists = money.groupBy("doc_id").agg(*(of(f).alias(f) for f in ("total", "subtotal", "tax", "gst", "printed")))
+    return {f: F.array_sort(F.collect_list(F.when(F.col("field") == f, row))) for f in ("total", "subtotal", "tax", "gst", "printed")}
+
+
+def read_money(found: DataFrame) -> DataFrame:
+    """doc_id, total, subtotal, tax and rule of documents, from their lines."""
+    money = with_context(found).select("doc_id", "line", F.inline(money_evidence()))
+    lists = money.groupBy("doc_id").agg(*(c.alias(f) for f, c in _money(money).items()))
     return lists.select("doc_id", choose_money("total", "subtotal", "tax", "gst", "printed").alias("m")).select("doc_id", "m.*")
 
 
@@ -350,26 +349,26 @@ def read_fields(found: DataFrame) -> DataFrame:
     and rule, how the money was found. found: lines of documents."""
     every = evidence(found)
     order = F.struct("tier", "line", "place")
-    first = lambda field, value="value", by=order: F.min_by(F.when(F.col("field") == field, F.col(value)), F.when((F.col("field") == field) & F.col(value).isNotNull(), by))
-    texts = found.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("doc_text"))
-    currency = texts.select("doc_id", text.detect_currency(F.col("doc_text")).alias("currency"))
-    # a date is read once the currency is known: dollars put the month first
-    dated = every.join(currency.select("doc_id", (F.col("currency") == "USD").alias("mdy")), "doc_id", "left")
-    dated = dated.withColumn("day", F.when(F.col("field") == "date", text.parse_date(F.trim("value"), F.coalesce("mdy", F.lit(False)))))
+
+    def first(field: str, by: Column = order) -> Column:
+        of = F.when(F.col("field") == field, F.col("value"))
+        return F.min_by(of, F.when(of.isNotNull(), by)).alias(field)
+
     valid = F.when((F.col("field") == "tax_id") & ids.tax_id(F.col("value"))["valid"], F.col("value"))
-    row = F.struct(F.when(F.col("field").isin("total", "subtotal"), -F.col("tier")).otherwise(0).alias("first"), "line", "place", "tier", "amount", "value")
-    money = {f: F.array_sort(F.collect_list(F.when(F.col("field") == f, row))).alias(f"m_{f}") for f in ("total", "subtotal", "tax", "gst", "printed")}
-    seen = F.struct("tier", "line", "place")
-    one = dated.groupBy("doc_id").agg(
-        first("vendor").alias("vendor"), first("number").alias("number"), first("date", "day").alias("inv_date"), first("po").alias("po_number"),
-        F.min_by(valid, F.when(valid.isNotNull(), seen)).alias("valid_tax_id"), first("tax_id").alias("any_tax_id"),
-        first("iban").alias("iban"), first("account", by=F.struct("line", "place")).alias("account"), first("ifsc", by=F.struct("line", "place")).alias("ifsc"), *money.values(),
+    listed = lambda field, *by: F.array_sort(F.collect_list(F.when(F.col("field") == field, F.struct(*by, "value"))))
+    down = F.struct("line", "place")
+    read = every.groupBy("doc_id").agg(
+        first("vendor"), first("number"), first("po"), first("tax_id"), first("iban"), first("account", down), first("ifsc", down), F.min_by(valid, F.when(valid.isNotNull(), order)).alias("valid"),
+        listed("date", "tier", "line", "place").alias("dates"), listed("line", "line").alias("lines"), *(c.alias(f"m_{f}") for f, c in _money(every).items()),
     )
-    read = one.withColumn("m", choose_money(*(f"m_{f}" for f in money)))
-    bare = F.trim(F.regexp_replace(F.trim("vendor"), HEADING, ""))
-    return currency.join(read, "doc_id", "left").select(
-        "doc_id", F.coalesce(F.nullif(bare, F.lit("")), F.col("vendor")).alias("vendor"), "number", "inv_date", "currency", F.col("m.subtotal").alias("subtotal"), F.col("m.tax").alias("tax_amount"), F.col("m.total").alias("total"),
-        F.coalesce("valid_tax_id", "any_tax_id").alias("tax_id"), "po_number", F.coalesce("iban", F.when(F.col("ifsc").isNotNull(), F.concat_ws(" / ", "account", "ifsc")).otherwise(F.col("account"))).alias("bank_account"), F.col("m.rule").alias("rule"),
+    read = read.withColumn("currency", text.detect_currency(F.array_join(F.transform("lines", lambda x: x["value"]), "\n")))
+    # dollars put the month first
+    days = F.array_compact(F.transform("dates", lambda x: text.parse_date(F.trim(x["value"]), F.coalesce(F.col("currency") == "USD", F.lit(False)))))
+    bare = F.nullif(F.trim(F.regexp_replace(F.trim("vendor"), HEADING, "")), F.lit(""))
+    account = F.when(F.col("ifsc").isNotNull() & F.col("account").isNotNull(), F.concat_ws(" / ", "account", "ifsc")).otherwise(F.col("account"))
+    return read.withColumn("m", choose_money("m_total", "m_subtotal", "m_tax", "m_gst", "m_printed")).select(
+        "doc_id", F.coalesce(bare, "vendor").alias("vendor"), "number", F.get(days, F.lit(0)).alias("inv_date"), "currency", F.col("m.subtotal").alias("subtotal"), F.col("m.tax").alias("tax_amount"),
+        F.col("m.total").alias("total"), F.coalesce("valid", "tax_id").alias("tax_id"), F.col("po").alias("po_number"), F.coalesce("iban", account).alias("bank_account"), F.col("m.rule").alias("rule"),
     )
 
 

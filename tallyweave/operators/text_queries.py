@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.functions import ids, text
+from tallyweave.functions import ids, spans, text
 from tallyweave.operators import matching, reconcile
 from tallyweave.plans.reports import SQL
 from tallyweave.plans.views import with_views
@@ -20,8 +20,28 @@ def norm_number(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", text.norm_number(F.col("text")).alias("number"))
 
 
-def norm_number_whole(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", text.norm_number(F.col("text")).alias("number"))
+def date_readings(spark, sf_dir):
+    """All dates that a printed text may mean: one both ways round, the next day with its month's name."""
+    day = F.col("o_orderdate").cast("date")
+    months = F.array(*(F.lit(m) for m in ("January", "février", "März", "avril", "mei", "June", "juli", "août", "Sept", "oktober", "Nov", "décembre")))
+    later = F.date_add(day, 1)
+    printed = F.concat(F.lit("Order of "), F.date_format(day, "d/M/yyyy"), F.lit(", due "), F.day(later).cast("string"), F.lit(" "), F.element_at(months, F.month(later)), F.lit(" "), F.year(later).cast("string"))
+    found = F.transform(spans.all_dates(printed), lambda d: d.cast("string"))
+    return _read(spark, sf_dir, "orders").select("o_orderkey", F.array_join(found, ",").alias("readings"))
+
+
+def money_figures(spark, sf_dir):
+    """The amounts of a printed text: thousands with spaces beside a currency, European ones, cents alone; no shares or counts."""
+    us = F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2)
+    printed = F.concat(F.lit("Total $ "), F.translate(us, ",", " "), F.lit(" or "), F.translate(us, ",.", ".,"), F.lit(" incl. 21% of 3 parts at 40.50"))
+    found = F.transform(spans.find_money(printed), lambda v: v.cast("decimal(18,2)").cast("string"))
+    return _read(spark, sf_dir, "orders").select("o_orderkey", F.array_join(found, "|").alias("figures"))
+
+
+def scanned_numbers(spark, sf_dir):
+    """Numbers in which a scan took digits for letters, mended; words stay."""
+    number = F.concat(F.col("o_orderkey").cast("string"), F.lit("SOl"))
+    return _read(spark, sf_dir, "orders").select("o_orderkey", spans.fix_scanned_numbers(F.concat(number, F.lit(" SOIL"))).alias("fixed"))
 
 
 def ocr_fold(spark, sf_dir):
@@ -125,7 +145,7 @@ def lockout(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (norm_number, norm_number_whole, ocr_fold, compact_text, find_amounts, detect_currency, parse_date, iban_make, gstin_checksum, check_tax_id, vendor_first_match, duplicate_fuzzy, ground_fields, merge_readings, reasons_for_ai, rate_limit, lockout)
+    for f in (norm_number, date_readings, money_figures, scanned_numbers, ocr_fold, compact_text, find_amounts, detect_currency, parse_date, iban_make, gstin_checksum, check_tax_id, vendor_first_match, duplicate_fuzzy, ground_fields, merge_readings, reasons_for_ai, rate_limit, lockout)
     if f.__name__ not in SQL
 }
 ORACLE_SQL = {
@@ -137,8 +157,10 @@ ORACLE_SQL = {
             WHEN kind = 'UAE_TRN' AND starts_with(tax_id, '100') THEN 'pass' WHEN kind = 'EU_VAT' AND length(tax_id) = 11 THEN 'pass' ELSE 'warn' END AS status, kind FROM k""",
     "norm_number": """SELECT doc_id, CASE WHEN n = '' THEN '0' ELSE n END AS number FROM (SELECT doc_id,
         regexp_replace(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g') AS n FROM documents)""",
-    "norm_number_whole": """SELECT doc_id, CASE WHEN n = '' THEN '0' ELSE n END AS number FROM (SELECT doc_id,
-        regexp_replace(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g') AS n FROM documents)""",
+    "date_readings": """SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_filter([strftime(d, '%Y-%m-%d'), CASE WHEN day(d) <= 12 THEN strftime(make_date(year(d), day(d), month(d)), '%Y-%m-%d') END, strftime(d + INTERVAL 1 DAY, '%Y-%m-%d')], lambda x: x IS NOT NULL))), ',') AS readings
+        FROM (SELECT o_orderkey, cast(o_orderdate AS date) AS d FROM orders) x""",
+    "money_figures": """SELECT o_orderkey, concat(cast(cast(o_totalprice AS decimal(18,2)) AS varchar), '|', cast(cast(o_totalprice AS decimal(18,2)) AS varchar), '|', '40.50') AS figures FROM orders""",
+    "scanned_numbers": """SELECT o_orderkey, concat(CASE WHEN o_orderkey >= 10 THEN cast(o_orderkey * 1000 + 501 AS varchar) ELSE concat(o_orderkey, 'SOl') END, ' SOIL') AS fixed FROM orders""",
     "ocr_fold": "SELECT doc_id, translate(regexp_replace(lower(text), '[^a-z0-9|]', '', 'g'), 'oil|sbz', '0111582') AS folded FROM documents",
     "compact_text": "SELECT doc_id, CASE WHEN length(text) > 8500 THEN left(text, 6000) || chr(10) || '...' || chr(10) || right(text, 2500) ELSE text END AS text FROM documents",
 }

@@ -81,11 +81,6 @@ SQL = {
         FROM supplier WHERE s_suppkey % 9 = 0) n ON n.vendor = v.vendor""",
     "soft_delete": "SELECT id, status FROM invoices WHERE removed",
     "history_before": "SELECT i.id, count(h.id) AS earlier FROM live i LEFT JOIN live h ON h.vendor = i.vendor AND h.id < i.id GROUP BY i.id",
-    # ranks within blocks of ids, after the counts of earlier blocks: no vendor is one task
-    "history_before_all": """SELECT r.id, cast(CASE WHEN r.vendor IS NULL THEN 0 ELSE r.place - 1 + coalesce(b.before, 0) END AS bigint) AS earlier
-        FROM (SELECT id, vendor, block, rank() OVER (PARTITION BY vendor, block ORDER BY id) AS place FROM (SELECT id, vendor, cast(floor(id / 4096) AS bigint) AS block FROM live) x) r
-        LEFT JOIN (SELECT vendor, block, sum(n) OVER (PARTITION BY vendor ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
-        FROM (SELECT vendor, cast(floor(id / 4096) AS bigint) AS block, count(*) AS n FROM live GROUP BY vendor, cast(floor(id / 4096) AS bigint)) y) b ON b.vendor = r.vendor AND b.block = r.block""",
     "anti_unused_vendors": "SELECT v.vendor, v.name FROM vendors v LEFT ANTI JOIN (SELECT vendor FROM live WHERE status = 'approved' AND vendor % 3 <> 0) i ON i.vendor = v.vendor",
     "semi_known_vendors": "SELECT i.id, i.vendor FROM live i LEFT SEMI JOIN vendors v ON v.vendor = i.vendor",
     "search_q": "SELECT id, number FROM live WHERE contains(lower(number), lower('V-00004')) OR contains(lower(cast(inv_date AS string)), '1995-03')",
@@ -100,10 +95,6 @@ SQL = {
         SELECT user_id, event_id, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (
         SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL '8' HOUR THEN 0 ELSE 1 END AS opens FROM events) e) s GROUP BY user_id, session""",
     "sliding_counts": """SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '10' MINUTE PRECEDING AND CURRENT ROW) AS n FROM events""",
-    "field_scores": """SELECT id, abs(total - subtotal - tax_amount) < 0.011 AS total_ok, number IS NOT NULL AS number_ok, currency IN ('EUR', 'USD') AS currency_ok FROM live""",
-    "score_summary": """SELECT f.field, count(CASE f.field WHEN 'total' THEN abs(total - subtotal - tax_amount) ELSE 0 END) AS scored,
-        cast(sum(CASE WHEN f.field = 'total' AND abs(total - subtotal - tax_amount) < 0.011 THEN 1 WHEN f.field = 'number' AND number IS NOT NULL THEN 1 ELSE 0 END) AS bigint) AS correct
-        FROM live CROSS JOIN (VALUES ('total'), ('number')) AS f(field) GROUP BY f.field""",
 }
 
 #: How Spark computes some of these: no self-join of texts or of a vendor's invoices, no month in one task. The statements above
@@ -121,6 +112,12 @@ SPARK_SQL = {
               FROM (SELECT date_trunc('hour', ts) AS hour, count(*) AS calls, sum(cost) AS cost FROM usage GROUP BY date_trunc('hour', ts)) x) h ON h.hour = e.hour""",
 }
 
+# ranks within blocks of ids, after the counts of earlier blocks: no vendor is one task
+SPARK_SQL["history_before"] = """SELECT r.id, cast(CASE WHEN r.vendor IS NULL THEN 0 ELSE r.place - 1 + coalesce(b.before, 0) END AS bigint) AS earlier
+    FROM (SELECT id, vendor, block, rank() OVER (PARTITION BY vendor, block ORDER BY id) AS place FROM (SELECT id, vendor, cast(floor(id / 4096) AS bigint) AS block FROM live) x) r
+    LEFT JOIN (SELECT vendor, block, sum(n) OVER (PARTITION BY vendor ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+    FROM (SELECT vendor, cast(floor(id / 4096) AS bigint) AS block, count(*) AS n FROM live GROUP BY vendor, cast(floor(id / 4096) AS bigint)) y) b ON b.vendor = r.vendor AND b.block = r.block"""
+
 #: DuckDB writes two joins differently.
 DIALECT = (("LEFT SEMI JOIN", "SEMI JOIN"), ("LEFT ANTI JOIN", "ANTI JOIN"))
 
@@ -156,7 +153,5 @@ def oracle(name: str) -> str:
     return sql
 
 
-SPARK_SQL["history_before"] = SQL["history_before_all"]
 QUERIES = {name: query(name) for name in SQL}
 ORACLE_SQL = {name: oracle(name) for name in SQL}
-ORACLE_SQL["history_before_all"] = with_views("SELECT i.id, count(h.id) AS earlier FROM live i LEFT JOIN live h ON h.vendor = i.vendor AND h.id < i.id GROUP BY i.id")

@@ -1,7 +1,7 @@
 """Invoices as they would be printed: words with boxes on pages, derived from the invoice views, and the words of documents.
 
 Each invoice is laid out in one of four ways (by its id): labels beside their values, labels above them in columns, Dutch, and Indian
-with the tax in parts. The rows say what the views say, so what is read back from the boxes has a known truth. One SQL text makes the rows
+with the tax in parts. The rows say what the views say, so what is read back from the boxes has a known truth; every 37th has its number misprinted. One SQL text makes the rows
 for both engines; only the splitting into words differs.
 """
 
@@ -16,7 +16,7 @@ from tallyweave.plans.views import SUPPLIER_TAX_ID, with_views
 PAGE_ROWS, PITCH, ROW, TOP, HEIGHT = 45, 6.0, 18.0, 60.0, 10.0
 
 #: A supplier's printed name, from its key.
-VENDOR_NAME = """concat('N', translate(lpad(cast({0} AS string), 4, '0'), '0123456789', 'aeioubdgkl'), CASE {0} % 4 WHEN 0 THEN ' Traders Pvt Ltd' WHEN 1 THEN ' Handel GmbH' WHEN 2 THEN ' Supplies Inc' ELSE ' Commerce B.V.' END)"""
+VENDOR_NAME = """concat(upper(substr(translate(cast({0} * 7919 % 89989 + 10007 AS string), '0123456789', 'bdfgklmnpr'), 1, 1)), 'a', translate(cast({0} * 7919 % 89989 + 10007 AS string), '0123456789', 'aeiouyktsv'), translate(cast({0} * 31 % 97 AS string), '0123456789', 'nortelumba'), CASE {0} % 4 WHEN 0 THEN ' Traders Pvt Ltd' WHEN 1 THEN ' Handel GmbH' WHEN 2 THEN ' Supplies Inc' ELSE ' Commerce B.V.' END)"""
 
 
 def _amount(column: str, way: str = "way") -> str:
@@ -33,11 +33,11 @@ ROWS = f"""
 SELECT id, 10 AS place, 50 AS x, vendor_name AS text FROM facts
 UNION ALL SELECT id, 15, 50, concat(CASE WHEN tax_id LIKE 'DE%' THEN 'VAT No: ' WHEN tax_id LIKE '%AABCO%' THEN 'GSTIN: ' ELSE 'TRN: ' END, tax_id) FROM facts WHERE tax_id IS NOT NULL
 UNION ALL SELECT id, 20, 50, CASE way WHEN 2 THEN 'Factuur' ELSE 'Tax Invoice' END FROM facts
-UNION ALL SELECT id, 30, 50, CASE way WHEN 0 THEN concat('Invoice No: ', number) WHEN 2 THEN concat('Factuurnummer: ', number) ELSE concat('Invoice No: ', replace(number, '-', '/')) END FROM facts WHERE number IS NOT NULL AND way <> 1
+UNION ALL SELECT id, 30, 50, concat(CASE way WHEN 2 THEN 'Factuurnummer: ' ELSE 'Invoice No: ' END, printed_number) FROM facts WHERE number IS NOT NULL AND way <> 1
 UNION ALL SELECT id, 30, 50, 'Invoice Number' FROM facts WHERE way = 1
 UNION ALL SELECT id, 30, 250, 'Invoice Date' FROM facts WHERE way = 1
 UNION ALL SELECT id, 30, 430, 'Due Date' FROM facts WHERE way = 1
-UNION ALL SELECT id, 32, 50, number FROM facts WHERE way = 1 AND number IS NOT NULL
+UNION ALL SELECT id, 32, 50, printed_number FROM facts WHERE way = 1 AND number IS NOT NULL
 UNION ALL SELECT id, 32, 250, day FROM facts WHERE way = 1
 UNION ALL SELECT id, 32, 430, '2031-01-01' FROM facts WHERE way = 1
 UNION ALL SELECT id, 40, 50, concat(CASE way WHEN 2 THEN 'Factuurdatum: ' ELSE 'Date: ' END, day) FROM facts WHERE way <> 1
@@ -60,7 +60,7 @@ UNION ALL SELECT id, 400, 50, concat('IBAN: ', iban) FROM facts WHERE bank_accou
 UNION ALL SELECT id, 410, 50, 'Please pay by bank transfer' FROM facts"""
 
 FACTS = f"""
-SELECT id, way, number, po_number, bank_account, subtotal, tax_amount, total, currency, sign, supp, {VENDOR_NAME.format("supp")} AS vendor_name, cast(inv_date AS string) AS day, {SUPPLIER_TAX_ID.replace("s_suppkey", "supp")} AS tax_id,
+SELECT id, way, number, CASE WHEN id % 37 = 0 THEN replace(number, '0', 'O') WHEN way = 3 THEN replace(number, '-', '/') ELSE number END AS printed_number, po_number, bank_account, subtotal, tax_amount, total, currency, sign, supp, {VENDOR_NAME.format("supp")} AS vendor_name, cast(inv_date AS string) AS day, {SUPPLIER_TAX_ID.replace("s_suppkey", "supp")} AS tax_id,
        cast(floor(tax_amount * 50) / 100 AS double) AS part, concat('77', lpad(account, 8, '0')) AS digits,
        concat('NL', lpad(cast(cast(98 - cast(concat('18231611', lpad(account, 10, '0'), '232100') AS decimal(38,0)) % 97 AS int) AS string), 2, '0'), 'INGB', lpad(account, 10, '0')) AS iban
 FROM (SELECT *, substr(bank_account, 4) AS account, CASE currency WHEN 'EUR' THEN '€ ' WHEN 'USD' THEN '$ ' WHEN 'GBP' THEN '£ ' ELSE concat(currency, ' ') END AS sign

@@ -37,7 +37,7 @@ def test_query_equals_its_sql(spark, duck, sf, name):
 
 def test_whole_tables(spark, duck, sf):
     live = duck.execute(catalogue.ORACLE_SQL["status_counts"]).fetchall()
-    assert catalogue.QUERIES["history_before_all"](spark, sf).count() == sum(n for _, n in live)
+    assert catalogue.QUERIES["history_before"](spark, sf).count() == sum(n for _, n in live)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    numbers = {r.doc_id: r.number for r in catalogue.QUERIES["norm_number_whole"](spark, sf).collect()}
+    numbers = {r.doc_id: r.number for r in catalogue.QUERIES["norm_number"](spark, sf).collect()}
     assert len(numbers) == docs.count() and max(map(len, numbers.values())) > 40
