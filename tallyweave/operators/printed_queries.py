@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions import fuzzy
-from tallyweave.operators import fields, layout
+from tallyweave.operators import fields, layout, printed_names
 from tallyweave.plans.reports import statement
-from tallyweave.plans.views import with_views
+from tallyweave.plans.views import SUPPLIER_TAX_ID, with_views
 from tallyweave.sources import printed
 
 
@@ -88,7 +88,20 @@ def score_summary(spark, sf_dir):
     return each.rollup("field").agg(F.count(F.lit(1)).alias("scored"), F.count_if("ok").alias("correct")).select(F.coalesce("field", F.lit("all")).alias("field"), "scored", "correct")
 
 
-QUERIES = {f.__name__: f for f in (printed_lines, document_lines, label_hits, invoice_number_candidates, money_triples, extracted_fields, field_scores, score_summary)}
+#: What was read of an invoice's seller, the approved vendors, and the invoices' texts: every third lacks the name, every third the tax id as well.
+READ = f"SELECT id, CASE WHEN id % 3 = 0 THEN vendor_name END AS vendor, CASE WHEN id % 3 < 2 THEN tax_id END AS tax_id FROM facts"
+APPROVED = f"SELECT s_suppkey AS supp, {printed.VENDOR_NAME.format('s_suppkey')} AS name, {SUPPLIER_TAX_ID} AS tax_id FROM supplier WHERE s_suppkey % 13 <> 0"
+
+
+def approved_vendor(spark, sf_dir):
+    """The approved vendor of each printed invoice, by the name read, the tax id, or the only name printed."""
+    rows = printed.printed_rows(spark, sf_dir)
+    texts = rows.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "x", "text"))), lambda r: r["text"]), "\n").alias("text"))
+    read = statement(spark, sf_dir, READ, printed.PRINTED).withColumnRenamed("id", "doc_id")
+    return printed_names.approved_vendor(read, texts.withColumnRenamed("id", "doc_id"), statement(spark, sf_dir, APPROVED))
+
+
+QUERIES = {f.__name__: f for f in (approved_vendor, printed_lines, document_lines, label_hits, invoice_number_candidates, money_triples, extracted_fields, field_scores, score_summary)}
 
 
 def _facts(sql: str) -> str:
@@ -98,8 +111,14 @@ def _facts(sql: str) -> str:
 _ROWS = f"""(SELECT id, nth, page, string_agg(text, ' ' ORDER BY x) AS text, first(text ORDER BY x) AS head
     FROM (SELECT id, x, text, cast(dense_rank() OVER (PARTITION BY id ORDER BY place) - 1 AS int) AS nth, cast(floor((dense_rank() OVER (PARTITION BY id ORDER BY place) - 1) / {printed.PAGE_ROWS}) AS int) AS page FROM printed_rows) r GROUP BY id, nth, page)"""
 _TAX_ID = "CASE WHEN tax_id LIKE 'DE%' OR tax_id LIKE '100%' OR tax_id LIKE '%AABCO%' THEN tax_id END"
+# a tax of nothing is read only where arithmetic confirms it
+_CONFIRMED = "abs(subtotal + tax_amount - total) <= 0.02"
+_TAX = f"CASE WHEN {_CONFIRMED} OR tax_amount > 0 THEN tax_amount END"
 _MISPRINT = "(id % 37 <> 0 OR number IS NULL)"
 ORACLE_SQL = {
+    # no two names are alike, so the vendor is the one that the page was printed for
+    "approved_vendor": _facts("""SELECT id AS doc_id, CASE WHEN supp % 13 <> 0 THEN vendor_name END AS vendor,
+        CASE WHEN supp % 13 <> 0 THEN CASE WHEN id % 3 = 0 THEN 1 WHEN id % 3 = 1 AND tax_id IS NOT NULL THEN 2 ELSE 3 END END AS tier FROM facts"""),
     "printed_lines": _facts(f"SELECT id AS doc_id, nth AS line, page, text FROM {_ROWS} x"),
     # one word after another
     "document_lines": f"""WITH RECURSIVE w AS ({printed.DOCUMENT_WORDS.format(words=printed.DUCKDB_WORDS.replace(chr(92) + "n", chr(10)))}),
@@ -122,10 +141,10 @@ ORACLE_SQL = {
                                 unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS k FROM printed_rows) v) w
           ON w.id = h.id AND w.nth = h.nth + 1 AND w.page = h.page AND w.x0 + 3 * length(w.word) BETWEEN 25 AND right_end + 70
         GROUP BY ALL"""),
-    "money_triples": _facts("SELECT id AS doc_id, total, subtotal, tax_amount AS tax, CASE WHEN abs(subtotal + tax_amount - total) <= 0.02 THEN 'confirmed' ELSE 'label' END AS rule FROM facts"),
-    "extracted_fields": _facts(f"""SELECT id AS doc_id, vendor_name AS vendor, printed_number AS number, day AS inv_date, currency, subtotal, tax_amount, total, {_TAX_ID} AS tax_id, po_number,
+    "money_triples": _facts(f"SELECT id AS doc_id, total, subtotal, {_TAX} AS tax, CASE WHEN {_CONFIRMED} THEN 'confirmed' ELSE 'label' END AS rule FROM facts"),
+    "extracted_fields": _facts(f"""SELECT id AS doc_id, vendor_name AS vendor, printed_number AS number, day AS inv_date, currency, subtotal, {_TAX} AS tax_amount, total, {_TAX_ID} AS tax_id, po_number,
         CASE WHEN bank_account IS NULL THEN NULL WHEN way = 2 THEN iban ELSE digits END AS bank_account FROM facts"""),
-    "field_scores": _facts(f"SELECT id AS doc_id, true AS vendor, CASE WHEN number IS NOT NULL THEN {_MISPRINT} END AS number, true AS inv_date, true AS currency, true AS subtotal, true AS tax_amount, true AS total FROM facts"),
-    "score_summary": _facts(f"""SELECT field, count(*) AS scored, count(*) FILTER (WHERE ok) AS correct FROM (SELECT unnest(['vendor', 'inv_date', 'currency', 'subtotal', 'tax_amount', 'total']) AS field, true AS ok FROM facts UNION ALL SELECT 'number', {_MISPRINT} FROM facts WHERE number IS NOT NULL) s GROUP BY field
-        UNION ALL SELECT 'all', count(*) * 6 + count(number), count(*) * 6 + count(number) FILTER (WHERE {_MISPRINT}) FROM facts"""),
+    "field_scores": _facts(f"SELECT id AS doc_id, true AS vendor, CASE WHEN number IS NOT NULL THEN {_MISPRINT} END AS number, true AS inv_date, true AS currency, true AS subtotal, {_TAX} IS NOT NULL AS tax_amount, true AS total FROM facts"),
+    "score_summary": _facts(f"""SELECT field, count(*) AS scored, count(*) FILTER (WHERE ok) AS correct FROM (SELECT unnest(['vendor', 'inv_date', 'currency', 'subtotal', 'total']) AS field, true AS ok FROM facts UNION ALL SELECT 'tax_amount', {_TAX} IS NOT NULL FROM facts UNION ALL SELECT 'number', {_MISPRINT} FROM facts WHERE number IS NOT NULL) s GROUP BY field
+        UNION ALL SELECT 'all', count(*) * 6 + count(number), count(*) * 5 + count({_TAX}) + count(number) FILTER (WHERE {_MISPRINT}) FROM facts"""),
 }

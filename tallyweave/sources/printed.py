@@ -16,7 +16,7 @@ from tallyweave.plans.views import SUPPLIER_TAX_ID, with_views
 PAGE_ROWS, PITCH, ROW, TOP, HEIGHT = 45, 6.0, 18.0, 60.0, 10.0
 
 #: A supplier's printed name, from its key.
-VENDOR_NAME = """concat(upper(substr(translate(cast({0} * 7919 % 89989 + 10007 AS string), '0123456789', 'bdfgklmnpr'), 1, 1)), 'a', translate(cast({0} * 7919 % 89989 + 10007 AS string), '0123456789', 'aeiouyktsv'), translate(cast({0} * 31 % 97 AS string), '0123456789', 'nortelumba'), CASE {0} % 4 WHEN 0 THEN ' Traders Pvt Ltd' WHEN 1 THEN ' Handel GmbH' WHEN 2 THEN ' Supplies Inc' ELSE ' Commerce B.V.' END)"""
+VENDOR_NAME = """concat(upper(substr(translate(cast({0} * 7919 % 89989 + 10007 AS string), '0123456789', 'bdfgklmnpr'), 1, 1)), 'a', translate(cast({0} * 7919 % 89989 + 10007 AS string), '0123456789', 'aeiouyktsv'), translate(cast({0} * 31337 % 88993 + 10007 AS string), '0123456789', 'nortelumba'), CASE {0} % 4 WHEN 0 THEN ' Traders Pvt Ltd' WHEN 1 THEN ' Handel GmbH' WHEN 2 THEN ' Supplies Inc' ELSE ' Commerce B.V.' END)"""
 
 
 def _amount(column: str, way: str = "way") -> str:
@@ -52,7 +52,7 @@ UNION ALL SELECT f.id, 100 + l.nth, 50, concat('Part no ', cast(l.l_partkey AS s
 UNION ALL SELECT f.id, 100 + l.nth, 300, cast(cast(l.l_quantity AS bigint) AS string) FROM facts f JOIN items l ON l.l_orderkey = f.id
 UNION ALL SELECT f.id, 100 + l.nth, 430, {_amount("l.l_extendedprice", "f.way")} FROM facts f JOIN items l ON l.l_orderkey = f.id
 UNION ALL SELECT id, 300, 50, concat(CASE way WHEN 2 THEN 'Subtotaal ' ELSE 'Subtotal ' END, sign, {_amount("subtotal")}) FROM facts
-UNION ALL SELECT id, 310, 50, CASE way WHEN 2 THEN concat('BTW ', sign, {_amount("tax_amount")}) WHEN 3 THEN concat('CGST @ 9% ', {_amount("part")}) ELSE concat('VAT ', sign, {_amount("tax_amount")}) END FROM facts
+UNION ALL SELECT id, 310, 50, CASE way WHEN 2 THEN concat('BTW ', sign, {_amount("tax_amount")}) WHEN 3 THEN concat('CGST @ 9% ', {_amount("part")}) ELSE concat('VAT ', CASE WHEN currency = 'PLN' THEN '' ELSE sign END, {_amount("tax_amount")}) END FROM facts
 UNION ALL SELECT id, 311, 50, concat('SGST @ 9% ', {_amount("tax_amount - part")}) FROM facts WHERE way = 3
 UNION ALL SELECT id, 320, 50, concat(CASE way WHEN 1 THEN 'Amount Due ' WHEN 2 THEN 'Totaal ' ELSE 'Total ' END, sign, {_amount("total")}) FROM facts
 UNION ALL SELECT id, 400, 50, concat('Bank Account: ', digits) FROM facts WHERE bank_account IS NOT NULL AND way <> 2
