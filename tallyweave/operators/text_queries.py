@@ -9,7 +9,7 @@ from tallyweave.functions import ids, spans, text
 from tallyweave.operators import matching, reconcile
 from tallyweave.plans.reports import SQL
 from tallyweave.plans.views import with_views
-from tallyweave.streaming import limits
+from tallyweave.streaming import limits, replay, stateful
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -135,17 +135,51 @@ def reasons_for_ai(spark, sf_dir):
     return reconcile.reasons_for_second_reading(_readings(spark, sf_dir))
 
 
+def _attempts(events: DataFrame) -> DataFrame:
+    """Sign-ins of the event log; every seventh account is exempt from lockouts."""
+    return limits.prepared(events).withColumn("exempt", F.col("user_id") % 7 == 0)
+
+
 def rate_limit(spark, sf_dir):
+    """Which requests are accepted, at most 3 a user and day."""
     return limits.rate_limit(limits.prepared(_read(spark, sf_dir, "events")), limit=3, seconds=86400)
 
 
 def lockout(spark, sf_dir):
-    return limits.lockout(limits.prepared(_read(spark, sf_dir, "events")), failures=2)
+    """The outcome of every attempt: two failures lock, but not an exempt account."""
+    return limits.lockout(_attempts(_read(spark, sf_dir, "events")), failures=2, seconds=86400)
+
+
+def session_requests(spark, sf_dir):
+    """What every request meets: a session opened, valid, touched, expired or none."""
+    events = _read(spark, sf_dir, "events")
+    return limits.sessions(limits.prepared(events).withColumn("ok", F.col("ok") & (F.col("event_id") % 5 == 0)), lifetime=86400)
+
+
+def rate_limit_stream(spark, sf_dir):
+    """rate_limit over the events as a stream."""
+    events = limits.prepared(replay.as_stream(spark, f"{sf_dir}/events.parquet")).withColumnRenamed("user_id", "key")
+    done = replay.drained(stateful.rate_limit(events, limit=3, seconds=86400))
+    return done.withColumnsRenamed({"key": "user_id", "value": "accepted"})
+
+
+def lockout_stream(spark, sf_dir):
+    """lockout over the events as a stream."""
+    events = _attempts(replay.as_stream(spark, f"{sf_dir}/events.parquet")).withColumn("ok", F.when(F.col("ok") | ~F.col("exempt"), F.col("ok")))
+    done = replay.drained(stateful.lockout(events.withColumnRenamed("user_id", "key"), failures=2, seconds=86400))
+    return done.withColumnsRenamed({"key": "user_id", "value": "outcome"})
+
+
+def session_stream(spark, sf_dir):
+    """session_requests over the events as a stream."""
+    events = limits.prepared(replay.as_stream(spark, f"{sf_dir}/events.parquet")).withColumn("ok", F.col("ok") & (F.col("event_id") % 5 == 0))
+    done = replay.drained(stateful.sessions(events.withColumnRenamed("user_id", "key"), lifetime=86400))
+    return done.withColumnsRenamed({"key": "user_id", "value": "session"})
 
 
 QUERIES = {
     f.__name__: f
-    for f in (norm_number, date_readings, money_figures, scanned_numbers, ocr_fold, compact_text, find_amounts, detect_currency, parse_date, iban_make, gstin_checksum, check_tax_id, vendor_first_match, duplicate_fuzzy, ground_fields, merge_readings, reasons_for_ai, rate_limit, lockout)
+    for f in (norm_number, date_readings, money_figures, scanned_numbers, ocr_fold, compact_text, find_amounts, detect_currency, parse_date, iban_make, gstin_checksum, check_tax_id, vendor_first_match, duplicate_fuzzy, ground_fields, merge_readings, reasons_for_ai, rate_limit, lockout, session_requests, rate_limit_stream, lockout_stream, session_stream)
     if f.__name__ not in SQL
 }
 ORACLE_SQL = {
@@ -164,3 +198,25 @@ ORACLE_SQL = {
     "ocr_fold": "SELECT doc_id, translate(regexp_replace(lower(text), '[^a-z0-9|]', '', 'g'), 'oil|sbz', '0111582') AS folded FROM documents",
     "compact_text": "SELECT doc_id, CASE WHEN length(text) > 8500 THEN left(text, 6000) || chr(10) || '...' || chr(10) || right(text, 2500) ELSE text END AS text FROM documents",
 }
+
+# one event after another
+_EVENTS = "SELECT user_id, event_id, event_type, cast(floor(epoch(cast(ts AS timestamp))) AS bigint) AS s, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(cast(ts AS timestamp))), event_id) AS n FROM events"
+_RATE = f"""WITH RECURSIVE e AS ({_EVENTS}),
+    f AS (SELECT user_id, event_id, n, [s] AS times, true AS accepted FROM e WHERE n = 1
+          UNION ALL SELECT user_id, event_id, n, CASE WHEN len(kept) < 3 THEN list_append(kept, s) ELSE kept END, len(kept) < 3
+          FROM (SELECT e.user_id, e.event_id, e.n, e.s, list_filter(f.times, lambda t: e.s - t <= 86400) AS kept FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1) x)
+    SELECT user_id, event_id, accepted FROM f"""
+_LOCK = f"""WITH RECURSIVE e AS ({_EVENTS}),
+    f AS (SELECT user_id, cast(0 AS bigint) AS event_id, cast(0 AS bigint) AS n, 0 AS failed, cast(0 AS bigint) AS until, '' AS outcome FROM (SELECT DISTINCT user_id FROM e) u
+          UNION ALL SELECT user_id, event_id, n, CASE outcome WHEN 'ok' THEN 0 WHEN 'locked' THEN 0 WHEN 'failed' THEN failed + CASE WHEN user_id % 7 = 0 THEN 0 ELSE 1 END ELSE failed END,
+                 CASE WHEN outcome = 'locked' THEN s + 86400 ELSE until END, outcome
+          FROM (SELECT e.user_id, e.event_id, e.n, e.s, f.failed, f.until, CASE WHEN e.s < f.until THEN 'refused' WHEN e.ok THEN 'ok' WHEN e.user_id % 7 = 0 OR f.failed = 0 THEN 'failed' ELSE 'locked' END AS outcome
+                FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1) x)
+    SELECT user_id, event_id, outcome FROM f WHERE n > 0"""
+_SESSION = f"""WITH RECURSIVE e AS ({_EVENTS}),
+    f AS (SELECT user_id, cast(0 AS bigint) AS event_id, cast(0 AS bigint) AS n, cast(NULL AS bigint) AS seen, '' AS session FROM (SELECT DISTINCT user_id FROM e) u
+          UNION ALL SELECT user_id, event_id, n, CASE WHEN session IN ('opened', 'touched') THEN s WHEN session = 'valid' THEN seen END, session
+          FROM (SELECT e.user_id, e.event_id, e.n, e.s, f.seen, CASE WHEN e.ok AND e.event_id % 5 = 0 THEN 'opened' WHEN f.seen IS NULL THEN 'none' WHEN f.seen + 86400 < e.s THEN 'expired' WHEN e.s - f.seen > 60 THEN 'touched' ELSE 'valid' END AS session
+                FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1) x)
+    SELECT user_id, event_id, session FROM f WHERE n > 0"""
+ORACLE_SQL |= {"rate_limit": _RATE, "rate_limit_stream": _RATE, "lockout": _LOCK, "lockout_stream": _LOCK, "session_requests": _SESSION, "session_stream": _SESSION}
