@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import ids, text
 from tallyweave.plans.views import SPARK_VIEWS, SUPPLIER_TAX_ID, with_views
+from tallyweave.sources.shared import folder
 
 TABLES = "region nation customer supplier part orders lineitem events documents labels pages benchmark conversations".split()
 
@@ -130,12 +131,24 @@ def tax_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("supp", status.alias("status"), F.when(~none, F.col("t.kind")).alias("kind"))
 
 
+#: Views that are written once where a statement uses them at least so often: Spark would work out each use anew.
+WRITTEN, USES = "live", 3
+
+
 def statement(spark: SparkSession, sf_dir: str, sql: str, views: dict[str, str] | None = None) -> DataFrame:
     """sql over the views, more views if given, and the tables of a folder."""
-    sql = with_views(sql, SPARK_VIEWS | (views or {}))
-    used = [t for t in (*TABLES, "tax_ids") if re.search(rf"\b(FROM|JOIN)\s+{t}\b", sql)]
-    tables = {t: tax_ids(spark, sf_dir) if t == "tax_ids" else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
-    return spark.sql(re.sub(rf"\b(FROM|JOIN)(\s+)({'|'.join(used)})\b", r"\1\2{\3}", sql), **tables)
+    instead = SPARK_VIEWS | (views or {})
+    whole = with_views(sql, instead)
+    tables: dict[str, DataFrame] = {}
+    if len(re.findall(rf"\b(?:FROM|JOIN)\s+{WRITTEN}\b", whole)) >= USES:
+        path = f"{folder(spark)}/{WRITTEN}"
+        found = statement(spark, sf_dir, f"SELECT * FROM {WRITTEN}")
+        found.write.parquet(path)
+        tables[WRITTEN] = spark.read.schema(found.schema).parquet(path)
+        whole = with_views(sql, instead | {WRITTEN: None})
+    used = [t for t in (*TABLES, "tax_ids", *tables) if re.search(rf"\b(FROM|JOIN)\s+{t}\b", whole)]
+    tables = {t: tables[t] if t in tables else tax_ids(spark, sf_dir) if t == "tax_ids" else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
+    return spark.sql(re.sub(rf"\b(FROM|JOIN)(\s+)({'|'.join(used)})\b", r"\1\2{\3}", whole), **tables)
 
 
 def query(name: str) -> Callable[[SparkSession, str], DataFrame]:

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyweave.sources.shared import folder
 from tallyweave.streaming.stateful import PROVIDER
 
 
@@ -19,18 +17,10 @@ def as_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     return reader.option("pathGlobFilter", name).parquet(parent) if single and table.inputFiles() else reader.parquet(path)
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or a local one where that is unset and all runs on this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
-    return f"{(root or tempfile.mkdtemp(prefix='stream_')).rstrip('/')}/stream_{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame, at: str | None = None, timeout: int = 3600) -> DataFrame:
     """Runs a stream over all that is there and returns what it has written; run again at the same place, it goes on from its checkpoint."""
     spark = stream.sparkSession
-    at, before = at or folder(spark), spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    at, before = at or folder(spark, "stream"), spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     try:
         query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
