@@ -23,7 +23,7 @@ no rows. Added spans never overlap a base span or each other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm.store import written
@@ -44,15 +44,14 @@ NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 ANY = "[0-9@]"
 #: Identifier-like strings: anything around an @ sign, letters and digits mixed, and longer groups of digits.
 CANDIDATE = (
-    r"[^\s@,;<>]{1,64}+@[^\s@,;<>]{1,128}+"
-    r"|(?<![A-Za-z0-9])(?=[A-Za-z]{0,127}[0-9])(?=[0-9]{0,127}[A-Za-z])[A-Za-z0-9]{8,128}+(?![A-Za-z0-9])"
+    r"(?<![^\s@,;<>])[^\s@,;<>]++@[^\s@,;<>]++"
+    r"|(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{8,}+"
     r"|(?<![A-Za-z0-9])[0-9][0-9\x20().-]{5,40}[0-9](?![A-Za-z0-9])"
 )
 #: Candidates of letters and digits that are seeds as they stand, or between an assignment's quotes.
-SECRET_SEED, QUOTED_SEED, ASSIGNED = "^AKIA[0-9A-Z]{16}$", "^[0-9a-f]{32,128}$", r'[=:]\x20?"$'
+SECRET_SEED, QUOTED_SEED, ASSIGNED = "^AKIA[0-9A-Z]{16}$", "^[0-9a-f]{32,}$", r'[=:]\x20?"$'
 #: Words and signs of a context; quotes and white space are passed over.
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}\"'`]"
-CONTEXT = 100
 BLOCK, ROUNDS = 256, 4
 #: Accepted instances that a pattern needs, and the score from which an instance is accepted.
 MIN_SEEDS, MIN_SCORE = 3, 0.4
@@ -104,12 +103,12 @@ def _found(text: Column, pattern: str, assigned: bool = False) -> Column:
         n = F.size(hits)
 
         def before(g: Column) -> Column:
-            tokens = F.regexp_extract_all(F.lower(F.right(g, F.lit(CONTEXT))), F.lit(TOKEN), F.lit(0))
+            tokens = F.regexp_extract_all(F.lower(g), F.lit(TOKEN), F.lit(0))
             extra = [F.rlike(F.right(g, F.lit(3)), F.lit(ASSIGNED)).alias("assigned")] if assigned else []
             return _let(tokens, lambda t: F.struct(F.coalesce(F.try_element_at(t, F.lit(-1)), F.lit("")).alias("one"), F.coalesce(F.try_element_at(t, F.lit(-2)), F.lit("")).alias("two"), *extra))
 
         left = F.transform(F.slice(gaps, F.lit(1), n), before)
-        right = F.transform(F.slice(gaps, F.lit(2), n), lambda g: F.regexp_extract(F.lower(F.left(g, F.lit(CONTEXT))), rf"^[\s\"'`]*({TOKEN})", 1))
+        right = F.transform(F.slice(gaps, F.lit(2), n), lambda g: F.regexp_extract(F.lower(g), rf"^[\s\"'`]*({TOKEN})", 1))
         return F.zip_with(left, right, lambda x, y: F.struct(x["one"].alias("one"), x["two"].alias("two"), y.alias("next"), *([x["assigned"].alias("assigned")] if assigned else [])))
 
     def each(gaps: Column, hits: Column) -> Column:
@@ -255,8 +254,8 @@ SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, key, seeds and added (start, rank, end, kind) of every row of docs. Added are the candidates whose
-    value was accepted, of two kinds the better one, and secrets that are seeds."""
+    """doc_id, key, seeds, added (start, rank, end, kind) and n_discovered of every row of docs. Added are the candidates whose
+    value was accepted, of two kinds the better one, and secrets that are seeds; n_discovered counts those that are no seeds."""
     extracted = _extracted(docs)
     found = accepted_instances(docs, written(_edges(extracted), "edges"))
     each = extracted.select("row", F.explode("candidates").alias("c")).select("row", "c.start", "c.end", F.lower("c.hit").alias("value"), F.explode(_kinds_of(F.col("c.hit"), F.col("c.assigned"))).alias("k"))
@@ -266,9 +265,12 @@ def find_spans(docs: DataFrame) -> DataFrame:
     else:
         best = each.join(found, ["kind", "value"], "left").withColumn("score", F.coalesce("fixed", "score")).filter("score > 0")
     rank = F.array_position(F.array(*map(F.lit, (*KINDS, SECRET))), F.col("best.kind")).cast("int") - 1
-    best = best.groupBy("row", "start", "end").agg(F.max(F.struct("score", "kind")).alias("best")).select("row", F.struct("start", rank.alias("rank"), "end", "best.kind").alias("span"))
-    added = best.groupBy("row").agg(F.array_sort(F.collect_list("span")).alias("added"))  # at most the candidates of one text
-    return extracted.join(added, "row", "left").select("doc_id", "key", "seeds", F.coalesce("added", F.array().cast(SPAN)).alias("added"))
+    own = F.max(F.coalesce(F.col("fixed") == 1, F.lit(False))).alias("own")
+    best = best.groupBy("row", "start", "end").agg(F.max(F.struct("score", "kind")).alias("best"), own)
+    best = best.select("row", "own", F.struct("start", rank.alias("rank"), "end", "best.kind").alias("span"))
+    # at most the candidates of one text
+    added = best.groupBy("row").agg(F.array_sort(F.collect_list("span")).alias("added"), F.count_if(~F.col("own")).alias("n_discovered"))
+    return extracted.join(added, "row", "left").select("doc_id", "key", "seeds", F.coalesce("added", F.array().cast(SPAN)).alias("added"), F.coalesce("n_discovered", F.lit(0)).alias("n_discovered"))
 
 
 def _named(spans: Column) -> Column:
@@ -276,11 +278,12 @@ def _named(spans: Column) -> Column:
 
 
 def span_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, the number of added spans and of base spans of each kind, the digest of all base spans, and all spans."""
+    """doc_id, the number of added spans, of those among them that the rounds discovered (the others are seeds of the kind secret), and of
+    base spans of each kind, the digest of all base spans, and all spans."""
     found = find_spans(docs)
     base = F.transform("seeds", lambda s: F.struct(s["start"], s["rank"], s["end"], s["kind"]))
     kinds = F.transform("seeds", lambda s: s["kind"])
-    counts = [F.size("added").cast("long").alias("n_added")] + [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    counts = [F.size("added").cast("long").alias("n_added"), F.col("n_discovered").cast("long")] + [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]
     return found.select("doc_id", *counts, F.sha2(_named(base), 256).alias("base_sha256"), _named(F.array_sort(F.concat(base, "added"))).alias("spans"))
 
 
@@ -290,22 +293,31 @@ def _overlap(spans: Column) -> Column:
     return F.exists(F.zip_with(F.slice(spans, F.lit(1), n), F.slice(spans, F.lit(2), n), lambda a, b: b["start"] < a["end"]), lambda x: x)
 
 
-def _cut(text: Column, spans: Column) -> Column:
-    """text with the union of the sorted spans replaced, back to front; overlapping ones by the kind of the longest."""
-    one = "struct<start:bigint,end:bigint,size:bigint,kind:string>"
+def _union(placed: DataFrame) -> DataFrame:
+    """of, of_key and the union of the spans of placed (of, key, spans) as a sorted array; spans that overlap become one, of the kind of
+    the longest (the first of equally long)."""
+    each = placed.select("of", F.col("key").alias("of_key"), F.explode("spans").alias("s")).select("of", "of_key", "s.*")
+    order = Window.partitionBy("of", "of_key").orderBy("start", "rank", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = each.withColumn("opens", F.coalesce(F.col("start") >= before, F.lit(True)).cast("int"))
+    grouped = opened.withColumn("g", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    size = F.struct((F.col("end") - F.col("start")).alias("size"), (-F.col("start")).alias("early"), (-F.col("rank")).alias("first"))
+    one = grouped.groupBy("of", "of_key", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max_by("kind", size).alias("kind"))
+    return one.groupBy("of", "of_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("union"))
 
-    def add(done: Column, s: Column) -> Column:
-        def merged(last: Column) -> Column:
-            longer = s["end"] - s["start"] > last["size"]
-            both = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), F.when(longer, s["end"] - s["start"]).otherwise(last["size"]).alias("size"), F.when(longer, s["kind"]).otherwise(last["kind"]).alias("kind"))
-            new = F.struct(s["start"].alias("start"), s["end"].alias("end"), (s["end"] - s["start"]).alias("size"), s["kind"].alias("kind"))
-            kept = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
-            return F.when(s["start"] < last["end"], F.concat(kept, F.array(both.cast(one)))).otherwise(F.concat(done, F.array(new.cast(one))))
 
-        return merged(F.get(done, F.size(done) - 1))
+def _cut(text: Column, union: Column) -> Column:
+    """text with sorted spans that are apart replaced by their kinds. The pieces between are taken from the text in four bytes a code
+    point, where a place costs nothing to find, and joined once: linear in text and spans."""
 
-    union = F.aggregate(spans, F.array().cast(f"array<{one}>"), add)
-    return F.aggregate(F.reverse(union), text, lambda t, s: F.concat(F.left(t, s["start"].cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"), F.substr(t, (s["end"] + 1).cast("int"))))
+    def built(code: Column) -> Column:
+        begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(union, lambda s: s["end"]))
+        ends = F.concat(F.transform(union, lambda s: s["start"]), F.array((F.octet_length(code) / 4).cast("long")))
+        pieces = F.zip_with(begins, ends, lambda a, b: F.decode(F.substring(code, (4 * a + 1).cast("int"), (4 * (b - a)).cast("int")), "UTF-32"))
+        marks = F.concat(F.transform(union, lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))), F.array(F.lit("")))
+        return F.array_join(F.zip_with(pieces, marks, lambda p, m: F.concat(p, m)), "")
+
+    return _let(F.encode(text, "UTF-32"), built)
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -315,11 +327,12 @@ def redact(docs: DataFrame) -> DataFrame:
     base = lambda spans: F.transform(spans, lambda s: F.struct(s["start"], s["rank"], s["end"], s["kind"]))
     found = find_spans(docs).select("doc_id", "key", F.array_sort(F.concat(base(F.col("seeds")), "added")).alias("spans"), (F.size("added") > 0).alias("more"))
     # spans of the base patterns that are apart are replaced kind by kind, all others by position
-    placed = written(found.filter(F.col("more") | _overlap(F.col("spans"))).select(F.col("doc_id").alias("of"), "key", "spans").distinct(), "placed")
+    placed = found.filter(F.col("more") | _overlap(F.col("spans"))).select(F.col("doc_id").alias("of"), "key", "spans").distinct()
+    placed = written(_union(placed), "placed")
     rows = docs.select(F.struct(*(F.col(_quoted(c)) for c in docs.columns)).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("new"))
     if not placed.isEmpty():
-        rows = rows.withColumn("key", F.unhex(F.md5("new"))).join(placed.withColumnRenamed("key", "of_key"), F.col("row.doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left")
-        rows = rows.select("row", F.when(F.size("spans") > 0, _cut(F.col("new"), F.col("spans"))).otherwise(F.col("new")).alias("new"))
+        rows = rows.withColumn("key", F.unhex(F.md5("new"))).join(placed, F.col("row.doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left")
+        rows = rows.select("row", F.when(F.size("union") > 0, _cut(F.col("new"), F.col("union"))).otherwise(F.col("new")).alias("new"))
     text = F.col("new")
     for kind in KINDS:
         text = _let(text, lambda t: _replaced(t, kind, lambda h: F.lit(f"[{kind.upper()}]")))

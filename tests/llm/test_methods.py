@@ -120,7 +120,7 @@ def bootstrapped(texts):
         def context(source, hits, a, b):
             before = source[max([0, *(y for x, y in hits if y <= a)]) : a]
             after = source[b : min([len(source), *(x for x, y in hits if x >= b)])]
-            left, right = tokens(before[-pii.CONTEXT :]), regex.match(r"[\s\"'`]*(" + pii.TOKEN + ")", after[: pii.CONTEXT].lower())
+            left, right = tokens(before), regex.match(r"[\s\"'`]*(" + pii.TOKEN + ")", after.lower())
             return (left or [""])[-1], left[-2] if len(left) > 1 else "", right[1] if right else ""
         for k, found in per_kind.items():
             for a, b in found:
