@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from tallyweave.llm.store import filesystem, shared_dir, tasks_for, written
 
 FILE_BYTES, CHUNK, LEVEL, SALTS = 64 << 20, 256 << 10, 3, 16
-HEAD_LIMIT = 1 << 20
 DATE = "2026-01-01T00:00:00Z"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 
@@ -114,15 +113,18 @@ def members(read, chunk: int = CHUNK) -> Iterator[bytes]:
     """The records of concatenated gzip members, each framed by its Content-Length; read(n) gives bytes."""
     data = read(chunk)
     while data:
-        z, text, need = zlib.decompressobj(31), bytearray(), -1
+        z, text, need, seen = zlib.decompressobj(31), bytearray(), -1, 0
         while not z.eof:
             if not data and not (data := read(chunk)):
                 raise EOFError("an archive ends within a record")
             text += z.decompress(data, chunk)
             data = z.unconsumed_tail or z.unused_data
-            if need < 0 and (end := text.find(b"\r\n\r\n", 0, HEAD_LIMIT)) >= 0:
-                need = end + 4 + int(re.search(rb"\r\nContent-Length: (\d+)", text[:end])[1]) + 4
-            if need < 0 <= len(text) - HEAD_LIMIT or 0 <= need < len(text):
+            if need < 0:  # the header goes on until an empty line, however long it is; what was searched isn't searched again
+                end = text.find(b"\r\n\r\n", max(0, seen - 3))
+                seen = len(text)
+                if end >= 0:
+                    need = end + 4 + int(re.search(rb"\r\nContent-Length: (\d+)", text[:end])[1]) + 4
+            if 0 <= need < len(text):
                 raise ValueError("a record's framing is broken")
         if len(text) != need or text[-4:] != b"\r\n\r\n":
             raise ValueError("a record's length differs from its Content-Length")
