@@ -127,6 +127,7 @@ class ByteRange(InputPartition):
     file: str
     start: int
     end: int
+    members: int | None = None  # of the whole archive, as the manifest has it
 
     def __post_init__(self) -> None:
         self.value = (self.file, self.start, self.end)
@@ -147,21 +148,27 @@ class MediaReader(DataSourceReader):
         import pyarrow.dataset as ds
         from pyarrow.fs import FileSelector
 
+        members: dict[str, int] = {}
         if self.manifest is None:
             fs, path = filesystem(self.folder)
             found = fs.get_file_info(FileSelector(path, allow_not_found=True))
             sizes = sorted((x.base_name[:-4], x.size) for x in found if x.base_name.endswith(".dat"))
         else:
             fs, path = filesystem(self.manifest)
-            table = ds.dataset(path, filesystem=fs, format="parquet", exclude_invalid_files=True).to_table()
-            sizes = sorted(zip(table["file"].to_pylist(), table["size"].to_pylist(), strict=True)) if table.num_rows else []
+            parts = [x.path for x in fs.get_file_info(FileSelector(path)) if x.base_name.endswith(".parquet")]
+            # a part that can't be read is an error: its archives would be lost
+            rows = [r for p in sorted(parts) for r in ds.dataset(p, filesystem=fs, format="parquet").to_table(columns=["file", "size", "members"]).to_pylist()]
+            sizes = sorted((r["file"], r["size"]) for r in rows)
+            members = {r["file"]: r["members"] for r in rows}
         step = max(self.range_bytes, -(-sum(size for _, size in sizes) // MAX_RANGES))
-        return [ByteRange(n, a, min(a + step, size)) for n, size in sizes for a in range(0, size, step)] or [ByteRange("", 0, 0)]
+        return [ByteRange(n, a, min(a + step, size), members.get(n)) for n, size in sizes for a in range(0, size, step)] or [ByteRange("", 0, 0)]
 
     def _index(self, fs, path: str, part: ByteRange) -> np.ndarray:
         """Entries of the members that begin in the range."""
         with fs.open_input_file(f"{path}/{part.file}.idx") as f:
             n = f.size() // ENTRY.itemsize
+            if f.size() != ENTRY.itemsize * (n if part.members is None else part.members):
+                raise ValueError(f"the index of {part.file} is damaged or lacks members")
 
             def first(at: int) -> int:  # the first entry at this offset or after it
                 low, high = 0, n
