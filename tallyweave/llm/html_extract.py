@@ -35,7 +35,7 @@ from tallyweave.llm.html_tree import INLINE, Page, parse
 
 #: Pages that the trees learn from, layouts made for each, and the elements learned from at most.
 SAMPLE, LAYOUTS, LEARNED = 160, 6, 40_000
-TREES, DEPTH, STEP = 36, 5, 0.3
+TREES, DEPTH, STEP = 20, 5, 0.4
 #: Odds are held to this; entering main text and cutting out of it cost so much.
 LIMIT, ENTER, CUT = 4.0, 2.0, 1.0
 #: Elements scored at once.
