@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions import text
-from tallyweave.operators import matching
 from tallyweave.plans.reports import statement
 from tallyweave.plans.views import with_views
 
@@ -191,16 +190,26 @@ def line_windows(spark, sf_dir, cue: str = "enge"):
     return lines.select("doc_id", F.col("line").cast("long").alias("line"), (F.max(has).over(order.rowsBetween(-2, 0)) == 1).alias("in_zone"), F.sum(has).over(order.rowsBetween(-2, 2)).alias("around"))
 
 
-def duplicate_any_vendor(spark, sf_dir):
-    """The first earlier invoice of any vendor with the same date, amount and (almost) the same number."""
-    return matching.any_vendor_duplicates(statement(spark, sf_dir, "SELECT id, number, total, inv_date FROM live"))
+def median_decision(spark, sf_dir):
+    """The median minutes, to a tenth, between an invoice's first mention in the log and its last purchase, of those that a person decided."""
+    log = _view(spark, sf_dir, "activity").withColumn("at", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    times = log.groupBy("invoice_id").agg(F.min("at").alias("uploaded"), F.max(F.when(F.col("action") == "purchase", F.col("at"))).alias("decided"))
+    people = _view(spark, sf_dir, "live").filter("decided_by NOT LIKE 'AI%' AND status <> 'pending'").join(times, F.col("id") == F.col("invoice_id")).filter("decided IS NOT NULL")
+    return people.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.bround(F.median((F.col("decided") - F.col("uploaded")) / 60), 1).alias("minutes"))
+
+
+def saved_hours(spark, sf_dir, manual: float = 7.0, assisted: float = 2.0):
+    """Hours saved at so many minutes an invoice by hand and with help, and the percentage that was decided (half to even)."""
+    hours = F.greatest(F.lit(0.0), F.count(F.lit(1)) * manual - F.count(F.lit(1)) * assisted) / 60
+    share = F.when(F.count(F.lit(1)) > 0, F.bround(100 * F.count_if(F.col("status") != "pending") / F.count(F.lit(1)))).otherwise(0.0)
+    return _view(spark, sf_dir, "live").agg(F.bround(hours, 1).alias("hours"), share.cast("long").alias("decided_share"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         list_by_status, flag_counts, invoice_audit, found_fields, input_faults, po_lookup_case, explained_charges, touched_by, ai_cost_per_invoice, estimate_cost, best_try,
-        detection_by_scenario, truth_scores, hard_delete, request_states, cache_key, printed_amounts, json_fields, line_windows, duplicate_any_vendor,
+        detection_by_scenario, truth_scores, hard_delete, request_states, cache_key, printed_amounts, json_fields, line_windows, median_decision, saved_hours,
     )
 }
 
@@ -247,6 +256,10 @@ ORACLE_SQL = {
                                WHEN f.state = 'prepared' AND q.status IN ('approved', 'rejected') THEN q.status ELSE f.state END
               FROM f JOIN q ON q.invoice_id = f.invoice_id AND q.n = f.n + 1)
         SELECT invoice_id, state FROM (SELECT *, row_number() OVER (PARTITION BY invoice_id ORDER BY n DESC) AS last FROM f) x WHERE last = 1""",
+    "median_decision": with_views("""SELECT status, count(*) AS n, round_even(median((decided - uploaded) / 60.0), 1) AS minutes FROM live i
+        JOIN (SELECT invoice_id, floor(min(epoch(cast(ts AS timestamp)))) AS uploaded, floor(max(epoch(cast(ts AS timestamp))) FILTER (WHERE action = 'purchase')) AS decided FROM activity GROUP BY 1) a ON a.invoice_id = i.id
+        WHERE decided_by = 'Dana' AND status IN ('approved', 'rejected') AND decided IS NOT NULL GROUP BY status"""),
+    "saved_hours": with_views("SELECT round_even(count(*) * 5 / 60.0, 1) AS hours, cast(round_even(100.0 * count(*) FILTER (WHERE status IN ('approved', 'rejected')) / count(*), 0) AS bigint) AS decided_share FROM live"),
     "cache_key": "SELECT doc_id, sha256('v1' || chr(10) || coalesce(text, '')) AS key FROM documents",
     "printed_amounts": with_views("""SELECT id, CASE WHEN abs(total) < 1000 THEN concat_ws('|', p, replace(p, '.', ',')) ELSE concat_ws('|', format('{:,.2f}', total), translate(format('{:,.2f}', total), ',.', '.,'), p, replace(p, '.', ',')) END AS forms
         FROM (SELECT id, total, cast(cast(total AS decimal(18,2)) AS string) AS p FROM live WHERE total IS NOT NULL) x"""),

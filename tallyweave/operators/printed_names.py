@@ -41,12 +41,13 @@ def segments(name: str, cutoff: float) -> list[tuple[int, str]]:
 class Index:
     """Names by their segments."""
 
-    def __init__(self, names: list[str], cutoff: float = PRINTED):
+    def __init__(self, names: list[str], cutoff: float = PRINTED, short: int = SHORT):
+        """Names of fewer letters than short must be whole words."""
         import ahocorasick
 
         self.cutoff = cutoff
-        self.words = [n for n in names if LEAST <= len(n) < SHORT]
-        self.names = [n for n in names if len(n) >= SHORT]
+        self.words = [n for n in names if LEAST <= len(n) < short]
+        self.names = [n for n in names if len(n) >= max(short, 1)]
         holders: dict[str, list[tuple[int, int]]] = {}
         for k, name in enumerate(self.names):
             for place, letters in segments(name, cutoff):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions import fuzzy
-from tallyweave.operators import fields, layout, printed_names
+from tallyweave.operators import fields, layout, printed_names, reconcile
 from tallyweave.plans.reports import statement
 from tallyweave.plans.views import SUPPLIER_TAX_ID, with_views
 from tallyweave.sources import printed
@@ -101,7 +101,43 @@ def approved_vendor(spark, sf_dir):
     return printed_names.approved_vendor(read, texts.withColumnRenamed("id", "doc_id"), statement(spark, sf_dir, APPROVED))
 
 
-QUERIES = {f.__name__: f for f in (approved_vendor, printed_lines, document_lines, label_hits, invoice_number_candidates, money_triples, extracted_fields, field_scores, score_summary)}
+#: Two readings of each printed invoice, with errors of their own: the second one's is right where the first one's isn't, and the other way round.
+FIRST = """SELECT id AS doc_id, CASE WHEN id % 9 <> 0 THEN vendor_name END AS vendor, CASE WHEN id % 8 <> 0 THEN printed_number END AS invoice_number, cast(day AS date) AS inv_date, currency, subtotal,
+    CASE WHEN id % 6 <> 0 THEN tax_amount END AS tax_amount, total, tax_id, po_number, CASE WHEN bank_account IS NULL THEN NULL WHEN way = 2 THEN iban ELSE digits END AS bank_account, id % 17 = 0 AS ocr FROM facts"""
+SECOND = """SELECT id AS doc_id, CASE WHEN id % 7 = 0 THEN 'Quickstep Zephyr Woodworks' ELSE upper(vendor_name) END AS vendor, CASE WHEN id % 5 = 0 THEN concat('ORD', cast(id AS string), 'Z') ELSE printed_number END AS invoice_number, cast(CASE WHEN id % 11 = 0 THEN '2019-02-28' ELSE day END AS date) AS inv_date, currency, subtotal, tax_amount,
+    CASE WHEN id % 4 = 0 THEN total + 31.07 ELSE total END AS total, CASE WHEN id % 10 = 0 THEN 'XQ77Q' ELSE tax_id END AS tax_id, po_number, CASE WHEN bank_account IS NULL THEN NULL WHEN way = 2 THEN iban ELSE digits END AS bank_account, id % 17 = 0 AS ocr FROM facts"""
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = printed.printed_rows(spark, sf_dir)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "x", "text"))), lambda r: r["text"]), "\n")
+    return rows.groupBy(F.col("id").alias("doc_id")).agg(text.alias("doc_text"))
+
+
+def ground_fields(spark, sf_dir):
+    """The second reading without what its document doesn't show, and the fields that had to go."""
+    second = statement(spark, sf_dir, SECOND, printed.PRINTED).join(_texts(spark, sf_dir), "doc_id")
+    grounded = reconcile.ground(second)
+    return grounded.select("doc_id", "vendor", "invoice_number", F.col("inv_date").cast("string").alias("inv_date"), "total", "tax_id", F.array_join("dropped", ",").alias("dropped"))
+
+
+def merge_readings(spark, sf_dir):
+    """Both readings as one, and the fields on which they differ."""
+    fields = ("vendor", "invoice_number", "inv_date", "currency", "tax_id", "po_number", "bank_account", "subtotal", "tax_amount", "total")
+    first = statement(spark, sf_dir, FIRST, printed.PRINTED).select("doc_id", "ocr", F.struct(*fields).alias("rules"))
+    second = statement(spark, sf_dir, SECOND, printed.PRINTED).select("doc_id", F.struct(*fields).alias("ai"))
+    labelled = statement(spark, sf_dir, "SELECT id AS doc_id, printed_number FROM facts", printed.PRINTED).select("doc_id", F.array_compact(F.array("printed_number")).alias("labelled"))
+    merged = reconcile.merge(first.join(second, "doc_id").join(labelled, "doc_id").withColumn("trusted", F.col("doc_id") % 3 == 0))
+    return merged.select("doc_id", "vendor", "invoice_number", "tax_amount", "total", "money_from", F.array_join("differs", ",").alias("differs"))
+
+
+def reasons_for_ai(spark, sf_dir):
+    """Why the first reading of each printed invoice should be checked by a second one."""
+    read = statement(spark, sf_dir, FIRST, printed.PRINTED).withColumn("known", F.when(F.col("doc_id") % 13 != 0, F.col("vendor")))
+    return reconcile.reasons_for_second_reading(read).select("doc_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+QUERIES = {f.__name__: f for f in (ground_fields, merge_readings, reasons_for_ai, approved_vendor, printed_lines, document_lines, label_hits, invoice_number_candidates, money_triples, extracted_fields, field_scores, score_summary)}
 
 
 def _facts(sql: str) -> str:
@@ -116,6 +152,18 @@ _CONFIRMED = "abs(subtotal + tax_amount - total) <= 0.02"
 _TAX = f"CASE WHEN {_CONFIRMED} OR tax_amount > 0 THEN tax_amount END"
 _MISPRINT = "(id % 37 <> 0 OR number IS NULL)"
 ORACLE_SQL = {
+    # from the errors that the readings were given; Indian invoices print their tax in parts only
+    "ground_fields": _facts(f"""SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN vendor END AS vendor, CASE WHEN doc_id % 5 <> 0 THEN invoice_number END AS invoice_number, CASE WHEN doc_id % 11 <> 0 THEN cast(inv_date AS string) END AS inv_date,
+        CASE WHEN doc_id % 4 <> 0 THEN total END AS total, CASE WHEN doc_id % 10 <> 0 THEN tax_id END AS tax_id,
+        concat_ws(',', CASE WHEN currency = 'INR' AND tax_amount > 0 THEN 'tax_amount' END, CASE WHEN doc_id % 4 = 0 THEN 'total' END, CASE WHEN doc_id % 5 = 0 THEN 'invoice_number' END, CASE WHEN doc_id % 10 = 0 THEN 'tax_id' END, CASE WHEN doc_id % 11 = 0 THEN 'inv_date' END, CASE WHEN doc_id % 7 = 0 THEN 'vendor' END) AS dropped FROM ({SECOND}) r"""),
+    "merge_readings": _facts(f"""SELECT f.doc_id, CASE WHEN f.doc_id % 3 = 0 THEN coalesce(f.vendor, s.vendor) ELSE s.vendor END AS vendor,
+        CASE WHEN f.invoice_number IS NOT NULL THEN f.invoice_number WHEN f.doc_id % 5 <> 0 THEN s.invoice_number END AS invoice_number, coalesce(f.tax_amount, s.tax_amount) AS tax_amount,
+        CASE WHEN src = 'rules' THEN f.total ELSE s.total END AS total, src AS money_from,
+        concat_ws(',', CASE WHEN f.vendor IS NOT NULL AND f.doc_id % 7 = 0 THEN 'vendor' END, CASE WHEN f.invoice_number IS NOT NULL AND f.doc_id % 5 = 0 THEN 'invoice_number' END, CASE WHEN f.doc_id % 11 = 0 AND f.inv_date <> date '2019-02-28' THEN 'inv_date' END,
+                  CASE WHEN f.doc_id % 10 = 0 AND f.tax_id IS NOT NULL THEN 'tax_id' END, CASE WHEN f.doc_id % 4 = 0 THEN 'total' END) AS differs
+        FROM (SELECT r.*, CASE WHEN abs(r.subtotal + r.tax_amount - r.total) <= 0.02 THEN 'rules' WHEN abs(t.subtotal + t.tax_amount - t.total) <= 0.02 THEN 'ai' ELSE 'rules' END AS src FROM ({FIRST}) r JOIN ({SECOND}) t ON t.doc_id = r.doc_id) f JOIN ({SECOND}) s ON s.doc_id = f.doc_id"""),
+    "reasons_for_ai": _facts(f"""SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 9 = 0 THEN 'vendor is missing' END, CASE WHEN invoice_number IS NULL THEN 'invoice_number is missing' END, CASE WHEN doc_id % 17 = 0 THEN 'a scan' END,
+        CASE WHEN doc_id % 6 <> 0 AND abs(subtotal + tax_amount - total) > 0.02 THEN 'figures don''t add up' END, CASE WHEN doc_id % 9 <> 0 AND doc_id % 13 = 0 THEN 'vendor is not on the list' END) AS reasons FROM ({FIRST}) r"""),
     # no two names are alike, so the vendor is the one that the page was printed for
     "approved_vendor": _facts("""SELECT id AS doc_id, CASE WHEN supp % 13 <> 0 THEN vendor_name END AS vendor,
         CASE WHEN supp % 13 <> 0 THEN CASE WHEN id % 3 = 0 THEN 1 WHEN id % 3 = 1 AND tax_id IS NOT NULL THEN 2 ELSE 3 END END AS tier FROM facts"""),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions import ids, spans, text
-from tallyweave.operators import matching, reconcile
+from tallyweave.operators import matching
 from tallyweave.plans.reports import SQL
 from tallyweave.plans.views import with_views
 from tallyweave.streaming import limits, replay, stateful
@@ -109,32 +109,6 @@ def duplicate_fuzzy(spark, sf_dir):
     return matching.near_duplicates(rows)
 
 
-def _readings(spark, sf_dir):
-    """A reading of each document: some values that its text shows, some that it does not."""
-    amounts = text.find_amounts(F.col("text"))
-    shown = F.col("doc_id") % 3 != 0
-    return _read(spark, sf_dir, "documents").select(
-        "doc_id", F.col("text").alias("doc_text"), F.col("source").alias("vendor"), F.when(shown, F.left("text", F.lit(9))).otherwise(F.lit("no such id 000")).alias("invoice_number"),
-        F.lit(None).cast("string").alias("tax_id"), F.lit("").alias("po_number"), F.lit("EUR").alias("currency"), F.get(amounts, F.lit(0)).alias("subtotal"),
-        F.lit(0.0).alias("tax_amount"), F.when(shown, F.get(amounts, F.lit(0))).otherwise(987654.25).alias("total"),
-    )
-
-
-def ground_fields(spark, sf_dir):
-    return reconcile.ground(_readings(spark, sf_dir)).drop("doc_text")
-
-
-def merge_readings(spark, sf_dir):
-    fields = ("vendor", "invoice_number", "tax_id", "po_number", "currency", "subtotal", "tax_amount", "total")
-    rules = _readings(spark, sf_dir).select("doc_id", F.struct(*fields).alias("rules"))
-    ai = reconcile.ground(_readings(spark, sf_dir)).select("doc_id", F.struct(*fields).alias("ai"))
-    return reconcile.merge(rules.join(ai, "doc_id"))
-
-
-def reasons_for_ai(spark, sf_dir):
-    return reconcile.reasons_for_second_reading(_readings(spark, sf_dir))
-
-
 def _attempts(events: DataFrame) -> DataFrame:
     """Sign-ins of the event log; every seventh account is exempt from lockouts."""
     return limits.prepared(events).withColumn("exempt", F.col("user_id") % 7 == 0)
@@ -179,7 +153,7 @@ def session_stream(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (norm_number, date_readings, money_figures, scanned_numbers, ocr_fold, compact_text, find_amounts, detect_currency, parse_date, iban_make, gstin_checksum, check_tax_id, vendor_first_match, duplicate_fuzzy, ground_fields, merge_readings, reasons_for_ai, rate_limit, lockout, session_requests, rate_limit_stream, lockout_stream, session_stream)
+    for f in (norm_number, date_readings, money_figures, scanned_numbers, ocr_fold, compact_text, find_amounts, detect_currency, parse_date, iban_make, gstin_checksum, check_tax_id, vendor_first_match, duplicate_fuzzy, rate_limit, lockout, session_requests, rate_limit_stream, lockout_stream, session_stream)
     if f.__name__ not in SQL
 }
 ORACLE_SQL = {

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.operators import cascade, evidence, guards, layout, review, vendor_states
+from tallyweave.operators import cascade, evidence, guards, layout, matching, review, vendor_states
 from tallyweave.plans.reports import statement
 from tallyweave.plans.views import SUPPLIER_TAX_ID, with_views
 from tallyweave.sources import generations, printed
@@ -110,21 +110,30 @@ def truth_records(spark, sf_dir):
 
 #: Invoices with what the checks in full compare: names in several spellings, repeats of the order before, changed accounts, printed charges, receipts.
 CLAIMS = f"""SELECT l.id, CASE WHEN l.id % 29 = 0 THEN NULL WHEN l.id % 10 = 3 THEN upper(vendor_name) ELSE vendor_name END AS vendor,
-    CASE WHEN number IS NULL THEN '' WHEN l.id % 8 = 1 THEN lower(replace(number, '-', ' ')) WHEN l.id % 150 = 0 THEN concat(number, '7') ELSE number END AS number, inv_date, currency, subtotal, tax_amount,
+    CASE WHEN number IS NULL THEN '' WHEN l.id % 8 = 1 THEN lower(replace(number, '-', ' ')) WHEN l.id % 150 = 0 THEN concat(number, '7') ELSE number END AS number, cast(day AS date) AS inv_date, currency, subtotal, tax_amount,
     total + CASE WHEN l.id % 12 = 5 THEN 12.5 WHEN l.id % 100 = 0 THEN 100.0 ELSE 0.0 END AS total, CASE WHEN l.id % 41 = 0 THEN 'DE999999999' ELSE tax_id END AS tax_id,
     CASE WHEN l.id % 3 = 0 THEN lower(po_number) ELSE po_number END AS po_number, CASE WHEN l.id % 67 = 0 THEN 'NL50INGB0683251300' WHEN bank_account LIKE 'ACX%' THEN concat('99', digits) ELSE digits END AS bank_account, status,
     concat('h', cast(CASE WHEN l.id % 91 = 0 THEN l.id - 1 ELSE l.id END AS string)) AS file_hash, CASE WHEN l.id % 12 = 5 THEN 'Shipping 12.50' END AS doc_text, l.id % 17 = 0 AS ocr,
     CASE WHEN l.id % 31 = 0 THEN subtotal + 5 WHEN l.id % 2 = 0 THEN subtotal END AS line_sum, CASE WHEN l.id % 14 = 0 THEN l.id % 28 <> 0 END AS receipt, l.id % 422 = 0 AS waives
-    FROM (SELECT f.*, i.inv_date, i.status FROM repeated f JOIN live i ON i.id = f.id) l"""
+    FROM (SELECT f.*, i.status FROM repeated f JOIN live i ON i.id = f.id) l"""
 #: Every fiftieth invoice repeats the one before it.
-REPEATED = "SELECT a.id, coalesce(b.vendor_name, a.vendor_name) AS vendor_name, coalesce(b.number, a.number) AS number, a.currency, coalesce(b.subtotal, a.subtotal) AS subtotal, coalesce(b.tax_amount, a.tax_amount) AS tax_amount, coalesce(b.total, a.total) AS total, a.tax_id, a.po_number, a.bank_account, a.digits FROM facts a LEFT JOIN facts b ON b.id = CASE WHEN a.id % 50 = 0 THEN a.id - 1 END"
+REPEATED = "SELECT a.id, coalesce(b.vendor_name, a.vendor_name) AS vendor_name, coalesce(b.number, a.number) AS number, a.currency, coalesce(b.subtotal, a.subtotal) AS subtotal, coalesce(b.tax_amount, a.tax_amount) AS tax_amount, coalesce(b.total, a.total) AS total, CASE WHEN a.id % 100 = 50 THEN coalesce(b.day, a.day) ELSE a.day END AS day, a.tax_id, a.po_number, a.bank_account, a.digits FROM facts a LEFT JOIN facts b ON b.id = CASE WHEN a.id % 50 = 0 THEN a.id - 1 END"
 LISTED = f"""SELECT {printed.VENDOR_NAME.format('s_suppkey')} AS name, {SUPPLIER_TAX_ID} AS tax_id, CASE s_suppkey % 10 WHEN 0 THEN 'rejected' WHEN 1 THEN 'pending' WHEN 2 THEN 'verified' WHEN 3 THEN NULL ELSE 'approved' END AS status,
     CASE WHEN s_suppkey % 6 = 0 THEN NULL WHEN s_suppkey % 11 = 0 THEN 'Direct debit' ELSE concat('77', lpad(cast(s_suppkey - s_suppkey % 40 AS string), 8, '0')) END AS bank_account FROM supplier WHERE s_suppkey % 13 <> 0"""
 PLACED = f"""SELECT b.po_number, {printed.VENDOR_NAME.format('(1 + length(b.po_number) * 7)')} AS vendor, CASE WHEN b.amount > 900000 THEN 'EUR' END AS currency, b.amount, b.invoiced FROM po_balance b"""
 
 
+def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statement(spark, sf_dir, CLAIMS, printed.PRINTED | {"repeated": REPEATED})
+
+
+def duplicate_any_vendor(spark, sf_dir):
+    """The first earlier invoice of any vendor with the same date, amount and (almost) the same number."""
+    return matching.any_vendor_duplicates(_claims(spark, sf_dir).select("id", F.nullif("number", F.lit("")).alias("number"), "total", "inv_date"))
+
+
 def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = statement(spark, sf_dir, CLAIMS, printed.PRINTED | {"repeated": REPEATED})
+    claims = _claims(spark, sf_dir)
     waived = F.when(F.col("waives"), F.array(F.lit("number"), F.lit("inv_date")))
     claims = claims.withColumn("waived", waived).drop("waives")
     # the checks look at the invoices from many sides: they are worked out once
@@ -160,10 +169,14 @@ def recheck_after_changes(spark, sf_dir):
     return kept.results.get()
 
 
-QUERIES = {f.__name__: f for f in (review_in_full, recommendations, recheck_after_changes, vendor_state_history, invoice_guards, order_guards, budgeted_readings, evidence_marks, schema_generations, truth_records)}
+QUERIES = {f.__name__: f for f in (duplicate_any_vendor, review_in_full, recommendations, recheck_after_changes, vendor_state_history, invoice_guards, order_guards, budgeted_readings, evidence_marks, schema_generations, truth_records)}
 
 _JITTER = f"{printed.TOP} + {printed.ROW} * (nth % {printed.PAGE_ROWS}) + ((id * 7 + k * 3 + place) % 3) * 0.7"
+_PLAIN = "regexp_replace(regexp_replace(lower(number), '[^a-z0-9]', '', 'g'), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g')"
 ORACLE_SQL = {
+    # only repeats, some with a digit more, agree in number, date and amount
+    "duplicate_any_vendor": with_views("""SELECT a.id, min(h.id) AS match_id FROM claimed a JOIN claimed h ON h.inv_date = a.inv_date AND h.id < a.id AND abs(a.total - h.total) <= 0.02 AND length(a.n) >= 6
+        AND (h.n = a.n OR h.n || '7' = a.n OR a.n || '7' = h.n) GROUP BY a.id""", printed.PRINTED | {"repeated": REPEATED, "claimed": f"SELECT id, {_PLAIN} AS n, total, inv_date FROM ({CLAIMS}) x WHERE number <> '' AND total IS NOT NULL"}),
     # one action after another
     "vendor_state_history": f"""WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY vendor ORDER BY seq) AS n FROM ({ACTIONS}) x),
         f AS (SELECT vendor, cast(0 AS bigint) AS seq, cast(0 AS bigint) AS n, 'none' AS status, cast(NULL AS string) AS p, cast(NULL AS string) AS v, cast(NULL AS string) AS reason FROM (SELECT DISTINCT vendor FROM a) d

@@ -57,8 +57,6 @@ SQL = {
     "value_by_currency": "SELECT coalesce(currency, '?') AS currency, count(*) AS n, cast(sum(cast(total AS decimal(18,2))) AS double) AS total FROM live WHERE total IS NOT NULL GROUP BY coalesce(currency, '?')",
     "protected_value": """SELECT coalesce(currency, '?') AS currency, cast(sum(cast(total AS decimal(18,2))) AS double) AS protected FROM decisions
         WHERE n_hard > 0 AND status <> 'approved' AND total IS NOT NULL GROUP BY coalesce(currency, '?')""",
-    "median_decision": "SELECT status, cast(median(abs(id * 37 % 1440)) AS double) AS minutes FROM live WHERE decided_by IS NOT NULL AND decided_by NOT LIKE 'AI%' GROUP BY status",
-    "saved_hours": "SELECT greatest(0.0, cast(count(*) * 7 - count(*) * 2 AS double) / 60) AS hours, cast(count(decided_by) AS double) / count(*) AS decided_share FROM live",
     "waiting_by_stage": "SELECT stage, count(*) AS n FROM stages WHERE stage <> 'done' GROUP BY stage",
     "usage_daily": "SELECT cast(ts AS date) AS day, count(*) AS calls, cast(count_if(ok) AS bigint) AS ok, cast(sum(tokens) AS bigint) AS tokens, cast(sum(cost) AS double) AS cost FROM usage GROUP BY cast(ts AS date)",
     "usage_monthly": "SELECT extract(year FROM ts) * 100 + extract(month FROM ts) AS month, count(*) AS calls, cast(sum(tokens) AS bigint) AS tokens, cast(sum(cost) AS double) AS cost FROM usage GROUP BY extract(year FROM ts) * 100 + extract(month FROM ts)",
@@ -84,9 +82,12 @@ SQL = {
     "history_before": "SELECT i.id, count(h.id) AS earlier FROM live i LEFT JOIN live h ON h.vendor = i.vendor AND h.id < i.id GROUP BY i.id",
     "anti_unused_vendors": "SELECT v.vendor, v.name FROM vendors v LEFT ANTI JOIN (SELECT vendor FROM live WHERE status = 'approved' AND vendor % 3 <> 0) i ON i.vendor = v.vendor",
     "semi_known_vendors": "SELECT i.id, i.vendor FROM live i LEFT SEMI JOIN vendors v ON v.vendor = i.vendor",
-    "search_q": "SELECT id, number FROM live WHERE contains(lower(number), lower('V-00004')) OR contains(lower(cast(inv_date AS string)), '1995-03')",
-    "missing_to_pay": "SELECT id, vendor IS NULL AS no_vendor, total IS NULL AS no_total, currency IS NULL AS no_currency FROM live WHERE vendor IS NULL OR total IS NULL OR currency IS NULL",
-    "within_limit": "SELECT id, total IS NULL OR id % 6 = 0 OR total <= 1000 * (id % 6) * 100 AS allowed FROM live",
+    "search_q": """SELECT i.id, i.number FROM live i LEFT JOIN supplier s ON s.s_suppkey = i.vendor WHERE contains(lower(i.number), lower('V-00004')) OR contains(lower(cast(i.inv_date AS string)), '1995-03')
+        OR contains(lower(s.s_name), lower('R#000000007')) OR contains(lower(concat('Scan_', cast(i.id AS string), '.PDF')), lower('_77.pdf'))""",
+    "missing_to_pay": """SELECT * FROM (SELECT id, vendor IS NULL OR cast(vendor AS string) = '' AS no_vendor, total IS NULL AS no_total, currency IS NULL OR currency = '' AS no_currency FROM live) x
+        WHERE no_vendor OR no_total OR no_currency""",
+    "within_limit": """SELECT i.id, c.approval_limit IS NULL OR i.total IS NULL OR i.total <= c.approval_limit AS allowed FROM live i
+        LEFT JOIN (SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN cast(c_acctbal AS double) * 100 END AS approval_limit FROM customer) c ON c.c_custkey = i.cust""",
     "field_edits": """SELECT a.id, f.field, CASE f.field WHEN 'currency' THEN a.currency ELSE cast(a.po_number AS string) END AS old_value,
         CASE f.field WHEN 'currency' THEN CASE WHEN a.id % 5 = 1 THEN 'EUR' ELSE a.currency END ELSE CASE WHEN a.id % 7 = 1 THEN 'PO-1' ELSE a.po_number END END AS new_value
         FROM live a CROSS JOIN (VALUES ('currency'), ('po_number')) AS f(field)

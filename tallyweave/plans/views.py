@@ -53,7 +53,7 @@ SELECT p.po_number, p.amount, coalesce(i.invoiced, 0.0) AS invoiced, p.amount -
 FROM pos p LEFT JOIN po_invoiced i ON p.po_number = i.po_number""",
     "completeness": """
 SELECT id, 'completeness' AS name,
-       CASE WHEN number IS NULL OR total IS NULL THEN 'fail' WHEN vendor IS NULL OR inv_date IS NULL OR currency IS NULL THEN 'warn' ELSE 'pass' END AS status,
+       CASE WHEN number IS NULL OR number = '' OR total IS NULL THEN 'fail' WHEN vendor IS NULL OR inv_date IS NULL OR currency IS NULL OR currency = '' THEN 'warn' ELSE 'pass' END AS status,
        cast(NULL AS string) AS kind, cast(NULL AS bigint) AS match_id
 FROM live""",
     "math": """
@@ -130,6 +130,7 @@ SELECT i.id, i.status, i.total, i.currency, i.decided_by,
             WHEN r.not_ok THEN 'low' ELSE 'medium' END AS confidence,
        cast(r.n_hard AS bigint) AS n_hard, cast(coalesce(r.hard_lead, r.lead_problem) AS bigint) AS lead_rank
 FROM live i JOIN rollup r ON r.id = i.id""",
+    # the log's errors are no requests: they never reach the order book
     "requests": """
 SELECT event_id AS request_id, 1 + user_id * 7 % 1500 AS invoice_id, CASE event_type WHEN 'click' THEN 'requested' WHEN 'view' THEN 'prepared' WHEN 'purchase' THEN 'approved' ELSE 'rejected' END AS status,
        concat('PO-', cast(user_id AS string)) AS po_number, value AS amount

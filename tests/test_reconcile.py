@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from datetime import date
+
 from tallyweave.operators import reconcile
 
 READING = "doc_id long, doc_text string, vendor string, invoice_number string, tax_id string, po_number string, currency string, subtotal double, tax_amount double, total double"
@@ -12,7 +14,38 @@ def test_ground(spark):
     ]
     got = {r.doc_id: r for r in reconcile.ground(spark.createDataFrame(rows, READING)).collect()}
     assert got[1].dropped == ["total", "tax_id"] and got[1].total is None and got[1].invoice_number == "inv 77" and got[1].subtotal == 100.0
-    assert got[2].dropped == ["total"] and got[2].invoice_number == ""
+    assert got[2].dropped == ["total", "vendor"] and got[2].invoice_number == ""
+
+
+def test_ground_scans_dates_accounts_and_items(spark):
+    kind = "doc_id long, doc_text string, ocr boolean, vendor string, invoice_number string, inv_date date, bank_account string, subtotal double, total double, line_items array<struct<description:string,amount:double>>"
+    page = "Co0lblue Nederland\nlnv A8-l0O4 of 03/04/2023\nTotal 6 204,19 net -1O0,50 acct 0012 345-678"
+    rows = [
+        (1, page, True, "Coolblue Nederland", "AB-1004", date(2023, 4, 3), "0012345678 / HDFC0000003", 100.5, 6204.19, [("a", 6204.19), ("b", 77.0), ("c", None)]),
+        (2, page, False, "Coolblue Nederland", "AB-1004", date(2023, 3, 4), "99", 100.5, -6204.19, None),
+        (3, page, False, "Hema", "A8-l0O4", date(2023, 4, 5), None, None, None, []),
+    ]
+    got = {r.doc_id: r for r in reconcile.ground(spark.createDataFrame(rows, kind)).collect()}
+    assert got[1].dropped == [] and [i.description for i in got[1].line_items] == ["a", "c"]
+    assert got[2].dropped == ["subtotal", "invoice_number", "bank_account"] and got[2].total == -6204.19 and got[2].vendor == "Coolblue Nederland"
+    assert got[3].dropped == ["inv_date", "vendor"] and got[3].line_items == []
+
+
+def test_merge_trusts_labels_and_lists(spark):
+    side = "struct<vendor:string,invoice_number:string,inv_date:date,bank_account:string,subtotal:double,tax_amount:double,total:double,line_items:array<struct<amount:double>>>"
+    day = date(2024, 1, 2)
+    rows = [
+        (1, ("Acme", None, day, "1", 100.0, None, 121.0, []), ("Acme Trading Ltd", "INV-7", None, "2", None, 21.0, 121.0, [(60.0,), (40.0,)]), True, ["inv7", "x"], False),
+        (2, ("Acme", "", None, None, None, None, None, [(1.0,)]), ("Acme Inc", "ORD-9", day, None, 1.0, 2.0, 3.0, [(1.0,), (1.5,)]), False, ["A-1"], False),
+        (3, (None, None, None, None, None, None, None, None), (None, "lNV-1O", None, None, None, None, None, None), None, ["INV-10"], True),
+        (4, ("Hema", "5", None, None, 5.0, 1.0, 9.0, None), ("Zeta", "6", None, None, 5.0, 1.0, 6.0, None), False, None, None),
+    ]
+    got = {r.doc_id: r for r in reconcile.merge(spark.createDataFrame(rows, f"doc_id long, rules {side}, ai {side}, trusted boolean, labelled array<string>, ocr boolean")).collect()}
+    assert (got[1].vendor, got[1].invoice_number, got[1].inv_date, got[1].tax_amount, got[1].money_from, len(got[1].line_items)) == ("Acme", "INV-7", day, 21.0, "rules", 2)
+    assert got[1].differs == ["bank_account"]  # the vendors are alike
+    assert (got[2].vendor, got[2].invoice_number, got[2].money_from, len(got[2].line_items), got[2].differs) == ("Acme Inc", None, "ai", 1, [])
+    assert (got[3].invoice_number, got[3].total, got[3].line_items) == ("lNV-1O", None, None)
+    assert (got[4].vendor, got[4].invoice_number, got[4].total, got[4].differs) == ("Zeta", "5", 6.0, ["vendor", "invoice_number", "total"])
 
 
 def test_merge_takes_money_as_a_whole(spark):
