@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweave.functions import answers
 from tallyweave.operators import cascade, evidence, guards, layout, matching, review, vendor_states
 from tallyweave.plans.reports import statement
 from tallyweave.plans.views import SUPPLIER_TAX_ID, with_views
@@ -169,7 +170,39 @@ def recheck_after_changes(spark, sf_dir):
     return kept.results.get()
 
 
-QUERIES = {f.__name__: f for f in (duplicate_any_vendor, review_in_full, recommendations, recheck_after_changes, vendor_state_history, invoice_guards, order_guards, budgeted_readings, evidence_marks, schema_generations, truth_records)}
+#: What a model answers for a printed invoice: plain, in fences, in prose, or cut off; numbers as numbers or as printed.
+ANSWERS = f"""SELECT id, CASE id % 5 WHEN 0 THEN body WHEN 1 THEN concat('```json', chr(10), body, chr(10), '```') WHEN 2 THEN concat('Here it is: ', body, ' as asked.') WHEN 3 THEN substr(body, 1, 40) ELSE concat('[', body, ']') END AS answer
+    FROM (SELECT id, concat(chr(123), '"vendor": "', vendor_name, '", "invoice_number": ', CASE WHEN number IS NULL THEN 'null' ELSE concat('" ', printed_number, ' "') END, ', "invoice_date": "', CASE WHEN id % 2 = 0 THEN day ELSE concat(substr(day, 9, 2), '.', substr(day, 6, 2), '.', substr(day, 1, 4)) END,
+        '", "currency": "', CASE WHEN id % 3 = 0 THEN '€' ELSE lower(currency) END, '", "total": ', CASE WHEN id % 2 = 0 THEN cast(cast(total AS decimal(18,2)) AS string) ELSE concat('"€ ', {printed._amount("total")}, '"') END, ', "subtotal": "", "po_number": [], "line_items": [', chr(123), '"description": "x", "amount": "1,50"', chr(125), ', 7]', chr(125)) AS body FROM facts) b"""
+
+
+def model_answers(spark, sf_dir):
+    """The fields of models' answers."""
+    read = statement(spark, sf_dir, ANSWERS, printed.PRINTED).withColumn("f", answers.coerced(answers.answer_object(F.col("answer"))))
+    item = F.get("f.line_items", F.lit(0))["amount"]
+    return read.select("id", "f.vendor", "f.invoice_number", F.col("f.invoice_date").cast("string").alias("invoice_date"), "f.currency", "f.total", "f.subtotal", "f.po_number", F.size("f.line_items").alias("n_items"), item.alias("item"))
+
+
+def invoice_labels(spark, sf_dir):
+    """How each invoice is called in messages."""
+    c = F.col
+    return _claims(spark, sf_dir).select("id", answers.label(c("id"), c("number"), c("vendor"), c("total"), c("currency")).alias("label"))
+
+
+def vendor_suggestions(spark, sf_dir):
+    """The card of a new vendor, filled from an invoice, with its tax id and account checked."""
+    rows = _claims(spark, sf_dir).withColumns({"t": answers.tax_check(F.col("tax_id")), "bank_valid": answers.account_check(F.col("bank_account"))})
+    return rows.select("id", "vendor", "tax_id", F.col("t.kind").alias("tax_kind"), F.col("t.valid").alias("tax_valid"), "bank_account", "bank_valid")
+
+
+def existing_vendor(spark, sf_dir):
+    """For a name that someone proposes, the vendor that is already on the list under (almost) the same one."""
+    names = statement(spark, sf_dir, LISTED).select("name")
+    proposed = statement(spark, sf_dir, f"SELECT s_suppkey AS id, upper({printed.VENDOR_NAME.format('s_suppkey')}) AS vendor FROM supplier")
+    return matching.first_vendor(proposed, names, 92).select("id", "vendor", "match")
+
+
+QUERIES = {f.__name__: f for f in (model_answers, invoice_labels, vendor_suggestions, existing_vendor, duplicate_any_vendor, review_in_full, recommendations, recheck_after_changes, vendor_state_history, invoice_guards, order_guards, budgeted_readings, evidence_marks, schema_generations, truth_records)}
 
 _JITTER = f"{printed.TOP} + {printed.ROW} * (nth % {printed.PAGE_ROWS}) + ((id * 7 + k * 3 + place) % 3) * 0.7"
 _PLAIN = "regexp_replace(regexp_replace(lower(number), '[^a-z0-9]', '', 'g'), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g')"
@@ -221,6 +254,12 @@ ORACLE_SQL = {
               WHERE r.x = 50 AND (place IN (320, 400) OR (number IS NOT NULL AND ((place = 30 AND way <> 1) OR (place = 32 AND way = 1))))) m""", printed.PRINTED),
     "schema_generations": """SELECT s_name AS name, concat('T', s_suppkey) AS tax_id, CASE s_suppkey % 3 WHEN 1 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'rejected' ELSE 'approved' END WHEN 2 THEN 'pending' ELSE 'approved' END AS status,
         CASE WHEN s_suppkey % 3 = 2 THEN concat('ACC', s_suppkey) END AS bank_account, cast(CASE WHEN s_suppkey % 3 = 2 AND s_suppkey % 7 <> 0 THEN s_suppkey ELSE 0 END AS int) AS score FROM supplier""",
+    "model_answers": with_views("""SELECT id, CASE WHEN told THEN vendor_name END AS vendor, CASE WHEN told THEN printed_number END AS invoice_number, CASE WHEN told THEN day END AS invoice_date, CASE WHEN told AND id % 3 <> 0 THEN currency END AS currency,
+        CASE WHEN told THEN total END AS total, cast(NULL AS double) AS subtotal, cast(NULL AS string) AS po_number, CASE WHEN told THEN 1 END AS n_items, CASE WHEN told THEN 1.5 END AS item FROM (SELECT *, id % 5 < 3 AS told FROM facts) f""", printed.PRINTED),
+    "invoice_labels": with_views(f"""SELECT id, concat('invoice ', CASE WHEN number = '' THEN concat('#', id) ELSE number END, ' from ', coalesce(vendor, 'an unknown supplier'), CASE WHEN total IS NULL THEN '' ELSE concat(' (', format('{{:,.2f}}', total), ' ', currency, ')') END) AS label FROM ({CLAIMS}) c""", printed.PRINTED | {"repeated": REPEATED}),
+    "vendor_suggestions": with_views(f"""SELECT c.id, c.vendor, c.tax_id, CASE WHEN c.tax_id IS NULL THEN NULL WHEN c.id % 41 = 0 THEN 'EU_VAT' ELSE t.kind END AS tax_kind, CASE WHEN c.tax_id IS NULL THEN NULL WHEN c.id % 41 = 0 THEN true ELSE t.status = 'pass' END AS tax_valid, c.bank_account,
+        CASE WHEN c.id % 67 = 0 THEN false END AS bank_valid FROM ({CLAIMS}) c JOIN facts f ON f.id = c.id LEFT JOIN tax_ids t ON t.supp = f.supp""", printed.PRINTED | {"repeated": REPEATED}),
+    "existing_vendor": f"SELECT s_suppkey AS id, upper({printed.VENDOR_NAME.format('s_suppkey')}) AS vendor, CASE WHEN s_suppkey % 13 <> 0 THEN {printed.VENDOR_NAME.format('s_suppkey')} END AS match FROM supplier",
     # everything checked once, against each vendor's and each order's last change
     "recheck_after_changes": with_views(f"""SELECT w.id, w.vendor, CASE WHEN w.vendor IS NULL THEN 'skip' WHEN v.vendor IS NULL THEN 'warn' WHEN v.status = 'rejected' THEN 'fail' WHEN coalesce(v.status, 'approved') = 'approved' THEN 'pass' ELSE 'warn' END AS vendor_status,
         CASE WHEN w.vendor IS NULL THEN NULL WHEN v.vendor IS NULL THEN 'new' WHEN v.status = 'verified' THEN 'awaiting_approval' WHEN v.status IN ('rejected', 'pending') THEN v.status END AS vendor_kind,

@@ -61,8 +61,8 @@ UNION ALL SELECT id, 410, 50, 'Please pay by bank transfer' FROM facts"""
 
 FACTS = f"""
 SELECT id, way, number, CASE WHEN id % 37 = 0 THEN replace(number, '0', 'O') WHEN way = 3 THEN replace(number, '-', '/') ELSE number END AS printed_number, po_number, bank_account, subtotal, tax_amount, total, currency, sign, supp, {VENDOR_NAME.format("supp")} AS vendor_name, cast(inv_date AS string) AS day, {SUPPLIER_TAX_ID.replace("s_suppkey", "supp")} AS tax_id,
-       cast(floor(tax_amount * 50) / 100 AS double) AS part, concat('77', lpad(account, 8, '0')) AS digits,
-       concat('NL', lpad(cast(cast(98 - cast(concat('18231611', lpad(account, 10, '0'), '232100') AS decimal(38,0)) % 97 AS int) AS string), 2, '0'), 'INGB', lpad(account, 10, '0')) AS iban
+       cast(floor(tax_amount * 50) / 100 AS double) AS part, CASE WHEN account IS NOT NULL THEN concat('77', lpad(account, 8, '0')) END AS digits,
+       CASE WHEN account IS NOT NULL THEN concat('NL', lpad(cast(cast(98 - cast(concat('18231611', lpad(account, 10, '0'), '232100') AS decimal(38,0)) % 97 AS int) AS string), 2, '0'), 'INGB', lpad(account, 10, '0')) END AS iban
 FROM (SELECT *, substr(bank_account, 4) AS account, CASE currency WHEN 'EUR' THEN '€ ' WHEN 'USD' THEN '$ ' WHEN 'GBP' THEN '£ ' ELSE concat(currency, ' ') END AS sign
       FROM (SELECT l.*, cast(CASE WHEN currency = 'INR' THEN 3 WHEN currency = 'EUR' AND id % 2 = 0 THEN 2 ELSE id % 2 END AS int) AS way FROM live l WHERE subtotal IS NOT NULL) w) s"""
 
