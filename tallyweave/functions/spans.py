@@ -70,7 +70,8 @@ def join_thousands(c: Column) -> Column:
     quantity followed by a price."""
     closed = lambda m: F.regexp_replace(m, r"(?<=\d)[   ](?=\d{3})", "")
     ahead = rewrite(c, f"(?iu){CURRENCY}\\s*{SPACED}", closed)
-    return rewrite(ahead, f"(?iu)(?<![\\d.,]){SPACED}{BEHIND}", closed)
+    both = rewrite(ahead, f"(?iu)(?<![\\d.,]){SPACED}{BEHIND}", closed)
+    return F.when(F.rlike(c, F.lit(r"\d[   ]\d{3}")), both).otherwise(F.coalesce(c, F.lit("")))  # few texts have any
 
 
 def figures(c: Column) -> Column:
@@ -92,7 +93,8 @@ def figures(c: Column) -> Column:
 
 def find_money(c: Column) -> Column:
     """The amounts of money of a text, in order: figures with cents or beside a currency, no percentages."""
-    return F.transform(F.filter(figures(c), lambda f: f["money"]), lambda f: f["value"])
+    found = F.transform(F.filter(figures(c), lambda f: f["money"]), lambda f: f["value"])
+    return F.when(F.rlike(c, F.lit("[0-9]")), found).otherwise(F.array().cast("array<double>"))
 
 
 def all_dates(c: Column) -> Column:

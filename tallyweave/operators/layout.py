@@ -90,6 +90,12 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield run(carried.combine_chunks(), True)[0]
 
 
+def by_document(rows: DataFrame) -> DataFrame:
+    """Rows dealt by document over as many tasks as shuffles have: small as they are, their lines take much work, so that
+    adaptive execution, which goes by bytes, must not put them together."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
 def lines(words: DataFrame) -> DataFrame:
     """Lines (doc_id, line, page, y, text, words) of words (doc_id, page, x0, y0, x1, y1, text and seq, their order in the file).
 
@@ -100,7 +106,7 @@ def lines(words: DataFrame) -> DataFrame:
     box = [F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")]
     plain = words.select("doc_id", F.col("page").cast("int"), *(c.alias(n) for c, n in zip(box, ("x0", "y0", "x1", "y1"), strict=True)), F.trim("text").alias("text"), "seq")
     plain = plain.filter((F.col("text") != "") & F.col("x0").isNotNull() & F.col("x1").isNotNull() & F.col("y0").isNotNull() & F.col("y1").isNotNull())
-    in_order = plain.repartition("doc_id").sortWithinPartitions("doc_id", "page", F.col("y0") + F.col("y1"), "x0", "seq")
+    in_order = by_document(plain).sortWithinPartitions("doc_id", "page", F.col("y0") + F.col("y1"), "x0", "seq")
     return in_order.drop("seq").mapInArrow(_fold, kind)
 
 
@@ -108,7 +114,7 @@ def with_neighbours(found: DataFrame) -> DataFrame:
     """Lines with the words of the next two on the same page (below1, below2, null where there are none)."""
     order = Window.partitionBy("doc_id").orderBy("line")
     same = lambda k: F.lead("page", k).over(order) == F.col("page")
-    return found.withColumns({"below1": F.when(same(1), F.lead("words", 1).over(order)), "below2": F.when(same(1) & same(2), F.lead("words", 2).over(order))})
+    return by_document(found).withColumns({"below1": F.when(same(1), F.lead("words", 1).over(order)), "below2": F.when(same(1) & same(2), F.lead("words", 2).over(order))})
 
 
 def under(words: Column, x0: Column, x1: Column, left: float, right: float) -> Column:

@@ -136,17 +136,17 @@ def tax_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 WRITTEN, USES = "live", 3
 
 
-def statement(spark: SparkSession, sf_dir: str, sql: str, views: dict[str, str] | None = None) -> DataFrame:
-    """sql over the views, more views if given, and the tables of a folder."""
-    instead = SPARK_VIEWS | (views or {})
+def statement(spark: SparkSession, sf_dir: str, sql: str, views: dict[str, str] | None = None, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """sql over the views, more views if given, and the tables of a folder; tables stand in for views of their names."""
+    tables = dict(tables or {})
+    instead = SPARK_VIEWS | (views or {}) | dict.fromkeys(tables)
     whole = with_views(sql, instead)
-    tables: dict[str, DataFrame] = {}
     if len(re.findall(rf"\b(?:FROM|JOIN)\s+{WRITTEN}\b", whole)) >= USES:
         path = f"{folder(spark)}/{WRITTEN}"
         found = statement(spark, sf_dir, f"SELECT * FROM {WRITTEN}")
         found.write.parquet(path)
         tables[WRITTEN] = spark.read.schema(found.schema).parquet(path)
-        whole = with_views(sql, instead | {WRITTEN: None})
+        whole = with_views(sql, instead | {WRITTEN: None})  # once, whatever else is written
     used = [t for t in (*TABLES, "tax_ids", *tables) if re.search(rf"\b(FROM|JOIN)\s+{t}\b", whole)]
     tables = {t: tables[t] if t in tables else tax_ids(spark, sf_dir) if t == "tax_ids" else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
     return spark.sql(re.sub(rf"\b(FROM|JOIN)(\s+)({'|'.join(used)})\b", r"\1\2{\3}", whole), **tables)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.plans.reports import statement
 from tallyweave.plans.views import SUPPLIER_TAX_ID, with_views
+from tallyweave.sources.shared import folder
 
 PAGE_ROWS, PITCH, ROW, TOP, HEIGHT = 45, 6.0, 18.0, 60.0, 10.0
 
@@ -76,7 +77,10 @@ def rows_sql() -> str:
 
 
 def printed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statement(spark, sf_dir, "SELECT id, place, x, text FROM printed_rows", PRINTED)
+    # every kind of row looks at the facts: they are worked out once
+    facts = statement(spark, sf_dir, "SELECT * FROM facts", PRINTED)
+    facts.write.parquet(at := f"{folder(spark, 'facts')}/facts")
+    return statement(spark, sf_dir, "SELECT id, place, x, text FROM printed_rows", PRINTED, {"facts": spark.read.schema(facts.schema).parquet(at)})
 
 
 def printed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
