@@ -174,3 +174,13 @@ def test_recheck_equals_the_full_recomputation(spark, tmp_path):
     assert all(status[k].vendor_kind == "awaiting_approval" for k, v, *_ in invoices if v == 3) and any(v == 3 for _, v, *_ in invoices)
     kept.apply(spark.createDataFrame(batches[1], kind), 1)  # a batch that is run again
     assert check(table, kept.vendors.get(), kept.orders.get()).count() == 500
+
+
+def test_an_amount_of_millions_is_found_with_only_its_last_thousands_apart(spark):
+    amounts = spark.createDataFrame([(1234567.89,), (234567.89,)], "v double").select(evidence.amount_forms(F.col("v")).alias("forms")).collect()
+    assert amounts[0]["forms"] == ["1,234,567.89", "1.234.567,89", "1234567.89", "1234567,89", "1234,567.89", "1234.567,89"]
+    assert amounts[1]["forms"] == ["234,567.89", "234.567,89", "234567.89", "234567,89"]
+    needles = spark.createDataFrame([(1, "total", ["x"], True, True)], "doc_id int, item string, needles array<string>, numeric boolean, lowest boolean")
+    needles = needles.withColumn("needles", evidence.amount_forms(F.lit(1234567.89)))
+    words = spark.createDataFrame([(1, 0, 10.0, 10.0, 30.0, 20.0, "Total", 1), (1, 0, 40.0, 10.0, 90.0, 20.0, "1234,567.89", 2)], "doc_id int, page int, x0 double, y0 double, x1 double, y1 double, text string, seq int")
+    assert [(r["item"], r["x"]) for r in evidence.find(needles, layout.lines(words), 100, 200).collect()] == [("total", 0.4)]
