@@ -183,3 +183,19 @@ def test_number_candidates_in_order(spark):
     rows = ["Invoice INV/2023/03/0008", "Customer # 12345", "Invoice No: 2023-01-02 x", "Bill no 77A", [(50, "Factuurnummer"), (300, "Invoice number")], [(50, "F-100200"), (300, "I-300400")]]
     got = fields.number_candidates(layout.lines(spark.createDataFrame(page(rows), WORDS))).orderBy("rank").collect()
     assert [r.value for r in got] == ["2023-01-02", "I-300400", "F-100200", "77A", "INV/2023/03/0008", "12345"]
+
+
+def test_neighbours_taken_as_lines_come_are_those_of_a_window(spark, monkeypatch):
+    """Over batches of any size, pages and documents, null ids among them; and no line is shuffled for them."""
+    rng = random.Random(5)
+    words = [(rng.choice([None, 1, 2, 3]), rng.randrange(3), 1.0 * k, 20.0 * rng.randrange(9), k + 0.9, 20.0 * rng.randrange(9) + 9, f"w{k}", k) for k in range(300)]
+    words = spark.createDataFrame([(*w[:3], w[3], w[4], w[3] + 9, *w[6:]) for w in words], "doc_id int, page int, x0 double, y0 double, x1 double, y1 double, text string, seq int")
+    shown = lambda rows: sorted(map(str, rows.select("doc_id", "line", "page", "text", "words", "below1", "below2").collect()))
+    expected = shown(layout.with_neighbours(layout.lines(words)))
+    for size in ("1", "7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        taken = layout.lines(words, neighbours=True)
+        assert shown(taken) == expected
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = layout.iter_hits(layout.lines(layout.by_document(words), dealt=True, neighbours=True), [("total", 1, "w1")])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and "Window" not in plan
