@@ -82,3 +82,13 @@ def test_identifiers_have_no_longest(spark):
     began = time.time()
     long = spark.createDataFrame([(1, "a1" * 1_000_000), (2, "@" * 300_000), (3, "ab" * 500_000), (4, "1 " * 200_000), (5, ".@" * 200_000)], "doc_id long, text string")
     assert pii.span_digests(long).count() == 5 and time.time() - began < 90
+
+
+def test_uses_are_counted_by_whole_patterns(spark):
+    """A common word before an identifier lets through only the tokens that stand in a possible pattern, not all uses of the word."""
+    docs = spark.createDataFrame([(1, "call the 1 " + "over the hill " * 50), (2, "call the 2 call the 3"), (3, "call the 2 call the 3")], "doc_id long, text string")
+    possible = spark.createDataFrame([("the", "two call the")], "anchor string, pattern string")
+    uses = pii._uses(docs, possible)
+    joins = [line for line in uses._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert [tuple(r) for r in uses.collect()] == [("two call the", 3)]
+    assert len(joins) == 1 and "pattern" in joins[0]
