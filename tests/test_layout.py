@@ -199,3 +199,18 @@ def test_neighbours_taken_as_lines_come_are_those_of_a_window(spark, monkeypatch
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     plan = layout.iter_hits(layout.lines(layout.by_document(words), dealt=True, neighbours=True), [("total", 1, "w1")])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Repartition") == 1 and "Window" not in plan
+
+
+def test_no_match_lacks_the_words_that_its_pattern_needs(spark):
+    """Random matches of every pattern, in any case and with the letters that match others when case is ignored, hold one of its words."""
+    rng, lines = random.Random(9), []
+    seeds = ["invoice no.", "Inv # ", "factuurnummer", "facture n°", "n° de facture", "rechnungsnr", "bill no", "factuur 7", "booking id", "date of issue", "factuurdatum", "date d'émission", "issued", "facture n° 7 du", "P.O.:", "purchase order", "bestelnummer",
+             "total amount due", "somme à payer", "gesamtbetrag", "net payable", "totaal", "exclusief btw", "total ht", "net worth", "untaxed", "taxable value", "montant eur ht", "grondslag", "sub-total", "subtotaal", "zwischensumme", "vat amount", "sales tax",
+             "mwst", "igst", "utgst", "seller:", "service provider :", "USt-Id", "IBAN:", "bank account no", "a/c no", "acct. no", "rekeningnummer", "kontonummer", "n° de compte", "bill to", "t.a.v", "factuuradres", "attn", "bic", "neft", "receipt"]
+    for seed in seeds:
+        for change in (str.upper, str.title, lambda t: t.replace("s", "ſ").replace("k", "K"), lambda t: t.replace("i", rng.choice("İı"))):
+            lines += [(seed,), (change(seed),)]
+    text = spark.createDataFrame(lines, "text string")
+    for pattern, needs in fields.NEEDS.items():
+        lost = text.filter(F.rlike("text", F.lit("(?iuU)" + pattern)) & ~layout.holds(F.col("text"), needs)).collect()
+        assert not lost, (pattern, lost)
