@@ -7,47 +7,69 @@ lists are the small side (their distinct names), invoices' names are reduced to
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions import fuzzy, text
+from tallyweave.sources.shared import by_key, folder
 
 SAME_VENDOR, SAME_RECORD, NEAR_NUMBER = 80, 85, 85
 
 
+#: Distinct names of a side that a task compares with as many of the other.
+AT_ONCE = 4096
+
+
+def _words(c: str) -> Column:
+    return F.array_sort(F.array_distinct(F.split(c, " +")))
+
+
+def _leading(names: DataFrame, c: str, words: DataFrame, share: float) -> DataFrame:
+    """(c, g): the words of each name that words (g) hold most rarely, as many as it takes for the others to be shorter together than this share of the name."""
+    often = words.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
+    each = names.select(c, F.explode(_words(c)).alias("g")).join(often, "g", "left")
+    ranked = each.groupBy(c).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "g"))).alias("w"))
+    size = lambda xs: F.aggregate(xs, F.lit(-1), lambda n, x: n + F.length(x["g"]) + 1)
+    led = F.filter("w", lambda _, i: size(F.slice("w", i + 1, F.size("w"))) >= share * size(F.col("w")) - 1e-9)
+    return ranked.select(c, F.explode(F.transform(led, lambda x: x["g"])).alias("g"))
+
+
+def _alike(a: DataFrame, b: DataFrame, cutoff: float) -> DataFrame:
+    """(a, b, score) of names whose letters allow the cutoff and that reach it. Blocks of names meet, not names: a task holds one block of either side."""
+    n, m = (max(1, -(-names.count() // AT_ONCE)) for names in (a, b))
+    block = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k))
+    mine = a.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda j: block("a", n) * m + j)).alias("pair"), F.lit(True).alias("left"), F.col("a").alias("name"))
+    theirs = b.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i * m + block("b", m))).alias("pair"), F.lit(False).alias("left"), F.col("b").alias("name"))
+
+    def compared(block: pa.Table) -> pa.Table:
+        of = lambda side: [x for x, left in zip(block["name"].to_pylist(), block["left"].to_pylist(), strict=True) if left == side]
+        return pa.Table.from_pylist([{"a": x, "b": y, "score": s} for x, y, s in fuzzy.alike(of(True), of(False), cutoff)], pa.schema({"a": pa.string(), "b": pa.string(), "score": pa.float64()}))
+
+    return by_key(mine.unionByName(theirs), "pair", min(n * m, 2000)).groupBy("pair").applyInArrow(compared, "a string, b string, score double")
+
+
 def similar_names(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
     """(a, b, score) of distinct normalised names of left and right (one column each) that reach the cutoff.
 
-    Names without a common word score by their sorted words alone: of n and m letters, at least
-    cutoff * (n + m) / 200 are common, in order. If d letters are not, one at least of d + 1 segments of the
-    one name stands whole in the other, moved by no more than the letters put in or left out. Only pairs with a
-    common word or such a segment are scored; none that reaches the cutoff is lost.
+    Either the common words alone reach it, or all words of both sides do, the common ones first. Then, of n and m letters, the common words have
+    cutoff / (200 - cutoff) of n or of m, so one of them is among the words that the name cannot miss (_leading), its rarest ones; a word of many names is none of these
+    unless a name has no other. Or else cutoff * (n + m) / 200 letters are common, whatever the words' order, and with them pairs of letters: both
+    are counted in bits for whole blocks of names (fuzzy.alike), and only pairs that have enough are compared. None that reaches the cutoff is lost.
     """
-    a = left.select(text.norm_vendor(F.col(left.columns[0])).alias("a")).filter("a != ''").distinct()
-    b = right.select(text.norm_vendor(F.col(right.columns[0])).alias("b")).filter("b != ''").distinct()
-
-    def words(c: str) -> Column:
-        return F.array_sort(F.array_distinct(F.split(c, " +")))
-
-    def lengths(n: str) -> Column:
-        low, high = F.ceil(F.col(n) * (cutoff / (200 - cutoff)) - 1e-9), F.floor(F.col(n) * ((200 - cutoff) / cutoff) + 1e-9)
-        return F.explode(F.sequence(low.cast("int"), high.cast("int")))
-
-    def segments(names: DataFrame) -> DataFrame:
-        least = F.ceil(cutoff * (F.col("n") + F.col("m")) / 200 - 1e-9).cast("int")
-        some = names.withColumn("least", least).filter(F.col("least") <= F.least("n", "m")).withColumn("k", F.expr("n + m - 2 * least + 1"))
-        each = some.withColumn("i", F.explode(F.expr("sequence(0, k - 1)"))).withColumn("at", F.expr("cast(i * n div k AS int)"))
-        return each.withColumn("size", F.expr("cast((i + 1) * n div k AS int) - at"))
-
-    mine = a.select("a", F.array_join(words("a"), " ").alias("s")).withColumn("n", F.length("s"))
-    mine = segments(mine.withColumn("m", lengths("n"))).select("a", "n", "m", "i", F.expr("substr(s, at + 1, size)").alias("g"))
-    theirs = b.select("b", F.array_join(words("b"), " ").alias("s")).withColumn("m", F.length("s"))
-    theirs = segments(theirs.withColumn("n", lengths("m"))).withColumns({"low": F.expr("greatest(0, at - (n - least))"), "high": F.expr("least(m - size, at + m - least)")})
-    theirs = theirs.filter("low <= high").select("b", "n", "m", "i", F.explode(F.expr("array_distinct(transform(sequence(low, high), p -> substr(s, p + 1, size)))")).alias("g"))
-    near = mine.join(theirs, ["n", "m", "i", "g"]).select("a", "b")
-    shared = a.select("a", F.explode(words("a")).alias("g")).join(b.select("b", F.explode(words("b")).alias("g")), "g").select("a", "b")
-    pairs = near.union(shared).distinct()
-    return pairs.withColumn("score", fuzzy.token_set_ratio(F.col("a"), F.col("b"))).filter(F.col("score") >= cutoff)
+    at = folder(left.sparkSession, "names")
+
+    def once(names: DataFrame, c: str) -> DataFrame:
+        found = names.select(text.norm_vendor(F.col(names.columns[0])).alias(c)).filter(F.col(c) != "").distinct()
+        found.write.parquet(f"{at}/{c}")
+        return left.sparkSession.read.schema(found.schema).parquet(f"{at}/{c}")
+
+    a, b = once(left, "a"), once(right, "b")
+    a_words, b_words = (names.select(c, F.explode(_words(c)).alias("g")) for names, c in ((a, "a"), (b, "b")))
+    share = cutoff / (200 - cutoff)
+    shared = _leading(a, "a", b_words, share).join(b_words, "g").select("a", "b").union(_leading(b, "b", a_words, share).join(a_words, "g").select("a", "b")).distinct()
+    shared = shared.withColumn("score", fuzzy.token_set_ratio(F.col("a"), F.col("b"))).filter(F.col("score") >= cutoff)
+    return shared.union(_alike(a, b, cutoff)).distinct()
 
 
 def first_vendor(invoices: DataFrame, vendors: DataFrame, cutoff: float = SAME_RECORD) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import defaultdict, deque
 
 from tallyweave.functions import fuzzy, text
@@ -63,6 +64,34 @@ def test_no_pair_of_names_is_lost(spark):
         assert ("acme", "acrme") in got and ("sorny", "sony") in got
 
 
+def test_names_that_share_a_frequent_word_are_not_all_paired(spark):
+    rng = random.Random(6)
+    names = {"".join(rng.choice("abcdefghijklmnop") for _ in range(12)) + " traders" for _ in range(6000)}
+    table = spark.createDataFrame([(n,) for n in sorted(names)] + [("traders",), ("traders works",)], "name string")
+    began = time.time()
+    got = {(r.a, r.b) for r in matching.similar_names(table, table, 92).filter("a < b").collect()}
+    assert time.time() - began < 60
+    # a name of the frequent word alone is in all of them
+    assert got >= {tuple(sorted((n, "traders"))) for n in names} and len(got) < len(names) + 100
+    words = spark.createDataFrame([(w,) for n in names for w in n.split()], "g string")
+    assert {r.g for r in matching._leading(table.filter("length(name) = 20"), "name", words, 92 / 108).collect()} == {n.split()[0] for n in names}
+
+
+def test_blocks_of_names_lose_no_pair():
+    rng = random.Random(7)
+    known = ["".join(rng.choice("abcdeo") for _ in range(rng.randint(1, 9))) for _ in range(25)]
+    names = {" ".join(rng.choice(known) for _ in range(rng.randint(1, 4))) for _ in range(60)}
+    names |= {" ".join((n[:k] + rng.choice("abcdeo ") + n[k:]).split()) for n in list(names) for k in (rng.randrange(len(n)), 0)}
+    for cutoff in (70, 80, 92):
+        got = {(a, b): score for a, b, score in fuzzy.alike(sorted(names), sorted(names), cutoff)}
+        assert all(score == fuzzy.token_set(a, b) >= cutoff for (a, b), score in got.items())
+        for a in names:
+            for b in names:
+                x, y = set(a.split()), set(b.split())
+                left, right = (" ".join(sorted(x & y) + sorted(side - other)) for side, other in ((x, y), (y, x)))
+                assert (a, b) in got or fuzzy.indel(left, right) < cutoff
+
+
 def test_no_pair_of_amounts_is_lost(spark):
     rng = random.Random(2)
     totals = [0.5, 0.515, -100.0, -100.3, 0.01, -0.01, 0.0, *(rng.choice((-1, 1)) * round(base * rng.uniform(0.99, 1.01), 2) for base in (0.3, 2, 3.99, 4, 4.5, 100, 1e6) for _ in range(25))]
