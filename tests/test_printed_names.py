@@ -40,6 +40,26 @@ def test_names_equal_all_pairs():
     assert found > 200
 
 
+def test_a_frequent_word_brings_few_names():
+    rng = random.Random(8)
+    names = sorted({"".join(rng.choice("abcdefghijklmnop") for _ in range(12)) + " traders" for _ in range(5000)})
+    index, asked = printed_names.Index(names), 0
+    near = index.near
+
+    def counted(*given):
+        nonlocal asked
+        asked += 1
+        return near(*given)
+
+    index.near = counted
+    began = time.time()
+    for k in range(100):
+        spoilt = names[k][:3] + names[k][4:9] + "z" + names[k][9:]
+        assert names[k] in index.printed(f"tax invoice from {spoilt} to a buyer of some goods")
+        assert index.printed("wholesale traders of the north and all of their goods") == []
+    assert asked < 100 * 200 and time.time() - began < 20
+
+
 def test_a_long_text_takes_linear_time():
     rng = random.Random(4)
     names = ["".join(rng.choice("abcdefghij") for _ in range(14)) + " traders" for _ in range(300)]
