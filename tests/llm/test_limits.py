@@ -92,3 +92,13 @@ def test_uses_are_counted_by_whole_patterns(spark):
     joins = [line for line in uses._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
     assert [tuple(r) for r in uses.collect()] == [("two call the", 3)]
     assert len(joins) == 1 and "pattern" in joins[0]
+
+
+def test_patterns_of_common_words_are_settled_by_few_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"see the hill {k}" + (" by rote" if k < 3 else "")) for k in range(400)], "doc_id long, text string")
+    possible = spark.createDataFrame([("word the", 5), ("word rote", 2), ("word none", 3)], "pattern string, n long")
+    monkeypatch.setattr(pii, "SHARES", (4, 1))
+    uses = {r.pattern: r.uses for r in pii._uses_as_needed(docs, possible).collect()}
+    assert uses["word rote"] == 3 and uses["word none"] == 0
+    # its score is below the least already, and the other texts are not searched for it
+    assert 5 / pii.MIN_SCORE < uses["word the"] < 200
