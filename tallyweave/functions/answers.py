@@ -32,7 +32,11 @@ def to_number(c: Column) -> Column:
 
 def coerced(found: Column) -> Column:
     """struct of a reading's fields from the texts of answer_object. Empty values, lists and objects are missing; a currency is three letters; a date that
-    isn't ISO is read as printed; line items are those that are objects."""
+    isn't ISO is read as printed; line items are those that are objects. The answer is read once, not once a field."""
+    return let(found, _coerced)
+
+
+def _coerced(found: Column) -> Column:
     given = lambda k: F.nullif(F.trim(found[k]), F.lit(""))
     some = lambda k: F.when(~given(k).isin("[]", "{}"), given(k))
     money = F.upper(F.trim(found["currency"]))

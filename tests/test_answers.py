@@ -32,3 +32,9 @@ def test_labels_and_checks(spark):
     got = spark.createDataFrame(rows, "id long, n string, v string, t double, c string, x string, b string").select(answers.label(c("id"), c("n"), c("v"), c("t"), c("c")).alias("l"), answers.tax_check(c("x")).alias("x"), answers.account_check(c("b")).alias("b")).collect()
     assert [r.l for r in got] == ["invoice A-1 from Acme (1,234.50 EUR)", "invoice #8 from an unknown supplier (3.00)", "invoice #9 from an unknown supplier"]
     assert [r.x and (r.x.kind, r.x.valid) for r in got] == [("EU_VAT", True), None, ("EU_VAT", False)] and [r.b for r in got] == [True, None, False]
+
+
+def test_an_answer_is_read_once(spark):
+    rows = spark.createDataFrame([('{"vendor": "A", "total": "1,50"}',)], "answer string")
+    plan = rows.select(answers.coerced(answers.answer_object(rows.answer)).alias("f")).select("f.vendor", "f.total", "f.currency")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("```(?:json)?") == 1
