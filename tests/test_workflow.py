@@ -184,3 +184,23 @@ def test_an_amount_of_millions_is_found_with_only_its_last_thousands_apart(spark
     needles = needles.withColumn("needles", evidence.amount_forms(F.lit(1234567.89)))
     words = spark.createDataFrame([(1, 0, 10.0, 10.0, 30.0, 20.0, "Total", 1), (1, 0, 40.0, 10.0, 90.0, 20.0, "1234,567.89", 2)], "doc_id int, page int, x0 double, y0 double, x1 double, y1 double, text string, seq int")
     assert [(r["item"], r["x"]) for r in evidence.find(needles, layout.lines(words), 100, 200).collect()] == [("total", 0.4)]
+
+
+def test_repeated_invoices_are_dealt_evenly(spark, sf):
+    """No task gets all invoices that repeat none, and they are the same as with the statement that both engines read."""
+    from tallyweave.operators import workflow_queries as w
+    from tallyweave.plans.reports import statement
+    from tallyweave.sources import printed
+
+    before = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        columns = "id, number, vendor_name, total, day"
+        ours, theirs = (statement(spark, sf, f"SELECT {columns} FROM repeated", printed.PRINTED | {"repeated": r}) for r in (w.SPARK_REPEATED, w.REPEATED))
+        sizes = [r[1] for r in ours.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < sum(sizes) / 2
+        assert sorted(map(str, ours.collect())) == sorted(map(str, theirs.collect()))
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
