@@ -121,9 +121,14 @@ def _runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple
 
 def histories(actions: DataFrame, block: int = BLOCK) -> DataFrame:
     """seq, vendor, status after it and reason (null if accepted) of actions (vendor, seq, action, actor, role, note), in order of seq, which
-    is unique. A null actor is a name like any other; a null or unknown action or role is not allowed."""
+    is unique. A null actor is a name like any other; a null or unknown action or role is not allowed. A history of no more actions than
+    a block's is answered as it stands; only longer ones are cut into blocks and summed up."""
     vendor = actions.schema["vendor"].dataType.simpleString()
-    rows = actions.select("vendor", F.floor(F.col("seq") / block).cast("long").alias("block"), F.col("seq").cast("long"), "action", "actor", "role", "note")
+    every = actions.select("vendor", F.floor(F.col("seq") / block).cast("long").alias("block"), F.col("seq").cast("long"), "action", "actor", "role", "note")
+    # one row for so many actions, so this is the small side
+    long = F.broadcast(actions.groupBy("vendor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select(F.col("vendor").alias("long_of")))
+    is_long = F.col("vendor").eqNullSafe(F.col("long_of"))
+    rows, short = every.join(long, is_long, "left_semi"), every.join(long, is_long, "left_anti")
 
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -172,4 +177,6 @@ def histories(actions: DataFrame, block: int = BLOCK) -> DataFrame:
     starts = summed.repartition("vendor").sortWithinPartitions("vendor", "block").mapInArrow(start, f"vendor {vendor}, block long, status string, proposer string, verifier string")
     with_start = rows.join(starts.withColumnRenamed("vendor", "of").withColumnRenamed("block", "at"), (F.col("vendor").eqNullSafe(F.col("of"))) & (F.col("block") == F.col("at")))
     columns = with_start.select(*rows.columns, "status", "proposer", "verifier").repartition("vendor", "block").sortWithinPartitions("vendor", "block", "seq")
-    return columns.mapInArrow(answer, f"vendor {vendor}, seq long, status string, reason string")
+    whole = short.withColumn("block", F.lit(0).cast("long")).select(*rows.columns, F.lit("none").alias("status"), *(F.lit(None).cast("string").alias(c) for c in ("proposer", "verifier")))
+    answers = f"vendor {vendor}, seq long, status string, reason string"
+    return whole.repartition("vendor").sortWithinPartitions("vendor", "seq").mapInArrow(answer, answers).unionByName(columns.mapInArrow(answer, answers))

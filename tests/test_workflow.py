@@ -204,3 +204,17 @@ def test_repeated_invoices_are_dealt_evenly(spark, sf):
     finally:
         for c, v in before.items():
             spark.conf.set(c, v)
+
+
+def test_only_long_histories_are_summed_up(spark):
+    """Histories no longer than a block are answered as they stand, beside longer ones and those of no vendor."""
+    kinds = [("propose", "ap"), ("verify", "procurement"), ("approve", "approver"), ("reject", "approver"), ("refuse", "procurement"), ("add", "procurement"), ("propose", "viewer")]
+    rows = [(None if k % 10 == 9 else k % 10 if k % 3 else 0, k, *kinds[(k * 7 + k // 5) % len(kinds)][:1], f"p{k % 4}", kinds[(k * 7 + k // 5) % len(kinds)][1], "why" if k % 2 else None) for k in range(240)]
+    found = vendor_states.histories(spark.createDataFrame(rows, "vendor long, seq long, action string, actor string, role string, note string"), block=30)
+    assert "LeftAnti" in found._jdf.queryExecution().toString()
+    states, want = {}, {}
+    for vendor, seq, action, actor, role, note in rows:
+        states[vendor], reason = vendor_states.act(states.get(vendor, vendor_states.State()), action, actor, role, note, lambda a, b: a == b)
+        want[seq] = (vendor, states[vendor].status, reason)
+    assert {r.seq: (r.vendor, r.status, r.reason) for r in found.collect()} == want
+    assert {len([r for r in rows if r[0] == v]) > 30 for v in states} == {True, False}
