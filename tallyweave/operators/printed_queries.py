@@ -27,7 +27,7 @@ def printed_lines(spark, sf_dir):
 
 def document_lines(spark, sf_dir):
     """The lines of all documents, whose rows sink and overlap."""
-    found = layout.lines(printed.document_words(spark, sf_dir))
+    found = layout.lines(printed.document_words(spark, sf_dir), dealt=True)
     return found.select("doc_id", "page", "line", F.size("words").alias("n_words"), F.round("y", 6).alias("y"))
 
 

@@ -118,5 +118,6 @@ DUCKDB_WORDS = "SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\n]')) AS
 
 
 def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words with boxes of all documents."""
-    return statement(spark, sf_dir, DOCUMENT_WORDS.format(words=SPARK_WORDS.replace("\\n", "\\\\n")))
+    """Words with boxes of all documents, dealt by document: texts are shuffled, words stay where their texts are."""
+    texts = by_key(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
+    return statement(spark, sf_dir, DOCUMENT_WORDS.format(words=SPARK_WORDS.replace("\\n", "\\\\n")), tables={"documents": texts})

@@ -214,3 +214,10 @@ def test_no_match_lacks_the_words_that_its_pattern_needs(spark):
     for pattern, needs in fields.NEEDS.items():
         lost = text.filter(F.rlike("text", F.lit("(?iuU)" + pattern)) & ~layout.holds(F.col("text"), needs)).collect()
         assert not lost, (pattern, lost)
+
+
+def test_texts_of_documents_are_shuffled_not_words(spark, sf):
+    from tallyweave.operators import printed_queries
+
+    plan = printed_queries.document_lines(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Repartition")
