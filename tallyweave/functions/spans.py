@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import text
 from tallyweave.functions.ids import compact, iban_valid
+from tallyweave.functions.text import let
 
 # Signs and names of currencies, letters that scans take for digits, spaces between thousands.
 CURRENCY = r"(?:rs\.?|inr|usd|eur|aed|gbp|[€$£₹])"
@@ -24,11 +25,6 @@ SCANNED, MEANT = "OoIl|SBZ", "00111582"
 _OPEN, _SHUT = "\u0001", "\u0002"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _parts(c: Column, pattern: str) -> Column:
     marked = F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), _OPEN + _SHUT, "  "), pattern, f"{_OPEN}$0{_SHUT}")
     return F.split(marked, _OPEN)

@@ -55,3 +55,12 @@ def test_tax_ids_reach_the_decision(spark, sf):
     wrong = {r.id for r in catalogue.QUERIES["check_tax"](spark, sf).filter("status = 'fail'").collect()}
     outcome = {r.id: r.outcome for r in catalogue.QUERIES["review_flagship"](spark, sf).collect()}
     assert all(outcome[i] == "reject" for i in wrong)
+
+
+def test_charges_read_a_line_once(spark, sf):
+    """A line is marked once and its figure taken once, not once a use; rows of much work are dealt over all tasks."""
+    from tallyweave.operators import domain_queries
+
+    plan = spark.createDataFrame([("Shipping 5.00",)], "t string").select(text.charges(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 20
+    assert "RepartitionByExpression" in domain_queries.explained_charges(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
