@@ -199,6 +199,18 @@ def test_checks_equal_plain_loops(spark):
         assert long.count() == 7 * len(rows)
 
 
+def test_crowded_bands_and_numbers_equal_pairs(spark, monkeypatch):
+    """Crowded bands and numbers of very many names are met by other ways than pairs, with the same results; what was reviewed is not planned again."""
+    rows, vendors, orders = samples(120, 3)
+    history = [f | {"file_hash": None} for f in rows]
+    monkeypatch.setattr(review, "FEW", 1)
+    monkeypatch.setattr(review, "CROWDED", 1)
+    full = review.review(spark.createDataFrame([tuple(r[c] for c in FIELDS) for r in history], INVOICE), spark.createDataFrame(vendors, VENDOR), spark.createDataFrame([(k, *v) for k, v in orders.items()], ORDER))
+    got = {r.id: tuple(r.duplicate) for r in full.collect()}
+    assert got == {k: duplicate(f, history[:k]) for k, f in enumerate(history)}
+    assert "Join" not in full._jdf.queryExecution().toString()
+
+
 def test_recommendations(spark):
     base = {"id": 1, "vendor": "Coolblue B.V.", "number": "993548900", "inv_date": date(2024, 1, 1), "currency": "EUR", "subtotal": 100.0, "tax_amount": 21.0, "total": 121.0, "tax_id": "NL810433941B01", "po_number": None, "bank_account": IBAN, "status": "pending", "file_hash": "a", "doc_text": None, "ocr": False, "line_sum": None, "waived": None, "receipt": None}
     cases = [{}, {"number": "1001", "total": 60021.0, "subtotal": 60000.0}, {"number": "1002", "bank_account": OTHER}, {"number": "1003", "bank_account": OTHER, "total": 120.0}, {"number": None}, {"number": "1004", "vendor": "Unknown Traders", "bank_account": None}, {"number": "1005", "tax_id": "DE232446240"}, {}]
