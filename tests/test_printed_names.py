@@ -82,3 +82,21 @@ def test_three_tiers(spark):
     assert tiers == {1: ("Coolblue B.V.", 1), 2: ("Oravel Stays Pvt. Ltd.", 2), 3: ("Oravel Stays Pvt. Ltd.", 3), 4: (None, None), 5: ("Hema", 3), 6: (None, None), 7: (None, None)}
     some = printed_names.names_on_documents(documents, vendors, at_once=1)
     assert {(r.doc_id, r.name) for r in some.collect()} >= {(3, "oravel stays"), (5, "hema")}
+
+
+def test_alike_names_of_a_large_list_count_as_one_vendor(spark):
+    # of the generated names of 6000 suppliers these are alike at 85, and on a page at 90: the first by name is the vendor, and two on a page are no answer
+    vendors = spark.createDataFrame([("Daeytkottamn Commerce B.V.", None), ("Daeytuttamnr Commerce B.V.", None), ("Faiysuymrubo Supplies Inc", None)], "name string, tax_id string")
+    rows = [(1, "Daeytuttamnr Commerce B.V.", None, ""), (2, None, None, "Daeytuttamnr Commerce B.V.\nInvoice"), (3, None, None, "Faiysuymrubo Supplies Inc\nInvoice")]
+    documents = spark.createDataFrame(rows, "doc_id long, vendor string, tax_id string, text string")
+    got = {r.doc_id: (r.vendor, r.tier) for r in printed_names.approved_vendor(documents, documents, vendors).collect()}
+    assert got == {1: ("Daeytkottamn Commerce B.V.", 1), 2: (None, None), 3: ("Faiysuymrubo Supplies Inc", 3)}
+
+
+def test_a_proposed_vendor_is_the_first_alike(spark):
+    from tallyweave.operators import matching
+
+    listed = spark.createDataFrame([("Ravuekuotrmo Traders Pvt Ltd",), ("Ravekuotrmor Traders Pvt Ltd",), ("Kauvvaueunll Supplies Inc",)], "name string")
+    asked = spark.createDataFrame([(2272, "RAVUEKUOTRMO TRADERS PVT LTD"), (6630, "KAUVOVAUEULL SUPPLIES INC"), (1, "DAETVIKEOTEE HANDEL GMBH")], "id long, vendor string")
+    got = {r.id: r.match for r in matching.first_vendor(asked, listed, 92).collect()}
+    assert got == {2272: "Ravekuotrmor Traders Pvt Ltd", 6630: "Kauvvaueunll Supplies Inc", 1: None}
