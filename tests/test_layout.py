@@ -221,3 +221,38 @@ def test_texts_of_documents_are_shuffled_not_words(spark, sf):
 
     plan = printed_queries.document_lines(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Repartition")
+
+
+def test_money_of_one_line_is_that_of_the_column(spark):
+    rng = random.Random(12)
+    parts = ["1", "23", "456", ".", ",", " ", " ", "%", "-", "€", "$", "rs", "Rs. ", "EUR ", "usd", "zł", " kr", "x", "1 234,56", "1 234.567", "12.50", "a", "\u0001", "\t"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", spans.find_money(F.col("t")).alias("m"), F.rlike("t", F.lit(spans.MAY_BE_MONEY)).alias("may")).orderBy("k").collect()
+    assert sum(len(r.m) for r in got) > 1000
+    for r, t in zip(got, texts, strict=True):
+        assert spans.money_of(t) == r.m and (r.may or not r.m), t
+
+
+def test_fields_are_read_without_a_shuffle_of_lines(spark):
+    words = spark.createDataFrame(page(GST), WORDS)
+    plan = fields.read_fields(layout.lines(layout.by_document(words), dealt=True, neighbours=True))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and "Window" not in plan
+
+
+def test_what_other_lines_say_tells_which_evidence_counts(spark):
+    rows = ["Invoice", "Bill to", "x", "Buyer Trading Ltd", "Seller Trading Ltd", "Account no 1234567", "x", "x", "Account no 7654321", "x", "our bank", "Ref # AB-1000"]
+    a, b = read(spark, rows, ["Receipt", "Ref # AB-1000"])
+    assert (a.vendor, a.bank_account, a.number, b.number) == ("Seller Trading Ltd", "7654321", "AB-1000", None)
+
+
+def test_currencies_are_counted_where_their_letters_stand(spark):
+    from tallyweave.functions import text
+
+    rng = random.Random(13)
+    parts = ["EUR", "euro", "Euros", "€", "$", "usd", "US dollars", "uſd", "₹", "INR", "inr", "Rs. 5", "Rupees", "£", "gbp", "AED", "د.إ", "DİRHAM", "dirhams", "PLN", "zł", "ZŁ", "traders", "x", "\n"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randrange(7))) for _ in range(1500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    counts = rows.select("k", text.detect_currency(F.col("t")).alias("got"), *(F.regexp_count("t", F.lit(p)).alias(n) for n, p in text.CURRENCIES)).collect()
+    for r in counts:
+        most = max(r[n] for n, _ in text.CURRENCIES)
+        assert r.got == (next(n for n, _ in text.CURRENCIES if r[n] == most) if most else None), texts[r.k]
