@@ -228,3 +228,17 @@ def test_recommendations(spark):
     assert got[7] == ("reject", "high", ["duplicate:same_number"])
     assert review.decide(full.limit(0)).count() == 0
     assert full.select(F.count(F.lit(1))).first()[0] == len(cases)
+
+
+def test_only_invoices_beside_a_crowded_band_are_taken_apart(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(review, "near_numbers", lambda left, right, on, cutoff, whole=review.near_numbers: (asked.append(left), whole(left, right, on, cutoff))[1])
+    day = [f"2024-01-{1 + k % 28:02d}" for k in range(60)]
+    crowd = [(k, "acme", f"X{k * k:05d}", day[k], 100.0) for k in range(60)] + [(100, "acme", "Y77", day[0], 900.0), (101, "acme", "Z5", day[1], 900.1), (102, "acme", "W123456", day[2], 100.2), (103, "acme", "X00049", day[3], 100.1)]
+    rows = spark.createDataFrame([(*r, None) for r in crowd], "id long, name string, number string, day string, total double, file_hash string").withColumn("inv_date", F.col("day").cast("date"))
+    alike = spark.createDataFrame([("acme", "acme")], "a string, b string")
+    shown = lambda: sorted((r.id, r.tier, r.kind, r.match_id) for r in review.duplicates(rows, alike).collect())
+    paired = shown()
+    assert asked.pop().isEmpty()
+    monkeypatch.setattr(review, "CROWDED", 20)
+    assert shown() == paired and {r.id for r in asked.pop().select(F.regexp_extract("n", "([0-9]+)", 1).cast("int").alias("id")).distinct().collect()}.isdisjoint({77, 5}) and paired
