@@ -6,6 +6,8 @@ import random
 import re
 import time
 
+from pyspark.sql import functions as F
+
 from tallyweave.functions.fuzzy import partial
 from tallyweave.operators import printed_names
 
@@ -100,3 +102,16 @@ def test_a_proposed_vendor_is_the_first_alike(spark):
     asked = spark.createDataFrame([(2272, "RAVUEKUOTRMO TRADERS PVT LTD"), (6630, "KAUVOVAUEULL SUPPLIES INC"), (1, "DAETVIKEOTEE HANDEL GMBH")], "id long, vendor string")
     got = {r.id: r.match for r in matching.first_vendor(asked, listed, 92).collect()}
     assert got == {2272: "Ravekuotrmor Traders Pvt Ltd", 6630: "Kauvvaueunll Supplies Inc", 1: None}
+
+
+def test_texts_are_made_of_open_documents_only(spark):
+    vendors = spark.createDataFrame([("Hema", "X1"), ("Coolblue B.V.", None)], "name string, tax_id string")
+    documents = spark.createDataFrame([(1, "Hema", None), (2, None, "x1"), (3, None, None)], "doc_id long, vendor string, tax_id string")
+    asked = []
+
+    def texts(open_):
+        asked.extend(r.doc_id for r in open_.collect())
+        return open_.withColumn("text", F.lit("coolblue"))
+
+    got = {r.doc_id: (r.vendor, r.tier) for r in printed_names.approved_vendor(documents, texts, vendors).collect()}
+    assert asked == [3] and got == {1: ("Hema", 1), 2: ("Hema", 2), 3: ("Coolblue B.V.", 3)}
