@@ -218,3 +218,14 @@ def test_only_long_histories_are_summed_up(spark):
         want[seq] = (vendor, states[vendor].status, reason)
     assert {r.seq: (r.vendor, r.status, r.reason) for r in found.collect()} == want
     assert {len([r for r in rows if r[0] == v]) > 30 for v in states} == {True, False}
+
+
+def test_lines_meet_their_needles_before_their_letters_are_made(spark):
+    needles = spark.createDataFrame([(1, "total", ["1,50", "1.50"], True, True), (1, "number", ["AB 7"], False, False), (2, "total", ["9.99"], True, True)], "doc_id long, item string, needles array<string>, numeric boolean, lowest boolean")
+    word = "array<struct<x0:double,y0:double,x1:double,y1:double,text:string,begin:int>>"
+    words = lambda *ts: [(10.0 * k, 5.0, 10.0 * k + 8, 9.0, t, 0) for k, t in enumerate(ts)]
+    lines = spark.createDataFrame([(1, 0, 0, words("ab", "7")), (1, 1, 0, words("sum", "1.50")), (2, 0, 0, words("19.99"))], f"doc_id long, line int, page int, words {word}")
+    found = evidence.find(needles, lines, 100.0, 100.0)
+    assert sorted((r.doc_id, r.item, r.needle, r.x) for r in found.collect()) == [(1, "number", "AB7", 0.0), (1, "total", "1.50", 0.1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("AS letters") < plan.index("Join")
